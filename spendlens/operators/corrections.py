@@ -10,13 +10,13 @@ built:
 2. Each cell announces itself to the cells in reach: same or neighbouring
    bucket, opposite sign, earlier days of the window. In the same bucket any
    partner is near enough; from the bucket below only its largest size and
-   from the bucket above only its smallest can be the nearest.
-3. A line looks up the one announcement of its own cell.
+   from the bucket above only its smallest can be the nearest. Cells that hear
+   nothing near are dropped.
+3. A line looks up the one row of its own cell.
 
-Lines of a hot cell are salted in step 3 and announcements repeated per salt,
-so no task gets them all; copies of one line, which share a salt, are merged
-before (state) or split by the skew handling of AQE (city). The work is linear
-in the lines.
+The work is linear in the lines. After step 2 few cells are left, and Spark
+broadcasts them if their size allows; otherwise the lines are shuffled by cell
+and AQE splits a hot cell over several tasks.
 """
 
 from __future__ import annotations
@@ -32,125 +32,130 @@ from ..spec import AMOUNT_TYPE, LedgerSpec
 THRESHOLD = 1e9
 TOLERANCE = 1000
 WINDOW_DAYS = 2
-SALTS = 16
 
 
-def _money(value: float) -> Column:
-    return F.lit(Decimal(str(value))).cast(AMOUNT_TYPE)
-
-
-def _spread(*columns: Column) -> Column:
-    """A salt that depends on the content of a line only, so that a retried
-    task gives the same one."""
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition &= left[k] == right[k]
-    for k in null_safe:
-        condition &= left[k].eqNullSafe(right[k])
-    return condition
+def _cents(value: float) -> int:
+    return int(Decimal(str(value)) * 100)
 
 
 def larger_than(amount: Column, limit: float) -> Column:
     """``|amount| > limit`` in a form the Parquet scan can skip by."""
-    return (amount > _money(limit)) | (amount < _money(-limit))
+    bound = F.lit(Decimal(str(limit))).cast(AMOUNT_TYPE)
+    return (amount > bound) | (amount < -bound)
 
 
 def with_cell(df: DataFrame, spec: LedgerSpec, tolerance: float) -> DataFrame:
-    """Sign, size and size bucket of every line; integer division is exact."""
+    """Sign, size in cents and size bucket; integer division is exact."""
     amount = F.col(spec.amount).cast(AMOUNT_TYPE)
-    cents = (F.abs(amount) * 100).cast("bigint")
-    width = int(Decimal(str(tolerance)) * 100)
     return (
         df.withColumn("_up", amount > 0)
-        .withColumn("_size", F.abs(amount))
-        .withColumn("_cents", cents)
-        .withColumn("_bucket", F.expr(f"_cents div {width}L"))
-        .drop("_cents")
+        .withColumn("_size", (F.abs(amount) * 100).cast("bigint"))
+        .withColumn("_bucket", F.expr(f"_size div {_cents(tolerance)}L"))
+    )
+
+
+def _near(least: Column, most: Column, tolerance: float) -> Column:
+    """Whether sizes from ``least`` to ``most`` in one cell meet a partner."""
+    tol = F.lit(_cents(tolerance))
+    return (
+        F.coalesce("_here", F.lit(False))
+        | F.coalesce(least - F.col("_below") < tol, F.lit(False))
+        | F.coalesce(F.col("_above") - most < tol, F.lit(False))
     )
 
 
-def announcements(
-    partners: DataFrame,
+def matched_cells(
+    lines: DataFrame,
     keys: Sequence[str],
     day: str | None,
-    day_offsets: Sequence[int],
+    offsets: Sequence[int],
+    is_probe: Column,
+    is_partner: Column,
+    tolerance: float,
 ) -> DataFrame:
-    """Per reachable cell: is there a partner in the same bucket, the largest
-    one below, the smallest one above."""
+    """Cells with a probe near a partner, and what they heard: a partner in
+    the same bucket, the largest one below, the smallest one above.
+
+    A partner on day ``d`` is heard on the days ``d + offset``.
+    """
     cell = [*keys, *([day] if day else []), "_up", "_bucket"]
-    cells = partners.groupBy(*cell).agg(F.min("_size").alias("_lo"), F.max("_size").alias("_hi"))
-    reach = cells.withColumn("_step", F.explode(F.array(*(F.lit(s) for s in (-1, 0, 1)))))
+    size = F.col("_size")
+    cells = lines.groupBy(*cell).agg(
+        F.min(F.when(is_probe, size)).alias("_least"),
+        F.max(F.when(is_probe, size)).alias("_most"),
+        F.min(F.when(is_partner, size)).alias("_lo"),
+        F.max(F.when(is_partner, size)).alias("_hi"),
+    )
+    silent = F.lit(None).cast("bigint")
+    low, high = F.col("_lo"), F.col("_hi")
+
+    def message(up, step=0, shift=0, least=silent, most=silent, here=F.lit(False),
+                below=silent, above=silent) -> Column:
+        return F.struct(
+            up.alias("_up"),
+            (F.col("_bucket") + F.lit(step)).alias("_bucket"),
+            F.lit(shift).alias("_shift"),
+            least.alias("_least"), most.alias("_most"),
+            here.alias("_here"), below.alias("_below"), above.alias("_above"),
+        )
+
+    up = F.col("_up")
+    messages = [message(up, least=F.col("_least"), most=F.col("_most"))]
+    for shift in offsets if day else (0,):
+        messages += [
+            message(~up, 0, shift, here=low.isNotNull()),
+            message(~up, 1, shift, below=high),
+            message(~up, -1, shift, above=low),
+        ]
+    heard = cells.select(
+        *keys, *([F.col(day).alias("_day")] if day else []), F.inline(F.array(*messages))
+    )
     if day:
-        reach = reach.withColumn(
-            "_days", F.explode(F.array(*(F.lit(d) for d in day_offsets)))
-        ).withColumn(day, F.date_add(day, F.col("_days")))
-    step = F.col("_step")
+        heard = heard.withColumn(day, F.date_add("_day", F.col("_shift")))
     return (
-        reach.select(
-            *keys,
-            *([day] if day else []),
-            (~F.col("_up")).alias("_up"),
-            (F.col("_bucket") + step).alias("_bucket"),
-            (step == 0).alias("_here"),
-            F.when(step == 1, F.col("_hi")).alias("_below"),
-            F.when(step == -1, F.col("_lo")).alias("_above"),
-        )
-        .groupBy(*cell)
+        heard.groupBy(*cell)
         .agg(
+            F.min("_least").alias("_least"),
+            F.max("_most").alias("_most"),
             F.bool_or("_here").alias("_here"),
             F.max("_below").alias("_below"),
             F.min("_above").alias("_above"),
         )
+        .filter(F.col("_least").isNotNull() & _near(F.col("_least"), F.col("_most"), tolerance))
+        .drop("_least", "_most")
     )
 
 
 def with_partner(
     probes: DataFrame,
-    partners: DataFrame,
+    cells: DataFrame,
     keys: Sequence[str],
     null_safe: Sequence[str],
     day: str | None,
-    day_offsets: Sequence[int],
     tolerance: float,
     how: str = "inner",
 ) -> DataFrame:
-    """Probes with the column ``_matched``.
-
-    Both inputs come from ``with_cell``; a probe stands for sizes from
-    ``_least`` to ``_most`` within its cell. A partner lies ``-offset`` days
-    from the probe. ``how`` is ``inner`` (matched probes only) or ``left``.
-    """
-    all_keys = [*keys, *null_safe]
-    found = announcements(partners, all_keys, day, day_offsets)
-    salted = found.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    left = probes.withColumn("_salt", _spread(*(F.col(f"`{c}`") for c in probes.columns)))
-    exact = [*keys, *([day] if day else []), "_up", "_bucket", "_salt"]
-    tol = _money(tolerance)
-    near = (
-        F.coalesce(salted["_here"], F.lit(False))
-        | F.coalesce(left["_least"] - salted["_below"] < tol, F.lit(False))
-        | F.coalesce(salted["_above"] - left["_most"] < tol, F.lit(False))
-    )
-    joined = left.join(salted, _same(left, salted, exact, null_safe), how)
-    result = joined.select(*(left[c] for c in probes.columns), near.alias("_matched"))
+    """Probes with the column ``_matched``; a probe stands for the sizes from
+    ``_least`` to ``_most`` in its cell. ``how`` is ``inner`` (matched probes
+    only) or ``left``."""
+    exact = [*keys, *([day] if day else []), "_up", "_bucket"]
+    same = F.lit(True)
+    for k in exact:
+        same &= probes[k] == cells[k]
+    for k in null_safe:
+        same &= probes[k].eqNullSafe(cells[k])
+    heard = [cells[c] for c in ("_here", "_below", "_above")]
+    joined = probes.join(cells, same, how).select(*(probes[c] for c in probes.columns), *heard)
+    near = _near(F.col("_least"), F.col("_most"), tolerance)
+    result = joined.select(*probes.columns, near.alias("_matched"))
     return result.filter("_matched") if how == "inner" else result
 
 
-def _parts(df: DataFrame, spec: LedgerSpec, threshold: float, tolerance: float):
-    """(probes, partners): lines above the threshold, and the lines that can
-    be near one."""
+def possible_lines(df: DataFrame, spec: LedgerSpec, threshold: float, tolerance: float) -> DataFrame:
+    """Lines that can be part of a pair: large, or near something large."""
     amount = F.col(spec.amount)
     floor = threshold - tolerance
-    possible = df.filter(larger_than(amount, floor)) if floor >= 0 else df.filter(amount.isNotNull())
-    partners = with_cell(possible, spec, tolerance)
-    probes = with_cell(df.filter(larger_than(amount, threshold)), spec, tolerance)
-    return probes, partners
+    return df.filter(larger_than(amount, floor) if floor >= 0 else amount.isNotNull())
 
 
 def corrected_invoices(
@@ -173,20 +178,22 @@ def corrected_invoices(
     for k in keys:
         known &= F.col(k).isNotNull()
     lines = df.filter(known).select(*keys, F.col(day).cast("date").alias(day), spec.amount, invoice)
-    probes, partners = _parts(lines, spec, threshold, tolerance)
+    lines = with_cell(possible_lines(lines, spec, threshold, tolerance), spec, tolerance)
+    large = F.col("_size") > F.lit(_cents(threshold))
 
-    def hits(of: DataFrame, against: DataFrame, offsets: list[int]) -> DataFrame:
+    def hits(probe: Column, partner: Column, offsets: Sequence[int]) -> DataFrame:
+        cells = matched_cells(lines, keys, day, offsets, probe, partner, tolerance)
         per_invoice = (
-            of.filter(F.col(invoice).isNotNull())
-            .groupBy(*keys, day, "_up", "_bucket", invoice)
-            .agg(F.min("_size").alias("_least"), F.max("_size").alias("_most"))
+            lines.filter(probe & F.col(invoice).isNotNull())
+            .withColumns({"_least": F.col("_size"), "_most": F.col("_size")})
+            .select(*keys, day, "_up", "_bucket", "_least", "_most", invoice)
         )
-        return with_partner(per_invoice, against, keys, (), day, offsets, tolerance).select(invoice)
+        return with_partner(per_invoice, cells, keys, (), day, tolerance).select(invoice)
 
-    back = [-d for d in range(window_days + 1)]
-    found = hits(probes, partners, back)
+    ahead = range(window_days + 1)
+    found = hits(large, F.lit(True), [-d for d in ahead])
     if symmetric:
-        found = found.union(hits(partners, probes, [-d for d in back]))
+        found = found.union(hits(F.lit(True), large, list(ahead)))
     return found.distinct()
 
 
@@ -195,18 +202,14 @@ def flag_by_invoice(
 ) -> DataFrame:
     """All lines of a hit invoice become corrections, all others do not.
 
-    Lines are salted against an invoice that holds much of the ledger; lines
-    without an invoice spread the same way instead of meeting in one task.
-    When the hits are few Spark broadcasts them and nothing is shuffled.
+    ``hits`` holds every invoice once, so the join repeats no line. Spark
+    broadcasts it while it is small and then shuffles no ledger line.
     """
-    marks = hits.select(
-        F.col(invoice).alias("_hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_mark")
-    )
     columns = [c for c in df.columns if c != spec.flag]
-    salted = df.select(*columns).withColumn("_salt", _spread(*(F.col(c) for c in columns)))
-    return salted.join(
-        marks, (F.col(invoice) == F.col("_hit")) & (F.col("_salt") == F.col("_mark")), "left"
-    ).select(*columns, F.col("_hit").isNotNull().alias(spec.flag))
+    marks = hits.select(F.col(invoice).alias("_hit"))
+    return df.join(marks, F.col(invoice) == F.col("_hit"), "left").select(
+        *columns, F.col("_hit").isNotNull().alias(spec.flag)
+    )
 
 
 def flag_state_corrections(df: DataFrame, spec: LedgerSpec, **options) -> DataFrame:
@@ -229,10 +232,18 @@ def match_city_lines(
 ) -> DataFrame:
     """Large lines with an opposite line of the same year, units, types and
     company, where NULL equals NULL. A zero is no opposite."""
-    probes, partners = _parts(df, spec, threshold, tolerance)
-    partners = partners.filter((F.col(spec.amount) != 0) & F.col(spec.year).isNotNull())
-    probes = probes.withColumns({"_least": F.col("_size"), "_most": F.col("_size")})
-    return with_partner(probes, partners, (spec.year,), keys, None, (), tolerance, how)
+    large = F.col("_size") > F.lit(_cents(threshold))
+    amount, year = F.col(spec.amount), F.col(spec.year)
+    possible = possible_lines(
+        df.select(spec.year, spec.amount, *keys), spec, threshold, tolerance
+    ).filter((amount != 0) & year.isNotNull())
+    cells = matched_cells(
+        with_cell(possible, spec, tolerance), [spec.year, *keys], None, (), large, F.lit(True), tolerance
+    )
+    probes = with_cell(df.filter(larger_than(amount, threshold)), spec, tolerance).withColumns(
+        {"_least": F.col("_size"), "_most": F.col("_size")}
+    )
+    return with_partner(probes, cells, (spec.year,), keys, None, tolerance, how)
 
 
 def corrected_lines(df: DataFrame, spec: LedgerSpec, **options) -> DataFrame:
