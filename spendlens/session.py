@@ -20,7 +20,9 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on.
 
     Partition sizes come from bytes, not from a core count: AQE coalesces a
-    generous number of shuffle partitions and splits the skewed ones.
+    generous number of shuffle partitions and splits the skewed ones. The
+    larger code cache serves a session that keeps answering many different
+    queries.
     """
     builder = (
         SparkSession.builder.appName("spendlens")
@@ -28,7 +30,7 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
     )
     if master:
         builder = builder.master(master)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_local_number, strip_text
 from ..spec import CITY, LedgerSpec
-from .ledger import conform
 
 # Spellings of the year column.
 YEAR_NAMES = ("ar", "ár", "year", "year_of_record")
@@ -48,24 +47,23 @@ def ingest_year_file(spark: SparkSession, path: str, spec: LedgerSpec = CITY) ->
     amount is parsed in local format, the year falls back to the one in the
     name, and lines are no corrections unless the file says so.
     """
-    df = merge_columns(
-        spark.read.csv(path, sep=";", header=True, multiLine=False, enforceSchema=False), spec
-    )
+    df = merge_columns(spark.read.csv(path, sep=";", header=True, enforceSchema=False), spec)
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in spec.schema.fields}
     if spec.amount in df.columns:
-        df = df.withColumn(spec.amount, parse_local_number(F.col(spec.amount), "decimal(18,2)"))
+        typed[spec.amount] = parse_local_number(F.col(spec.amount), "decimal(18,2)")
     fallback = F.lit(year_in(path)).cast("int")
-    stated = (
-        parse_local_number(F.col(spec.year)).cast("int") if spec.year in df.columns else F.lit(None)
+    typed[spec.year] = (
+        F.coalesce(parse_local_number(F.col(spec.year)).cast("int"), fallback)
+        if spec.year in df.columns
+        else fallback
+    )
+    typed[spec.flag] = (
+        F.lower(strip_text(F.col(spec.flag))).try_cast("boolean")
+        if spec.flag in df.columns
+        else F.lit(False)
     )
-    df = df.withColumn(spec.year, F.coalesce(stated, fallback))
-    if spec.flag in df.columns:
-        df = df.withColumn(spec.flag, F.lower(strip_text(F.col(spec.flag))).try_cast("boolean"))
-    else:
-        df = df.withColumn(spec.flag, F.lit(False))
-    for field in spec.schema.fields:
-        if field.name in df.columns and field.name not in (spec.amount, spec.year, spec.flag):
-            df = df.withColumn(field.name, F.col(field.name).try_cast(field.dataType))
-    return conform(df, spec)
+    names = [*df.columns, *(c for c in (spec.year, spec.flag) if c not in df.columns)]
+    return df.select(*(typed.get(c, F.col(f"`{c}`")).alias(c) for c in names))
 
 
 def combine_years(spark: SparkSession, paths: Iterable[str], spec: LedgerSpec = CITY) -> DataFrame:

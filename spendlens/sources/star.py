@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..spec import AMOUNT_TYPE, CITY, STATE
 
-_BUYER = {"_region", "_nation", "_segment", "_status"}
+_BUYER = {"_region", "_nation", "_segment"}
 _SELLER = {"_seller", "_seller_key"}
 _PART = {"_type", "_size"}
 
@@ -28,37 +28,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
     """Order lines with the wanted dimension columns.
 
-    The order side is completed with its customer first: the large table is
-    then shuffled once, on the order key.
+    Orders get their customer before they meet the lines: the large table is
+    then shuffled once, on the order key. The small tables come one by one at
+    the end of each chain, where Spark sees their true size and broadcasts
+    them; a join of two of them would be estimated as their product.
     """
     df = _table(spark, sf_dir, "lineitem")
     nation = _table(spark, sf_dir, "nation")
     if wanted & _BUYER:
-        orders = _table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", F.col("o_orderstatus").alias("_status")
+        customer = _table(spark, sf_dir, "customer").select(
+            "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("_segment")
         )
-        if wanted & (_BUYER - {"_status"}):
-            place = nation.join(
-                _table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-            ).select("n_nationkey", F.col("n_name").alias("_nation"), F.col("r_name").alias("_region"))
-            customer = (
-                _table(spark, sf_dir, "customer")
-                .join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-                .select("c_custkey", F.col("c_mktsegment").alias("_segment"), "_nation", "_region")
-            )
-            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        df = df.join(
-            orders.drop("o_custkey", "c_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left"
+        orders = (
+            _table(spark, sf_dir, "orders")
+            .select("o_orderkey", "o_custkey")
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         )
-    if wanted & _SELLER:
-        supplier = (
-            _table(spark, sf_dir, "supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                "s_suppkey", F.col("s_nationkey").alias("_seller_key"), F.col("n_name").alias("_seller")
+        if wanted & {"_nation", "_region"}:
+            home = nation.select(
+                F.col("n_nationkey").alias("_home"), F.col("n_name").alias("_nation"), "n_regionkey"
             )
+            orders = orders.join(home, F.col("c_nationkey") == F.col("_home"), "left")
+        if "_region" in wanted:
+            region = _table(spark, sf_dir, "region").select(
+                "r_regionkey", F.col("r_name").alias("_region")
+            )
+            orders = orders.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if wanted & _SELLER:
+        supplier = _table(spark, sf_dir, "supplier").select(
+            "s_suppkey", F.col("s_nationkey").alias("_seller_key")
         )
         df = df.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    if "_seller" in wanted:
+        seat = nation.select(F.col("n_nationkey").alias("_seat"), F.col("n_name").alias("_seller"))
+        df = df.join(seat, F.col("_seller_key") == F.col("_seat"), "left")
     if wanted & _PART:
         part = _table(spark, sf_dir, "part").select(
             "p_partkey", F.col("p_type").alias("_type"), F.col("p_size").alias("_size")

@@ -185,30 +185,31 @@ def export_ingest(spark, sf_dir):
     return per(chunks.ingest_export(spark, landed), "paid_on", "buyer", "type")
 
 
-def _land_city_csv(spark: SparkSession, sf_dir: str) -> list[str]:
+def _land_city_csv(
+    spark: SparkSession, sf_dir: str, drop: tuple[str, ...], even_years_only: bool = False
+) -> list[str]:
     """Yearly CSV folders as a city publishes them.
 
-    Even years lack the year column and the expense columns, so the year must
-    come from the name and the columns from the other years.
+    The columns in ``drop`` are missing, in all years or in the even ones: a
+    missing year must come from the name, other columns from the other years.
     """
     landed = scratch_path(spark, "annual")
     lines = city_ledger(spark, sf_dir).drop("is_correction")
     local = F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))
-    text = _file_names(lines.withColumn("amount", local), CITY)
-    named = text.withColumn("annual", F.col("ar"))
-    odd = named.filter(F.col("ar") % 2 == 1)
-    even = named.filter(F.col("ar") % 2 == 0).drop("ar", "tgr1", "xtgr1")
-    for part in (odd, even):
+    named = _file_names(lines.withColumn("amount", local), CITY).withColumn("annual", F.col("ar"))
+    even = F.col("annual") % 2 == 0
+    parts = [named.filter(~even), named.filter(even).drop(*drop)] if even_years_only else [named.drop(*drop)]
+    for part in parts:
         part.hint("rebalance", F.col("annual")).write.mode("append").partitionBy("annual").option(
             "header", True
         ).option("sep", ";").csv(landed)
-    found = [r[0] for r in lines.select("year").distinct().collect()]
+    found = [r[0] for r in city_ledger(spark, sf_dir, ["year"]).distinct().collect()]
     return [f"{landed}/annual={y}" for y in sorted(found)]
 
 
 @query
 def csv_ingest(spark, sf_dir):
-    lines = csv.combine_years(spark, _land_city_csv(spark, sf_dir))
+    lines = csv.combine_years(spark, _land_city_csv(spark, sf_dir, ("ar",)))
     return per(
         lines, "year", "org0", "org1", "org2", "type0", "type1",
         supplier_name().alias("supplier_name"), "is_correction",
@@ -217,8 +218,8 @@ def csv_ingest(spark, sf_dir):
 
 @query
 def union_years(spark, sf_dir):
-    lines = csv.combine_years(spark, _land_city_csv(spark, sf_dir))
-    return lines.groupBy("year").agg(
+    paths = _land_city_csv(spark, sf_dir, ("ar", "tgr1", "xtgr1"), even_years_only=True)
+    return csv.combine_years(spark, paths).groupBy("year").agg(
         F.count("*").alias("n"),
         F.count("expense_code").alias("with_code"),
         F.count("expense_label").alias("with_label"),
