@@ -1,0 +1,191 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+from decimal import Decimal
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from spendlens import jobs
+from spendlens.sources import calendar, catalog, chunks, csv, ledger, sinks
+from spendlens.sources.star import city_ledger, state_ledger
+from spendlens.spec import CITY, STATE
+
+from .data import money, rows, state
+
+
+def put(folder, name, text):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(text, encoding="utf-8")
+    return str(folder / name)
+
+
+def test_absent_table_is_none(spark, tmp_path):
+    nowhere = str(tmp_path / "nowhere")
+    assert ledger.open_table(spark, nowhere) is None
+    assert ledger.open_ledger(spark, nowhere, STATE) is None
+    assert ledger.open_yoy(spark, nowhere, STATE) is None
+    assert ledger.anomaly_source(spark, nowhere, nowhere, STATE) is None
+
+
+def test_published_names_become_canonical(spark, tmp_path):
+    path = str(tmp_path / "published")
+    spark.createDataFrame(
+        [("A", "s", "t", 12, dt.datetime(2020, 5, 6, 1, 2), 77, None)],
+        "Kaupandi string, Birgi string, Tegund string, `Upphæð línu` bigint, `Dags.greiðslu` timestamp_ntz, "
+        "`Númer reiknings` bigint, is_correction boolean",
+    ).write.parquet(path)
+    df = ledger.open_ledger(spark, path, STATE, view="lines")
+    assert rows(df) == [("A", "s", "t", Decimal("12.00"), dt.date(2020, 5, 6), "77", None, 2020)]
+    assert spark.table("lines").count() == 1
+
+
+def test_flagged_table_comes_first(spark, tmp_path):
+    from spendlens.operators.yoy import flag_anomalies, year_over_year
+
+    base = state(spark, [
+        ("A", "s", "t", 10, "2020-01-01", "1", None), ("A", "s", "t", 11, "2021-01-01", "1", None),
+        ("B", "s", "t", 10, "2020-01-01", "1", None), ("B", "s", "t", 99, "2021-01-01", "1", None),
+    ])
+    all_path, flagged = str(tmp_path / "all"), str(tmp_path / "flagged")
+    source = str(tmp_path / "ledger")
+    sinks.write_by_year(base, source, STATE)
+    jobs.build_anomalies(spark, STATE, source, all_path, flagged, 20, 1000)
+    got = ledger.anomaly_source(spark, flagged, all_path, STATE)
+    want = flag_anomalies(year_over_year(base, STATE), 20, 1000)
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert ledger.anomaly_source(spark, str(tmp_path / "x"), all_path, STATE).count() == 4
+    assert ledger.resolve_column(got, "org0", ("nope", "buyer")) == "buyer"
+
+
+def test_yearly_csv(spark, tmp_path):
+    a = put(tmp_path, "arsuppgjor_2021.csv", (
+        "ar;Raun;SAMTALA2; tegund0 ;vm_numer\n"
+        "2020;1.234,50;x;t;12\n;-7;;t;\n2021;rugl;y;;abc\n"
+    ))
+    b = put(tmp_path, "2022.csv", "raun;samtala0;is_correction\n5;o;True\n;p;false\n")
+    df = csv.combine_years(spark, [a, b])
+    got = rows(df, "year", "amount", "org2", "type0", "vat_no", "org0", "is_correction")
+    assert got == sorted([
+        (2020, Decimal("1234.50"), "x", "t", 12, None, False), (2021, Decimal("-7.00"), None, "t", None, None, False),
+        (2021, None, "y", None, None, None, False), (2022, Decimal("5.00"), None, None, None, "o", True),
+        (2022, None, None, None, None, "p", False),
+    ], key=repr)
+    with pytest.raises(ValueError, match="no CSV"):
+        csv.combine_years(spark, [])
+
+
+def test_two_spellings_of_one_column_merge(spark):
+    df = spark.createDataFrame([(None, 2020), (2019, 2020)], "`ár` int, Year int")
+    assert rows(csv.merge_columns(df)) == [(2019,), (2020,)]
+    assert csv.normalize_column_name("  SAMTALA2 ") == "org2"
+    assert csv.normalize_column_name("Other") == "other"
+    assert csv.year_in("/data/1999/plain.csv") is None
+
+
+def test_exports_skip_empty_files(spark, tmp_path):
+    head = "Kaupandi,Birgi,Tegund,Upphæð línu,Dags.greiðslu,Númer reiknings\n"
+    folder = tmp_path / "exports"
+    put(folder, "a.csv", head + 'A,s,t,10.5,2020-01-31,1\n"B, C",s,t,-3,01.02.2020,2\n')
+    put(folder, "empty.csv", head[:40])
+    df = chunks.ingest_export(spark, str(folder))
+    assert rows(df, "buyer", "amount", "paid_on", "invoice") == [
+        ("A", Decimal("10.50"), dt.date(2020, 1, 31), "1"), ("B, C", Decimal("-3.00"), dt.date(2020, 2, 1), "2"),
+    ]
+    hollow = tmp_path / "hollow"
+    put(hollow, "empty.csv", "x")
+    assert chunks.ingest_export(spark, str(hollow)) is None
+
+
+def test_chunks_of_drifting_types_combine(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    spark.createDataFrame([("A", 5)], "Kaupandi string, `Upphæð línu` bigint").write.parquet(one)
+    spark.createDataFrame([("B", 2.5, "t")], "Kaupandi string, `Upphæð línu` double, Tegund string").write.parquet(two)
+    got = chunks.combine_chunks(spark, [one, two], str(tmp_path / "out"), same_layout=False)
+    assert rows(got, "buyer", "amount", "type") == [("A", money(5).quantize(Decimal("0.01")), None), ("B", Decimal("2.50"), "t")]
+    with pytest.raises(ValueError, match="no chunks"):
+        chunks.combine_chunks(spark, [], str(tmp_path / "none"))
+
+
+def test_months_are_replaced_not_added(spark, tmp_path):
+    path = str(tmp_path / "months")
+    old = state(spark, [("A", "s", "t", 1, "2020-01-05", "1", None), ("A", "s", "t", 2, "2020-02-05", "2", None)])
+    new = state(spark, [("A", "s", "t", 9, "2020-02-07", "3", None)])
+    for df in (old, new, new):
+        sinks.write_by_month(df, path)
+    assert rows(spark.read.parquet(path), "invoice") == [("1",), ("3",)]
+
+
+def test_yoy_files_are_ordered(spark, tmp_path, small):
+    from spendlens.operators.yoy import year_over_year
+
+    path = str(tmp_path / "yoy")
+    sinks.write_yoy(year_over_year(state_ledger(spark, small), STATE), path, STATE)
+    one_file = spark.read.parquet(path).withColumn("f", F.input_file_name())
+    first = one_file.select("f").filter("year = 1998").first()["f"]
+    sizes = [abs(r["yoy_real_change"]) for r in spark.read.parquet(first).collect()]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_codec(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "t"
+    sinks.write_table(spark.range(5), str(path))
+    part = next(path.glob("*.parquet"))
+    assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "SNAPPY"
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "count", "first", "last"),
+    [
+        ("2020-01-15", "2020-03-10", 3, ("2020-01-15", "2020-01-31"), ("2020-03-01", "2020-03-10")),
+        ("2020-02-10", "2020-02-20", 1, ("2020-02-10", "2020-02-20"), ("2020-02-10", "2020-02-20")),
+        ("2020-01-31", "2020-02-29", 2, ("2020-01-31", "2020-01-31"), ("2020-02-01", "2020-02-29")),
+        ("2020-02-10", "2020-02-09", 0, None, None),
+    ],
+)
+def test_month_chunks(spark, start, end, count, first, last):
+    days = tuple(dt.date.fromisoformat(d) for d in (start, end))
+    got = calendar.month_chunks(spark.createDataFrame([days], "a date, b date"), "a", "b").orderBy("chunk_start").collect()
+    assert len(got) == count
+    if count:
+        assert tuple(d.isoformat() for d in got[0][:2]) == first
+        assert tuple(d.isoformat() for d in got[-1][:2]) == last
+
+
+def test_high_water_mark(spark):
+    df = state(spark, [("A", "s", "t", 1, d, "1", None) for d in ("2020-05-17", "2019-01-01", None)])
+    assert rows(calendar.high_water_mark(df)) == [(dt.date(2020, 5, 17), dt.date(2020, 5, 1))]
+    assert rows(calendar.high_water_mark(df.filter("false"))) == [(dt.date(2017, 1, 1), dt.date(2017, 1, 1))]
+    today = dt.date(2020, 6, 2)
+    assert calendar.refresh_window(df, today) == (dt.date(2020, 5, 1), today)
+    assert calendar.refresh_window(None, today) == (dt.date(2017, 1, 1), today)
+
+
+def test_catalog(spark):
+    good = json.dumps({"success": True, "result": {"resources": [
+        {"format": "csv", "url": "u1", "name": "r2020"}, {"format": "XLSX", "url": "u2", "name": "r2020"},
+        {"format": "CSV", "url": "", "name": "r2021"}, {"format": "CSV", "url": "u4"}, {"url": "u5"},
+    ]}})
+    bad = json.dumps({"success": False, "error": "closed"})
+    df = spark.createDataFrame([(good,)], "a string")
+    found = catalog.catalog_resources(df, "a")
+    assert rows(found) == [("u1", "r2020"), ("u4", "resource")]
+    assert rows(catalog.with_year_in_name(found, ["2020", "2024"])) == [("u1", "r2020")]
+    failing = spark.createDataFrame([(bad,)], "a string")
+    assert catalog.catalog_resources(failing, "a", strict=False).count() == 0
+    with pytest.raises(PySparkException, match="closed"):
+        catalog.catalog_resources(failing, "a").collect()
+
+
+def test_star_keeps_every_line(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    for build in (state_ledger, city_ledger):
+        full = build(spark, small)
+        assert full.count() == lines
+        some = build(spark, small, ["year", "amount"])
+        assert rows(some.groupBy("year").agg(F.sum("amount"))) == rows(full.groupBy("year").agg(F.sum("amount")))
+    assert set(city_ledger(spark, small).columns) == {*CITY.schema.names}
