@@ -17,6 +17,7 @@ HEADLINE = [
     "breakdown_buyer",
     "breakdown_seller",
     "breakdown_seller_city",
+    "breakdowns_city",
     "preview_page",
     "preview_far_page",
     "analysis_change",

@@ -44,7 +44,8 @@ def _open(spark: SparkSession, path: str, spec: LedgerSpec) -> DataFrame:
 
 
 def mark_corrections(
-    spark: SparkSession, spec: LedgerSpec, source: str, output: str, threshold: float, symmetric: bool = False
+    spark: SparkSession, spec: LedgerSpec, source: str, output: str, threshold: float,
+    symmetric: bool = False, keep_layout: bool = False,
 ) -> None:
     """A ledger with its correction mark, stored by year."""
     df = _open(spark, source, spec)
@@ -52,7 +53,7 @@ def mark_corrections(
         marked = corrections.flag_state_corrections(df, spec, threshold=threshold, symmetric=symmetric)
     else:
         marked = corrections.flag_city_corrections(df, spec, threshold=threshold)
-    write_by_year(marked, output, spec)
+    write_by_year(marked, output, spec, keep_layout)
 
 
 def build_anomalies(
@@ -121,6 +122,7 @@ def _parser() -> argparse.ArgumentParser:
     sub = command("corrections", "input", "output", kind=True)
     sub.add_argument("--threshold", type=float, default=corrections.THRESHOLD)
     sub.add_argument("--symmetric", action="store_true")
+    sub.add_argument("--keep-layout", action="store_true", help="the input is stored by year")
     sub = command("anomalies", "input", "output-all", "output-flagged", kind=True)
     sub.add_argument("--min-pct", type=float, default=20.0)
     sub.add_argument("--min-amount", type=float, default=50e6)
@@ -160,7 +162,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         case "ingest-city":
             write_by_year(combine_years(spark, args.files), args.output, CITY)
         case "corrections":
-            mark_corrections(spark, spec, args.input, args.output, args.threshold, args.symmetric)
+            mark_corrections(spark, spec, args.input, args.output, args.threshold, args.symmetric, args.keep_layout)
         case "anomalies":
             build_anomalies(
                 spark, spec, args.input, args.output_all, args.output_flagged, args.min_pct, args.min_amount

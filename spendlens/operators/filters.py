@@ -60,6 +60,11 @@ def year_is(spec: LedgerSpec, year: object) -> Column:
     return same_year
 
 
+def year_in(spec: LedgerSpec, wanted: Iterable[int]) -> Column:
+    """Any of several years."""
+    return reduce(lambda a, b: a | b, (year_is(spec, y) for y in wanted), F.lit(False))
+
+
 def sign_is(spec: LedgerSpec, sign: str) -> Column:
     amount = F.col(spec.amount)
     return {"pos": amount > 0, "neg": amount < 0}.get(sign, F.lit(True))

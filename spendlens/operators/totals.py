@@ -6,8 +6,11 @@ the shuffle as one row per task. The rankings end in a bounded top-k.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dates import years_label
 from ..functions.measures import signed_sums
@@ -63,16 +66,21 @@ def overall(df: DataFrame, spec: LedgerSpec, where: Column | None = None) -> Dat
 
 def page_count(df: DataFrame, where: Column, limit: int) -> DataFrame:
     """Matching lines and the number of pages they fill, at least one."""
-    n = F.count("*")
-    return df.filter(where).agg(
-        n.alias("n"), F.greatest(F.lit(1), F.ceil(n / F.lit(limit))).cast("bigint").alias("pages")
-    )
+    return with_pages(df.filter(where).agg(F.count("*").alias("n")), limit)
+
+
+def with_pages(counted: DataFrame, limit: int) -> DataFrame:
+    pages = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(limit)))
+    return counted.withColumn("pages", pages.cast("bigint"))
+
+
+def _key(group: Column | str) -> Column:
+    return F.col(group) if isinstance(group, str) else group
 
 
 def by_group(df: DataFrame, spec: LedgerSpec, group: Column | str) -> DataFrame:
     """Total and line count per group; NULL is a group of its own."""
-    key = F.col(group) if isinstance(group, str) else group
-    return df.groupBy(key.alias("grp")).agg(
+    return df.groupBy(_key(group).alias("grp")).agg(
         F.sum(spec.amount).alias("total"), F.count("*").alias("n")
     )
 
@@ -100,6 +108,35 @@ def breakdown(
     return rows
 
 
+def breakdowns(
+    df: DataFrame,
+    spec: LedgerSpec,
+    sections: Mapping[str, Column | str],
+    where: Column,
+    top: int = TOP_GROUPS,
+) -> DataFrame:
+    """Several breakdowns from one scan of the ledger.
+
+    Every line enters each section's partial aggregation. The ranking keeps
+    the ``top`` groups of a section in each task before they meet, so no task
+    receives all groups of a section.
+    """
+    keys = [F.struct(F.lit(name).alias("section"), _key(c).cast("string").alias("grp"))
+            for name, c in sections.items()]
+    groups = (
+        df.filter(where)
+        .select(F.col(spec.amount), F.inline(F.array(*keys)))
+        .groupBy("section", "grp")
+        .agg(F.sum(spec.amount).alias("total"), F.count("*").alias("n"))
+    )
+    order = Window.partitionBy("section").orderBy(
+        F.col("total").desc_nulls_last(), F.col("grp").asc_nulls_first()
+    )
+    return (
+        groups.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top).drop("_rank")
+    )
+
+
 def top_groups(
     df: DataFrame, spec: LedgerSpec, group: str, where: Column, top: int = TOP_GROUPS
 ) -> DataFrame:

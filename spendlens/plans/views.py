@@ -42,22 +42,28 @@ def home_view(ledger: DataFrame | None, spec: LedgerSpec) -> Frames:
 def explorer_view(
     ledger: DataFrame, spec: LedgerSpec, selection: Selection, page: int = 1, limit: int = 50
 ) -> Frames:
+    """Filters, chart, breakdowns, totals and a page of lines.
+
+    The three breakdowns (column ``section``) are one scan, totals and number
+    of pages another.
+    """
     where = selection.predicate(spec)
     limit = preview.clamp_limit(limit)
+    sections = {"type": spec.type, "buyer": spec.buyer, "seller": spec.seller}
     frames = {
         "years": years(ledger, spec),
         "type_options": options(ledger, spec.type),
         "buyer_options": options(ledger, spec.buyer),
         "yearly": totals.yearly_total(ledger, spec, selection.predicate(spec, with_year=False)),
-        "by_type": totals.breakdown(ledger, spec, spec.type, where, missing=spec.type_fallback),
-        "by_buyer": totals.breakdown(ledger, spec, spec.buyer, where),
-        "by_seller": totals.breakdown(ledger, spec, spec.seller, where),
-        "totals": totals.overall(ledger, spec, where),
-        "pages": totals.page_count(ledger, where, limit),
+        "breakdowns": totals.breakdowns(ledger, spec, sections, where),
+        "totals": totals.with_pages(totals.overall(ledger, spec, where), limit),
         "preview": preview.preview_page(ledger, spec, where, page, limit),
     }
     if not spec.seller_column:
         frames["unit_options"] = options(ledger, spec.buyers[1])
+    if spec.type_fallback:
+        name = F.when((F.col("section") == "type") & F.col("grp").isNull(), spec.type_fallback)
+        frames["breakdowns"] = frames["breakdowns"].withColumn("grp", F.coalesce(name, "grp"))
     return frames
 
 

@@ -17,10 +17,16 @@ def write_table(df: DataFrame, path: str, compression: str = "snappy") -> None:
     df.write.mode("overwrite").option("compression", compression).parquet(path)
 
 
-def write_by_year(df: DataFrame, path: str, spec: LedgerSpec) -> None:
-    """A whole ledger, one folder per year."""
+def write_by_year(
+    df: DataFrame, path: str, spec: LedgerSpec, keep_layout: bool = False
+) -> None:
+    """A whole ledger, one folder per year.
+
+    ``keep_layout`` saves the shuffle when the lines come from a table that is
+    stored by year already: each task then holds lines of one year.
+    """
     (
-        df.hint("rebalance", F.col(spec.year))
+        (df if keep_layout else df.hint("rebalance", F.col(spec.year)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(spec.year)

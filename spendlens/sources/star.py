@@ -21,8 +21,24 @@ _SELLER = {"_seller", "_seller_key"}
 _PART = {"_type", "_size"}
 
 
+# Columns used of each table. A stated schema saves the job that would read it
+# from the files.
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, "
+        "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:

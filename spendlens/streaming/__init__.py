@@ -1,5 +1,5 @@
 """Keeping a stored ledger current."""
 
-from .refresh import apply_deliveries, land_delivery, refresh
+from .deliveries import apply_deliveries, land_delivery, refresh
 
 __all__ = ["apply_deliveries", "land_delivery", "refresh"]

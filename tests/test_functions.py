@@ -75,7 +75,7 @@ def test_missing_seller_label(spark):
 
 
 def test_year_from_name(spark):
-    rows = [("arsuppgjor_2023.csv",), ("1999-2004",), ("x1800",), ("",), (None,)]
+    rows = [("annual_2023.csv",), ("1999-2004",), ("x1800",), ("",), (None,)]
     assert values(spark, rows, "n string", year_from_name(F.col("n"))) == [2023, 1999, None, None, None]
 
 

@@ -190,6 +190,15 @@ def test_yoy_cases(spark):
     assert yoy.flag_anomalies(table, 20, 1000).count() == 1
 
 
+def test_yoy_of_some_years_is_part_of_the_whole(spark, small):
+    from spendlens.sources.star import city_ledger, state_ledger
+
+    for spec, build in ((STATE, state_ledger), (CITY, city_ledger)):
+        df = build(spark, small)
+        whole = yoy.year_over_year(df, spec).filter("year IN (1996, 1999)")
+        assert rows(yoy.year_over_year(df, spec, [1999, 1996])) == rows(whole)
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     make = "g string, type string, buyer string, year int, actual_real decimal(28,2), prior_real decimal(28,2), yoy_real_change decimal(28,2), yoy_real_pct double"

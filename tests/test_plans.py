@@ -90,6 +90,20 @@ def test_sums_are_combined_before_the_shuffle(stored):
         assert "partial_sum" in plan(df)
 
 
+def test_one_scan_serves_all_breakdowns(stored):
+    sections = {"type": "type0", "buyer": "org0", "seller": CITY.seller}
+    text = plan(totals.breakdowns(stored[2], CITY, sections, F.lit(True)))
+    assert text.count(") Scan parquet") == 1
+    assert text.count(") WindowGroupLimit") == 2  # in each task, then for all
+    assert "partial_sum" in text
+
+
+def test_a_hot_invoice_is_one_lookup(stored, no_broadcast):
+    hits = stored[1].select("invoice").distinct()
+    text = plan(corrections.flag_by_invoice(stored[1], STATE, hits))
+    assert "SortMergeJoin LeftOuter" in text
+
+
 def test_no_python_in_any_operator_plan(stored):
     for df in (
         yoy.year_over_year(stored[2], CITY),

@@ -6,7 +6,7 @@ from spendlens import jobs
 from spendlens.sources import open_ledger
 from spendlens.spec import STATE
 from spendlens.streaming import land_delivery, refresh
-from spendlens.streaming.refresh import read_refreshed
+from spendlens.streaming.deliveries import read_refreshed
 
 from .data import rows, state
 

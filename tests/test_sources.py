@@ -61,7 +61,7 @@ def test_flagged_table_comes_first(spark, tmp_path):
 
 
 def test_yearly_csv(spark, tmp_path):
-    a = put(tmp_path, "arsuppgjor_2021.csv", (
+    a = put(tmp_path, "annual_2021.csv", (
         "ar;Raun;SAMTALA2; tegund0 ;vm_numer\n"
         "2020;1.234,50;x;t;12\n;-7;;t;\n2021;rugl;y;;abc\n"
     ))

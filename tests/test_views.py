@@ -38,8 +38,13 @@ def test_explorer(world):
     spec, ledger, _ = world
     frames = explorer_view(ledger, spec, Selection(type="ECONOMY"), page=2, limit=20)
     total = frames["totals"].first()
-    assert sum(r["n"] for r in frames["by_buyer"].collect()) == total["n"]
-    assert frames["pages"].first()["pages"] == -(-total["n"] // 20)
+    parts = frames["breakdowns"].collect()
+    assert sum(r["n"] for r in parts if r["section"] == "buyer") == total["n"]
+    assert total["pages"] == -(-total["n"] // 20)
+    assert {r["section"] for r in parts} == {"type", "buyer", "seller"}
+    everything = explorer_view(ledger, spec, Selection())["breakdowns"].collect()
+    missing = [r["grp"] for r in everything if r["section"] == "type" and r["grp"] in (None, "Ótilgreint")]
+    assert missing == (["Ótilgreint"] if spec is CITY else [])
     assert frames["preview"].count() == 20
     assert frames["preview"].columns == list(spec.preview)
     assert ("unit_options" in frames) == (spec is CITY)

@@ -143,6 +143,10 @@ def _ledgers() -> dict[str, str]:
             GROUP BY {buyer} ORDER BY total DESC NULLS LAST, grp NULLS FIRST LIMIT 30""")
         put("breakdown_seller", f"""SELECT {seller} AS grp, {SUMS} FROM {src} WHERE {KEEP}
             GROUP BY 1 ORDER BY total DESC NULLS LAST, grp NULLS FIRST LIMIT 10""")
+        put("breakdowns", " UNION ALL ".join(
+            f"""SELECT * FROM (SELECT '{name}' AS section, {g} AS grp, {SUMS} FROM {src} WHERE {KEEP}
+            GROUP BY 2 ORDER BY total DESC NULLS LAST, grp NULLS FIRST LIMIT 10)"""
+            for name, g in (("type", typ), ("buyer", buyer), ("seller", seller))))
         put("explore_totals", f"SELECT {SUMS}, {POS}, {NEG} FROM {src} WHERE {pick} AND year = 1998")
         put("explore_totals_empty", f"SELECT {SUMS}, {POS}, {NEG} FROM {src} WHERE {KEEP} AND {typ} = 'NO SUCH TYPE'")
         put("report_top_groups", f"""SELECT {buyer} AS grp, {SUMS}, {POS}, {NEG} FROM {src} WHERE {KEEP} AND year = 1998
@@ -328,22 +332,22 @@ SQL: dict[str, str] = {
         CAST(NULL AS VARCHAR) AS vm_numer, CAST(NULL AS VARCHAR) AS vsk_link FROM state"""),
     "vat_template_coverage": _state("""SELECT COUNT(DISTINCT COALESCE(NULLIF(TRIM(seller), ''), '(óskráð)')) AS sellers,
         CAST(0 AS BIGINT) AS with_vat FROM state"""),
-    "local_number": """SELECT l_linenumber, COUNT(*) AS n,
+    "parse_local_number": """SELECT l_linenumber, COUNT(*) AS n,
         COUNT(CASE WHEN l_linenumber > 2 THEN 1 END) AS parsed,
         CAST(SUM(CASE WHEN l_linenumber > 3 THEN CAST(l_extendedprice AS DECIMAL(18,2))
                       WHEN l_linenumber = 3 THEN -CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS total
         FROM lineitem GROUP BY l_linenumber""",
-    "amount_text": _state("""SELECT seller, year, replace(format('{:,.0f}', CAST(SUM(amount) AS DOUBLE)), ',', '.') AS shown
+    "format_amount": _state("""SELECT seller, year, replace(format('{:,.0f}', CAST(SUM(amount) AS DOUBLE)), ',', '.') AS shown
         FROM state GROUP BY seller, year"""),
-    "pct_text": f"""WITH {STATE_YOY} SELECT year, buyer, seller, type,
+    "format_pct": f"""WITH {STATE_YOY} SELECT year, buyer, seller, type,
         CASE WHEN yoy_real_pct IS NULL THEN '–' ELSE printf('%+.1f%%', yoy_real_pct) END AS shown FROM yoy""",
-    "supplier_names": _city(f"SELECT {SUPPLIER} AS supplier_name, {SUMS} FROM city GROUP BY 1"),
+    "supplier_name": _city(f"SELECT {SUPPLIER} AS supplier_name, {SUMS} FROM city GROUP BY 1"),
     "missing_label": _city(f"""SELECT COALESCE(NULLIF(TRIM(company), ''), '(óskráð)') AS seller_name, {SUMS}
         FROM city GROUP BY 1"""),
-    "name_year": """SELECT page_id, CAST(NULLIF(regexp_extract(html, '(19|20)[0-9]{2}'), '') AS INTEGER) AS year FROM pages""",
-    "entity_id": """SELECT page_id, NULLIF(regexp_extract(html, '\\b[0-9]{10}\\b'), '') AS entity FROM pages""",
+    "year_from_name": """SELECT page_id, CAST(NULLIF(regexp_extract(html, '(19|20)[0-9]{2}'), '') AS INTEGER) AS year FROM pages""",
+    "extract_entity_id": """SELECT page_id, NULLIF(regexp_extract(html, '\\b[0-9]{10}\\b'), '') AS entity FROM pages""",
     "export_dates": _state("SELECT strftime(paid_on, '%d.%m.%Y') AS day, COUNT(*) AS n FROM state GROUP BY 1"),
-    "active_vat_number": """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN NULL
+    "active_vat": """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN NULL
         WHEN 1 THEN CASE WHEN s_acctbal < 0 THEN NULL ELSE CAST(s_suppkey * 10 + 1 AS VARCHAR) END
         WHEN 2 THEN CAST(s_suppkey * 10 + 1 AS VARCHAR)
         ELSE CASE WHEN s_acctbal >= 0 OR s_suppkey % 3 = 0 THEN CAST(s_suppkey * 10 + 1 AS VARCHAR)
@@ -359,7 +363,7 @@ _SELLERS = f"""sellers AS (
 SQL["sellers_union"] = f"WITH {STATE}, {CITY}, {_SELLERS} SELECT seller FROM sellers"
 SQL["vat_enrich"] = f"""WITH {STATE}, {CITY}, {_SELLERS},
   answers AS (SELECT 'NATION_' || CAST(s_nationkey AS VARCHAR) AS name, vat FROM supplier
-              JOIN ({SQL['active_vat_number']}) v USING (s_suppkey)),
+              JOIN ({SQL['active_vat']}) v USING (s_suppkey)),
   numbers AS (SELECT name, MIN(vat) AS vm_numer FROM answers WHERE vat IS NOT NULL GROUP BY name)
   SELECT seller AS seller_name, vm_numer, '{VAT_PAGE}' || vm_numer AS vsk_link
   FROM sellers LEFT JOIN numbers ON seller = name"""

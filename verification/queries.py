@@ -44,7 +44,7 @@ from spendlens.sources import calendar, catalog, chunks, csv, ledger, sinks
 from spendlens.sources.star import city_ledger, state_ledger
 from spendlens.spec import CITY, STATE, LedgerSpec
 from spendlens.streaming import land_delivery, refresh
-from spendlens.streaming.refresh import read_refreshed
+from spendlens.streaming.deliveries import read_refreshed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +77,18 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    """Register a query under a name."""
+
+    def register(fn: Query) -> Query:
+        _QUERIES[name] = lambda spark, sf_dir: _plain(fn(spark, sf_dir))
+        return fn
+
+    return register
+
+
 def query(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = lambda spark, sf_dir: _plain(fn(spark, sf_dir))
-    return fn
+    return named(fn.__name__)(fn)
 
 
 def all_queries() -> dict[str, Query]:
@@ -99,8 +108,9 @@ class Source:
         base = {"year", "amount", "is_correction"} | ({"paid_on"} if self.spec.date else set())
         return self.build(spark, sf_dir, base | set(columns))
 
-    def yoy(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return yoy.year_over_year(self.lines(spark, sf_dir, *self.spec.grain), self.spec)
+    def yoy(self, spark: SparkSession, sf_dir: str, *only: int) -> DataFrame:
+        lines = self.lines(spark, sf_dir, *self.spec.grain)
+        return yoy.year_over_year(lines, self.spec, only or None)
 
 
 S = Source(STATE, state_ledger, "")
@@ -340,7 +350,7 @@ def supplier_filter(spark, sf_dir):
 
 @query
 def anomaly_filter(spark, sf_dir):
-    return S.yoy(spark, sf_dir).filter(UP.predicate())
+    return S.yoy(spark, sf_dir, YEAR).filter(UP.predicate())
 
 
 @both
@@ -479,7 +489,7 @@ def analysis_unknown_value(spark, sf_dir):
 @both
 def anomaly_score(spark, sf_dir, src):
     return anomalies.anomaly_score(
-        src.yoy(spark, sf_dir), src.spec.buyer, AnomalySelection(year=YEAR).predicate(), 20
+        src.yoy(spark, sf_dir, YEAR), src.spec.buyer, AnomalySelection(year=YEAR).predicate(), 20
     )
 
 
@@ -550,6 +560,14 @@ def breakdown_seller(spark, sf_dir, src):
     return totals.breakdown(lines, src.spec, src.spec.seller, keep_lines(src.spec), top=10)
 
 
+@both
+def breakdowns(spark, sf_dir, src):
+    spec = src.spec
+    lines = src.lines(spark, sf_dir, spec.type, spec.buyer, *(SUPPLIER if src is C else ("seller",)))
+    sections = {"type": spec.type, "buyer": spec.buyer, "seller": spec.seller}
+    return totals.breakdowns(lines, spec, sections, keep_lines(spec), top=10)
+
+
 @both
 def explore_totals(spark, sf_dir, src):
     lines = src.lines(spark, sf_dir, src.spec.type, src.spec.buyer)
@@ -691,7 +709,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@named("active_vat")
 def active_vat_number(spark, sf_dir):
     return _answers(spark, sf_dir).select("s_suppkey", active_vat(F.col("answer")).alias("vat"))
 
@@ -702,7 +720,7 @@ def vat_enrich(spark, sf_dir):
     return enrich.enrich_sellers(_sellers(spark, sf_dir), numbers)
 
 
-@query
+@named("extract_entity_id")
 def entity_id(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", extract_entity_id(F.col("html")).alias("entity"))
@@ -711,7 +729,7 @@ def entity_id(spark, sf_dir):
 # --- scalar functions --------------------------------------------------------
 
 
-@query
+@named("parse_local_number")
 def local_number(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     whole = F.col("l_extendedprice").cast("decimal(18,2)")
@@ -730,21 +748,21 @@ def local_number(spark, sf_dir):
     )
 
 
-@query
+@named("format_amount")
 def amount_text(spark, sf_dir):
     lines = S.lines(spark, sf_dir, "seller")
     rows = lines.groupBy("seller", "year").agg(F.sum("amount").alias("total"))
     return rows.select("seller", "year", format_amount(F.col("total")).alias("shown"))
 
 
-@query
+@named("format_pct")
 def pct_text(spark, sf_dir):
     return S.yoy(spark, sf_dir).select(
         "year", *STATE.grain, format_pct(F.col("yoy_real_pct")).alias("shown")
     )
 
 
-@query
+@named("supplier_name")
 def supplier_names(spark, sf_dir):
     lines = C.lines(spark, sf_dir, *SUPPLIER)
     return per(lines, supplier_name().alias("supplier_name"))
@@ -756,7 +774,7 @@ def missing_label(spark, sf_dir):
     return per(lines, seller_or_missing(F.col("company")).alias("seller_name"))
 
 
-@query
+@named("year_from_name")
 def name_year(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", year_from_name(F.col("html")).alias("year"))
