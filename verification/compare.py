@@ -66,7 +66,14 @@ def difference(spark, con, sf_dir: str, name: str) -> str:
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = build_session(
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+        },
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
