@@ -10,6 +10,8 @@ month.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,18 +58,24 @@ def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) ->
     """Replace the delivered months of the table at ``target``.
 
     ``lines`` holds complete deliveries. Lines without a date belong to no
-    month and are not stored.
+    month and are not stored. The few months and deliveries become a filter,
+    so lines are shuffled once, for the layout of the files.
     """
     spark = lines.sparkSession
     dated = lines.filter(F.col(spec.date).isNotNull())
     pairs = newest_months(dated, spec.date, open_table(spark, target))
     if not pairs:
         return
-    wanted = spark.createDataFrame(pairs, f"_month string, {DELIVERY} bigint")
-    fresh = dated.withColumn("_month", F.date_format(spec.date, "yyyy-MM")).join(
-        wanted, ["_month", DELIVERY]
+    months: dict[int, list[str]] = {}
+    for month, number in pairs:
+        months.setdefault(number, []).append(month)
+    month = F.date_format(spec.date, "yyyy-MM")
+    wanted = reduce(
+        lambda a, b: a | b,
+        ((F.col(DELIVERY) == n) & month.isin(found) for n, found in months.items()),
     )
-    write_by_month(fresh.select(*spec.schema.names, DELIVERY), target, spec.date)
+    fresh = dated.filter(wanted).select(*spec.schema.names, DELIVERY)
+    write_by_month(fresh, target, spec.date)
 
 
 def refresh(
