@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 from .store import keep
 from .text import whole, words
 
@@ -59,8 +59,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = simhash.near_copies(docs, columns=["doc_id"])
+    return marked.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("near.fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("near.component").alias("component_id"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_sharding": op4_sharding,
+    "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
