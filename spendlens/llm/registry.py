@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import mixing, quality, sharding, simhash
 from .store import keep
 from .text import whole, words
 
@@ -59,6 +59,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marked = simhash.near_copies(docs, columns=["doc_id"])
@@ -72,6 +83,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_sharding": op4_sharding,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
