@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, pii, quality, sharding, simhash
 from .store import keep
 from .text import whole, words
 
@@ -31,6 +31,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, columns=["doc_id"])
+
+    def count(nth: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["nth"] == nth)).cast("long")
+
+    return found.select(
+        "row.doc_id",
+        *(count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)),
+        F.sha2(pii.span_strings(F.col("base")), 256).alias("base_sha256"),
+        pii.span_strings(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = whole("text")
     docs = keep(
@@ -82,6 +97,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
