@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, sharding, simhash
+from . import decontam, mixing, pii, quality, sharding, simhash
 from .store import keep
 from .text import whole, words
 
@@ -74,6 +74,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = decontam.contaminated(docs, items)
+    return found.select("doc_id", "item_id", "windows", "found", "containment", "kind", "start")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
