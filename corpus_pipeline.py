@@ -1,22 +1,68 @@
-"""From raw documents to shards of training data."""
+"""From raw documents to shards of training data.
+
+Every stage takes (session, documents, folder of the tables). All but the last
+return documents with the columns they came with; ``run`` writes what a stage
+returns to the folder all executors share, and the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendlens.llm import decontam, mixing, quality, sharding, simhash
+from spendlens.llm.store import keep
+from spendlens.llm.text import letter_share, words
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier accepts."""
+    return quality.good_documents(docs, _table(spark, sf_dir, "labels"))
 
-from spendlens.llm import sharding
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no question of the benchmark."""
+    return decontam.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its source's weight asks for, with some none."""
+    mixed = mixing.mix(
+        docs, words("text"), letter_share("text"), mixing.shares_by_rank(), ["doc_id", "n_chars"]
+    )
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))
+    return mixed.withColumn("mix", copies).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs)
+    """Documents with shard, slot in the shard and index on the curve."""
+    placed = sharding.shard_documents(docs)
+    return placed.select(*docs.columns, "placed.shard", "placed.slot", "placed.curve")
+
 
+STAGES = [
+    ("quality classifier", reject_bad),
+    ("near copies", drop_copies),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-STAGES = [("sharding", shard)]
+#: Compressed sizes have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

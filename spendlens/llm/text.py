@@ -23,3 +23,10 @@ def unit(*columns: Column) -> Column:
     """A number in (0, 1) that depends on the values alone, so reruns agree."""
     bits = F.shiftrightunsigned(F.xxhash64(*columns), 12)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def letter_share(text: Column | str) -> Column:
+    """Letters among the characters that are not white space; 0 without any."""
+    body = whole(text)
+    letters = F.length(F.regexp_replace(body, r"[^\p{L}]++", ""))
+    return F.coalesce(letters / F.nullif(F.length(F.regexp_replace(body, r"\s++", "")), F.lit(0)), F.lit(0.0))
