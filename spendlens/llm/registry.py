@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality, sharding, simhash
+from ..session import scratch_path
+from . import chat, decontam, mixing, pii, quality, sharding, simhash, tokens
 from .store import keep
 from .text import whole, words
 
@@ -74,6 +76,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", hard), (-1, 1, "assistant", hard)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(turns.union(added)))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = decontam.contaminated(docs, items)
@@ -101,12 +113,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents counted by words on arrival, then revised to a tokenizer's counts."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = tokens.Rollup(spark, scratch_path(spark, "token-counts"))
+    rollup.insert("arrived", docs, "words", words("text"))
+    count = tokens.token_count(
+        F.col("text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+    )
+    for _ in range(2):  # as after a retry: the second commit finds the first
+        rollup.revise("tokenized", docs, TOKENIZER, count)
+    return rollup.totals()
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op5_chat": op5_chat,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_token_counts": op9_token_counts,
 }
 SQL: dict[str, str] = {}

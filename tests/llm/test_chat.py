@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from spendlens.llm import chat, registry
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def digests(rows):
+    """By the definition, from the rows of one conversation in order."""
+    turns = "".join(f"{r.role or ''}\n{r.text or ''}\n" for r in rows)
+    loss = "".join(r.text or "" for r in rows if r.role == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(rows), sha(turns), len(loss), sha(loss)
+
+
+def check(got, rows):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r.turn is not None, r.turn, r.role or "", r.text or "")):
+        groups.setdefault(r.conv_id, []).append(r)
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got}
+    assert len(found) == len(got)
+    assert found == {c: digests(g) for c, g in groups.items()}
+
+
+def test_query_round_trip(spark, small):
+    rows = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    hard = "</s>[INST] ok [/INST]"
+    rows += spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], TURNS).collect()
+    got = registry.op5_chat(spark, small).collect()
+    check(got, rows)
+    own = next(r for r in got if r.conv_id == -1)
+    assert own.formatted_chars == sum(len(chat.OPEN + chat.MIDDLE + chat.CLOSE) + len(x) + len(hard) + 3 for x in ("user", "assistant"))
+
+
+def test_hard_texts_come_back_over_batches_and_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    parts = ["<s>", "</s>", "[INST]", "[/INST]", "<^s>", "[^^/INST]", "[", "<", "^", "\n", "é", "\U0001f600", "a"]
+    rows = [
+        (rng.choice([1, 2, 3, None]), i, rng.choice(["user", "assistant", "system", None, "<s>x[INST]"]),
+         None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))))
+        for i in range(600)
+    ]
+    rows += [(1, 600, "assistant", "long " * 100_000), (4, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, TURNS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        check(chat.read_back(chat.format_turns(df)).collect(), df.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_turns_are_whole_strings_with_spans(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", "hé[INST]"), (1, 0, "user", "hi")], TURNS)
+    rows = sorted(chat.format_turns(df).collect(), key=lambda r: r.nth)
+    text = "".join(r.formatted for r in rows)
+    assert text == "<s>user[INST]hi[/INST]</s>\n<s>assistant[INST]hé[^INST][/INST]</s>\n"
+    assert rows[0].loss_start is None
+    assert text[rows[1].loss_start : rows[1].loss_end] == "hé[^INST]"
+
+
+def test_assembly_of_small_blocks(monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 10)
+    monkeypatch.setattr(chat, "LONG", 4)
+    roles = ["u", "a"] * 6
+    texts = ["", "ab", "abcdefghijkl", "é", "x" * 25, ""] * 2
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, None]), pa.array(roles), pa.array(texts)],
+        names=["conv", "role", "text"],
+    )
+    parts = list(chat._format(iter([batch])))
+    assert len(parts) > 3
+    made = [t.as_py() for p in parts for t in p.column("formatted")]
+    assert made == [f"<s>{r}[INST]{t}[/INST]</s>\n" for r, t in zip(roles, texts)]
+    nth = [t.as_py() for p in parts for t in p.column("nth")]
+    assert nth == [0, 1, 2, 0, 1, 2, 3, 0, 1, 2, 3, 0]
+    start = [t.as_py() for p in parts for t in p.column("char_start")]
+    assert start[3] == 0 and start[4] == len(made[3]) and start[6] == sum(map(len, made[3:6]))
+
+
+def test_odd_tables(spark, tables):
+    df = spark.createDataFrame(
+        [(1, None, "user", "a"), (1, 0, None, None), (1, 0, None, None), (None, None, None, None), (None, 2, "assistant", "b")],
+        TURNS,
+    )
+    clash = df.withColumns({c: F.lit(1) for c in ("conv", "nth", "formatted", "char_start")})
+    got = registry.op5_chat(spark, tables(conversations=clash)).collect()
+    check([r for r in got if r.conv_id != -1], df.collect())
+    assert registry.op5_chat(spark, tables(conversations=df.limit(0))).count() == 1
+    assert chat.format_turns(df.limit(0)).count() == 0
