@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontam, mixing, pii, quality, sharding, simhash, tokens
+from . import chat, decontam, mixing, pii, quality, sharding, simhash, suffixes, tokens
 from .store import keep
 from .text import whole, words
 
@@ -129,6 +129,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_pii": op3_pii,
@@ -138,5 +149,6 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
+    "op10_suffixes": op10_suffixes,
 }
 SQL: dict[str, str] = {}
