@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontam, mixing, pii, quality, sharding, simhash, suffixes, tokens
+from . import chat, decontam, mixing, neighbours, pii, quality, sharding, simhash, suffixes, tokens
 from .store import keep
 from .text import whole, words
 
@@ -33,6 +33,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.*")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, columns=["doc_id"])
@@ -142,6 +146,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_neighbours": op2_neighbours,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_chat": op5_chat,
