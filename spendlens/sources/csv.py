@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_local_number, strip_text
 from ..spec import CITY, LedgerSpec
+from .landed import Landed
 
 # Spellings of the year column.
 YEAR_NAMES = ("ar", "ár", "year", "year_of_record")
@@ -40,35 +41,61 @@ def merge_columns(df: DataFrame, spec: LedgerSpec = CITY) -> DataFrame:
     )
 
 
-def ingest_year_file(spark: SparkSession, path: str, spec: LedgerSpec = CITY) -> DataFrame:
-    """One yearly CSV (a file or a folder of parts) as typed ledger lines.
+def _amount(text: Column) -> Column:
+    return parse_local_number(text, "decimal(18,2)")
+
+
+def open_years(spark: SparkSession, paths: list[str], spec: LedgerSpec = CITY) -> Landed:
+    return Landed(
+        spark, paths, ";", spec, lambda name: normalize_column_name(name, spec), YEAR_NAMES
+    )
+
+
+def year_problems(spark: SparkSession, paths: list[str], spec: LedgerSpec = CITY) -> DataFrame:
+    """One row that counts what ``combine_years`` cannot use; see ``Landed.problems``."""
+    return open_years(spark, paths, spec).problems(_amount)
+
+
+def _year_of_path(file: Column, paths: list[str]) -> Column:
+    """Year in the last part of the given path that a file lies under."""
+    year = F.lit(None).cast("int")
+    for path in sorted(paths, key=len):  # the longest path comes last, and first in the expression
+        own = path.rstrip("/")
+        under = F.contains(file, F.lit(own)) | F.contains(file, F.lit(quote(own, safe="/:=")))
+        year = F.when(under, F.lit(year_in(own)).cast("int")).otherwise(year)
+    return year
+
+
+def combine_years(spark: SparkSession, paths: Iterable[str], spec: LedgerSpec = CITY) -> DataFrame:
+    """Yearly CSVs (files, or folders of parts) as typed ledger lines, in one scan.
 
     Everything is read as text, so types cannot drift between years. The
     amount is parsed in local format, the year falls back to the one in the
-    name, and lines are no corrections unless the file says so.
+    name, lines are no corrections unless the file says so, and a column a
+    year lacks is NULL there.
     """
-    df = merge_columns(spark.read.csv(path, sep=";", header=True, enforceSchema=False), spec)
+    paths = list(paths)
+    if not paths:
+        raise ValueError("no CSV files to combine")
+    df = open_years(spark, paths, spec).lines()
     typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in spec.schema.fields}
     if spec.amount in df.columns:
-        typed[spec.amount] = parse_local_number(F.col(spec.amount), "decimal(18,2)")
-    fallback = F.lit(year_in(path)).cast("int")
+        typed[spec.amount] = _amount(F.col(spec.amount))
+    fallback = _year_of_path(F.col("_file"), paths)
     typed[spec.year] = (
         F.coalesce(parse_local_number(F.col(spec.year)).cast("int"), fallback)
         if spec.year in df.columns
         else fallback
     )
     typed[spec.flag] = (
-        F.lower(strip_text(F.col(spec.flag))).try_cast("boolean")
+        F.coalesce(F.lower(strip_text(F.col(spec.flag))).try_cast("boolean"), F.lit(False))
         if spec.flag in df.columns
         else F.lit(False)
     )
-    names = [*df.columns, *(c for c in (spec.year, spec.flag) if c not in df.columns)]
+    names = [c for c in df.columns if c != "_file"]
+    names += [c for c in (spec.year, spec.flag) if c not in names]
     return df.select(*(typed.get(c, F.col(f"`{c}`")).alias(c) for c in names))
 
 
-def combine_years(spark: SparkSession, paths: Iterable[str], spec: LedgerSpec = CITY) -> DataFrame:
-    """All yearly files as one frame; a column a year lacks is NULL there."""
-    frames = [ingest_year_file(spark, p, spec) for p in paths]
-    if not frames:
-        raise ValueError("no CSV files to combine")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def ingest_year_file(spark: SparkSession, path: str, spec: LedgerSpec = CITY) -> DataFrame:
+    return combine_years(spark, [path], spec)

@@ -189,3 +189,46 @@ def test_star_keeps_every_line(spark, small):
         some = build(spark, small, ["year", "amount"])
         assert rows(some.groupBy("year").agg(F.sum("amount"))) == rows(full.groupBy("year").agg(F.sum("amount")))
     assert set(city_ledger(spark, small).columns) == {*CITY.schema.names}
+
+
+HEAD = "Kaupandi,Birgi,Tegund,Upphæð línu,Dags.greiðslu,Númer reiknings\n"
+
+
+def test_no_line_of_an_export_is_lost(spark, tmp_path):
+    """Hand-written files: short ones, standard quoting, other column orders, a byte-order mark."""
+    folder = tmp_path / "exports"
+    put(folder, "short.csv", "Kaupandi,Upphæð línu\nA,1\n")
+    put(folder, "quoted.csv", HEAD + '"Félag ""X"" ehf., deild",s,t,2,2020-01-31,1\n')
+    put(folder, "break.csv", HEAD + '"two\nlines",s,t,3,2020-01-31,2\nB,"back\\slash\\",t,4,2020-01-31,3\n')
+    put(folder, "order.csv", "﻿Upphæð línu,Birgi,Kaupandi\n5,s,C\n")
+    put(folder / "deep", "none.csv", HEAD)
+    df = chunks.ingest_export(spark, str(folder))
+    assert rows(df, "buyer", "seller", "amount") == sorted([
+        ("A", None, Decimal("1.00")), ('Félag "X" ehf., deild', "s", Decimal("2.00")),
+        ("two\nlines", "s", Decimal("3.00")), ("B", "back\\slash\\", Decimal("4.00")), ("C", "s", Decimal("5.00")),
+    ], key=repr)
+    put(folder, "bad.csv", HEAD + "D,s,t,rugl,2020-01-31,4\nE,s,t,1,2020-01-31,5,6,7\n")
+    put(folder, "headless.csv", "1,2,3\n")
+    counts = chunks.export_problems(spark, str(folder)).first().asDict()
+    assert counts == {"records": 8, "without_header": 1, "too_wide": 1, "unreadable_amounts": 1}
+
+
+def test_quoted_yearly_csv(spark, tmp_path):
+    a = put(tmp_path / "a b", "2021.csv", 'raun;samtala0;tegund0\n"1,5";"x;""y""";"line\nbreak"\n2;back\\;t\n')
+    b = put(tmp_path, "2022.csv", "tegund0;raun\nu;3\n")
+    df = csv.combine_years(spark, [a, b])
+    assert rows(df, "year", "amount", "org0", "type0") == sorted([
+        (2021, Decimal("1.50"), 'x;"y"', "line\nbreak"), (2021, Decimal("2.00"), "back\\", "t"),
+        (2022, Decimal("3.00"), None, "u"),
+    ], key=repr)
+    assert csv.year_problems(spark, [a, b]).first()["records"] == 3
+
+
+def test_chunks_keep_partition_columns_and_drifting_types(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    spark.createDataFrame([(2020, 5, "o"), (2021, 6, "p")], "year int, raun bigint, samtala0 string").write.partitionBy("year").parquet(one)
+    spark.createDataFrame([(2022, 2.5)], "year int, raun double").write.parquet(two)
+    got = chunks.combine_chunks(spark, [one, two], str(tmp_path / "out"), CITY)
+    assert rows(got, "year", "amount", "org0") == sorted([
+        (2020, Decimal("5.00"), "o"), (2021, Decimal("6.00"), "p"), (2022, Decimal("2.50"), None)
+    ], key=repr)
