@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 VAT_PAGE = "https://www.skatturinn.is/fyrirtaekjaskra/leit/vsk-numer/"
 
 _ENTRIES = "vat array<map<string,string>>"
+# What a JSON field holds when it says no.
+_NO = ("", "false", "0", "0.0", "null")
 
 
 def extract_entity_id(text: Column) -> Column:
@@ -19,14 +21,15 @@ def extract_entity_id(text: Column) -> Column:
 def active_vat(answer: Column) -> Column:
     """VAT number of a registry answer.
 
-    The first entry that names a number and carries no deregistration date;
-    when every entry is deregistered, the number of the first entry.
+    The first entry that names a number and is not deregistered (the field is
+    absent, empty, null, false or 0); when every entry is deregistered, the
+    number of the first entry.
     """
     entries = F.from_json(answer, _ENTRIES)["vat"]
     active = F.filter(
         entries,
         lambda e: F.map_contains_key(e, "vatNumber")
-        & (F.coalesce(F.try_element_at(e, F.lit("deRegistered")), F.lit("")) == ""),
+        & F.coalesce(F.try_element_at(e, F.lit("deRegistered")), F.lit("")).isin(*_NO),
     )
     chosen = F.coalesce(F.get(active, F.lit(0)), F.get(entries, F.lit(0)))
     return F.try_element_at(chosen, F.lit("vatNumber"))

@@ -22,7 +22,8 @@ def two_year_change(
     """Groups present in both last years, largest absolute change first.
 
     One scan and one aggregation hold both years; a group that misses a year
-    or has no name drops out, as an inner join of the two would do.
+    or has no name drops out, as an inner join of the two would do. A change
+    of nothing goes up.
     """
     pair = last_two_years(df, spec) if pair is None else pair
     if len(pair) < 2:
@@ -43,12 +44,16 @@ def two_year_change(
         .filter((F.col("_n_cur") > 0) & (F.col("_n_prev") > 0))
     )
     return (
-        sums.select(
+        sums.withColumn("change", F.col("cur") - F.col("prev"))
+        .select(
             "grp",
             "cur",
             "prev",
-            (F.col("cur") - F.col("prev")).alias("change"),
+            "change",
             pct_change(F.col("cur"), F.col("prev")).alias("pct"),
+            F.when(F.coalesce(F.col("change"), F.lit(0)) >= 0, "up").otherwise("down").alias("direction"),
+            F.lit(pair[1]).alias("prev_year"),
+            F.lit(pair[0]).alias("cur_year"),
         )
         .orderBy(F.abs("change").desc_nulls_last(), F.col("grp").asc())
         .limit(top)

@@ -32,6 +32,8 @@ from ..spec import AMOUNT_TYPE, LedgerSpec
 THRESHOLD = 1e9
 TOLERANCE = 1000
 WINDOW_DAYS = 2
+#: Parts over which the lines of one invoice are dealt.
+SALTS = 16
 
 
 def _cents(value: float) -> int:
@@ -202,13 +204,24 @@ def flag_by_invoice(
 ) -> DataFrame:
     """All lines of a hit invoice become corrections, all others do not.
 
-    ``hits`` holds every invoice once, so the join repeats no line. Spark
-    broadcasts it while it is small and then shuffles no ledger line.
+    ``hits`` holds every invoice once, so the join repeats no line. Lines
+    without an invoice pass by the join. A placeholder invoice may stand on
+    very many lines: lines are dealt over ``SALTS`` parts of their invoice, and
+    each of the few marks stands in every part.
     """
     columns = [c for c in df.columns if c != spec.flag]
-    marks = hits.select(F.col(invoice).alias("_hit"))
-    return df.join(marks, F.col(invoice) == F.col("_hit"), "left").select(
-        *columns, F.col("_hit").isNotNull().alias(spec.flag)
+    lines = df.select(*columns)
+    marks = hits.select(
+        F.col(invoice).alias("_hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part")
+    )
+    # The part depends on the line alone, so a task that runs again deals alike.
+    part = F.pmod(F.xxhash64(*(F.col(c) for c in columns)), F.lit(SALTS)).cast("int")
+    named = lines.filter(F.col(invoice).isNotNull()).withColumn("_salt", part)
+    marked = named.join(
+        marks, (F.col(invoice) == F.col("_hit")) & (F.col("_salt") == F.col("_part")), "left"
+    ).select(*columns, F.col("_hit").isNotNull().alias(spec.flag))
+    return marked.unionByName(
+        lines.filter(F.col(invoice).isNull()).withColumn(spec.flag, F.lit(False))
     )
 
 

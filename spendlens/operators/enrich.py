@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.registry import active_vat, vat_link
+from ..functions.registry import active_vat, extract_entity_id, vat_link
 from ..functions.supplier import UNREGISTERED, seller_or_missing, supplier_name
 from ..spec import LedgerSpec
 
@@ -78,6 +78,33 @@ def registry_numbers(answers: DataFrame, name: str, answer: str) -> DataFrame:
     )
 
 
+def registry_ids(pages: DataFrame, name: str, page: str) -> DataFrame:
+    """One 10-digit id per name from stored search pages (or their addresses).
+
+    Names whose page shows no id are left out; of several pages of a name the
+    smallest id counts.
+    """
+    return (
+        pages.select(F.col(name).alias("seller_name"), extract_entity_id(F.col(page)).alias("entity"))
+        .filter(F.col("entity").isNotNull())
+        .groupBy("seller_name")
+        .agg(F.min("entity").alias("entity"))
+    )
+
+
+def numbers_by_id(
+    ids: DataFrame, answers: DataFrame, entity: str, answer: str
+) -> DataFrame:
+    """One VAT number per name, through its id, from answers stored by id.
+
+    Several names may share an id; an answer is parsed once per id.
+    """
+    found = registry_numbers(answers, entity, answer).select(
+        F.col("seller_name").alias("entity"), "vm_numer"
+    )
+    return ids.join(found, "entity").select("seller_name", "vm_numer")
+
+
 def enrich_sellers(sellers: DataFrame, numbers: DataFrame) -> DataFrame:
     """Every seller with its VAT number and link, NULL when not registered.
 
@@ -91,5 +118,5 @@ def enrich_sellers(sellers: DataFrame, numbers: DataFrame) -> DataFrame:
 
 __all__ = [
     "UNREGISTERED", "all_sellers", "enrich_sellers", "lookup_coverage",
-    "registry_numbers", "seller_template", "vat_coverage", "vat_lookup",
+    "numbers_by_id", "registry_ids", "registry_numbers", "seller_template", "vat_coverage", "vat_lookup",
 ]

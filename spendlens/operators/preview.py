@@ -1,4 +1,12 @@
-"""Pages of ledger lines."""
+"""Pages of ledger lines.
+
+One way serves every page. Lines are split at a few boundary lines drawn from
+them at random (any will do: they are drawn once and the result does not depend
+on them); the exact number of lines between two boundaries tells between
+which of them the page lies, and only those lines are split again, until so few
+are left that a top-k orders them. A page deep in one day or year costs some
+more passes, but no task holds all the lines before it.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +16,14 @@ from pyspark.sql import functions as F
 from ..spec import LedgerSpec
 
 MAX_PAGE = 500
-FAR_OFFSET = 10_000
+#: Lines among which a page is ordered in one task.
+AT_ONCE = 20_000
+#: Boundaries drawn at a time.
+BOUNDARIES = 31
 
 
 def clamp_limit(limit: int) -> int:
+    """The page size of the application."""
     return max(1, min(MAX_PAGE, int(limit)))
 
 
@@ -22,6 +34,13 @@ def page_order(spec: LedgerSpec, columns: tuple[str, ...]) -> list[Column]:
     return [first, *(F.col(c).asc_nulls_first() for c in columns)]
 
 
+def page_key(df: DataFrame, spec: LedgerSpec, columns: tuple[str, ...]) -> Column:
+    """A struct that rises along ``page_order``; nulls come first inside structs."""
+    first = F.col(spec.date or spec.year)
+    number = F.unix_date(first) if spec.date else first
+    return F.struct(first.isNull().alias("none"), (-number).alias("back"), *columns)
+
+
 def preview_lines(df: DataFrame, spec: LedgerSpec, columns: tuple[str, ...]) -> DataFrame:
     if "supplier_name" in columns:
         df = df.withColumn("supplier_name", spec.seller)
@@ -36,42 +55,66 @@ def preview_page(
     limit: int = 50,
     columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One page of lines, newest first.
-
-    A top-k of ``offset + limit`` lines serves the first pages. For a far
-    page the days (or years) before it are counted first and left out, so
-    the top-k stays small.
-    """
+    """One page of lines, newest first."""
     columns = columns or spec.preview
-    limit = clamp_limit(limit)
     offset = (max(1, int(page)) - 1) * limit
-    lines = preview_lines(df.filter(where), spec, columns)
-    if offset >= FAR_OFFSET:
-        lines, offset = narrow_to_page(lines, spec.date or spec.year, offset, limit)
-    return lines.orderBy(*page_order(spec, columns)).offset(offset).limit(limit)
-
-
-def narrow_to_page(
-    lines: DataFrame, key: str, offset: int, limit: int
-) -> tuple[DataFrame, int]:
-    """The lines whose key value can be on a page, and the offset left.
-
-    The driver sees one count per day or year of the calendar.
+    lines = preview_lines(df.filter(where), spec, columns).withColumn(
+        "_key", page_key(df, spec, columns)
+    )
+    parts = [p.drop("_key") for p in narrow_to_page(lines, offset, limit)]
+    if not parts:
+        return lines.drop("_key").limit(0)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found.orderBy(*page_order(spec, columns)).limit(limit)
+
+
+def narrow_to_page(lines: DataFrame, offset: int, limit: int) -> list[DataFrame]:
+    """Frames that together hold the lines of a page, each at most ``limit`` or a few lines.
+
+    The driver sees the boundaries and a count between two of them.
     """
-    counts = lines.groupBy(key).agg(F.count("*").alias("n"))
-    before, start, wanted = 0, None, []
-    for value, n in counts.orderBy(F.col(key).desc_nulls_last()).collect():
-        if before + n > offset and before < offset + limit:
-            start = before if start is None else start
-            wanted.append(value)
-        before += n
-    if not wanted:
-        return lines.filter(F.lit(False)), 0
-    known = [v for v in wanted if v is not None]
-    hit = F.col(key).between(min(known), max(known)) if known else F.lit(False)
-    if None in wanted:
-        hit = hit | F.col(key).isNull()
-    return lines.filter(hit), offset - start
+    wanted: list[DataFrame] = []
+    todo = [(lines, offset, limit)]  # lines, how many to skip in them, how many to take
+    while todo:
+        part, skip, take = todo.pop(0)
+        kind = part.schema["_key"].dataType
+        keys = part.select("_key").orderBy(F.rand(0)).limit(BOUNDARIES).distinct().collect()
+        if not keys:
+            continue
+        # Lines like a boundary are a part of their own, so every split gets ahead.
+        place = F.lit(0)
+        for r in keys:
+            bound = _literal(r[0], kind)
+            place = place + F.when(F.col("_key") > bound, 2).when(F.col("_key") == bound, 1).otherwise(0)
+        counts = dict(
+            part.groupBy(place.alias("b")).agg(F.struct(F.count("*").alias("n"), (F.min("_key") == F.max("_key")).alias("one"))).collect()
+        )
+        for b in sorted(counts):
+            n, one = counts[b]
+            if take <= 0:
+                break
+            if skip >= n:
+                skip -= n
+                continue
+            here = min(take, n - skip)
+            own = part.filter(place == b)
+            if one:  # lines that look the same
+                wanted.append(own.limit(here))
+            elif n <= AT_ONCE:
+                wanted.append(own.orderBy("_key").offset(skip).limit(here))
+            else:
+                todo.append((own, skip, here))
+            take -= here
+            skip = 0
+    return wanted
+
+
+def _literal(key, kind) -> Column:
+    return F.struct(
+        *(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, kind.fields, strict=True))
+    )
 
 
 def display_names(df: DataFrame, spec: LedgerSpec) -> DataFrame:

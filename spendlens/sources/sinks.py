@@ -34,13 +34,16 @@ def write_by_year(
     )
 
 
-def write_by_month(df: DataFrame, path: str, date: str = "paid_on") -> None:
+def write_by_month(
+    df: DataFrame, path: str, date: str = "paid_on", undated: str | None = None
+) -> None:
     """Replace exactly the months present in ``df``; others stay.
 
     Replacing whole partitions makes a repeated or retried delivery harmless.
+    ``undated`` names the folder of lines without a date.
     """
     (
-        df.withColumn("month", F.date_format(date, "yyyy-MM"))
+        df.withColumn("month", F.coalesce(F.date_format(date, "yyyy-MM"), F.lit(undated)))
         .hint("rebalance", F.col("month"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

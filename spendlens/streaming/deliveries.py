@@ -5,18 +5,18 @@ up what is new, and every micro-batch overwrites the month partitions it
 brings. Overwriting a partition with the same content changes nothing, so a
 batch repeated after a failure is harmless; and since each stored line keeps
 its delivery number, an old delivery that arrives late never replaces a newer
-month.
+month. Lines without a date lie in a month of their own, which the newest
+delivery that has such lines replaces.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
 from ..sources.ledger import conform, open_table
 from ..sources.sinks import write_by_month
 from ..spec import STATE, LedgerSpec
@@ -33,6 +33,14 @@ def land_delivery(lines: DataFrame, landing: str, number: int) -> None:
     lines.write.mode("overwrite").parquet(f"{landing.rstrip('/')}/{DELIVERY}={number}")
 
 
+#: Folder of lines without a date.
+UNDATED = "undated"
+
+
+def month_of(day: str) -> Column:
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(UNDATED))
+
+
 def newest_months(
     lines: DataFrame, day: str, stored: DataFrame | None
 ) -> list[tuple[str, int]]:
@@ -42,9 +50,7 @@ def newest_months(
     passed over. The driver sees one row per delivered month, and only those
     partitions of the stored table are looked at.
     """
-    arrived = dict(
-        lines.groupBy(F.date_format(day, "yyyy-MM")).agg(F.max(DELIVERY)).collect()
-    )
+    arrived = dict(lines.groupBy(month_of(day)).agg(F.max(DELIVERY)).collect())
     known: dict[str, int] = {}
     if stored is not None:
         month = F.col("month").cast("string")
@@ -57,32 +63,30 @@ def newest_months(
 def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) -> None:
     """Replace the delivered months of the table at ``target``.
 
-    ``lines`` holds complete deliveries. Lines without a date belong to no
-    month and are not stored. The few months and deliveries become a filter,
-    so lines are shuffled once, for the layout of the files.
+    ``lines`` holds complete deliveries. The few months and deliveries become a
+    filter, so lines are shuffled once, for the layout of the files.
     """
     spark = lines.sparkSession
-    dated = lines.filter(F.col(spec.date).isNotNull())
-    pairs = newest_months(dated, spec.date, open_table(spark, target))
+    pairs = newest_months(lines, spec.date, open_table(spark, target))
     if not pairs:
         return
     months: dict[int, list[str]] = {}
     for month, number in pairs:
         months.setdefault(number, []).append(month)
-    month = F.date_format(spec.date, "yyyy-MM")
+    month = month_of(spec.date)
     wanted = reduce(
         lambda a, b: a | b,
         ((F.col(DELIVERY) == n) & month.isin(found) for n, found in months.items()),
     )
-    fresh = dated.filter(wanted).select(*spec.schema.names, DELIVERY)
-    write_by_month(fresh, target, spec.date)
+    fresh = lines.filter(wanted).select(*spec.schema.names, DELIVERY)
+    write_by_month(fresh, target, spec.date, UNDATED)
 
 
 def refresh(
     spark: SparkSession,
     landing: str,
     target: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     spec: LedgerSpec = STATE,
     files_per_batch: int | None = None,
 ) -> None:
@@ -91,7 +95,8 @@ def refresh(
     The stream says which deliveries have new files; each of them is then read
     whole, so a delivery cut in two by a batch limit still replaces its months
     completely. ``checkpoint`` remembers what was processed; keep it between
-    calls.
+    calls. Removing it and ``target`` rebuilds the table from all that is
+    landed.
     """
     schema = landing_schema(spec)
 
@@ -108,7 +113,7 @@ def refresh(
     query = (
         reader.parquet(landing)
         .writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "refresh-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

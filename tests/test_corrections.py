@@ -129,3 +129,31 @@ def test_a_crowded_key_needs_no_pairs(spark):
     )
     assert cells.count() <= 4
     assert C.flag_state_corrections(df, STATE, threshold=BIG, tolerance=1000).filter("is_correction").count() == 20_000
+
+
+def test_lines_of_one_invoice_are_dealt_over_parts(spark):
+    """A placeholder invoice on most lines, and lines without any."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(
+        F.lit("A").alias("buyer"), F.lit("s").alias("seller"), F.lit("t").alias("type"),
+        F.col("id").cast("decimal(18,2)").alias("amount"), F.lit("2020-01-01").cast("date").alias("paid_on"),
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") < 2900, "0").otherwise(F.col("id").cast("string")).alias("invoice"),
+        F.lit(True).alias("is_correction"),
+    )
+    hits = spark.createDataFrame([("0",), ("2998",)], "invoice string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = C.flag_by_invoice(df, STATE, hits)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        got = {(r.invoice, r.is_correction): r["count"] for r in marked.groupBy("invoice", "is_correction").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "_salt" in plan
+    assert "_part" in plan
+    assert got[None, False] == 1000
+    assert got["0", True] == sum(1 for i in range(2900) if i % 3)
+    assert got["2998", True] == 1
+    assert sum(got.values()) == 3000
+    assert not any(flag for (i, flag) in got if i not in ("0", "2998"))

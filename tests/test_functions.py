@@ -105,6 +105,8 @@ def test_iso_date(spark, text, day):
         ('{"vat":[{"note":"x"},{"vatNumber":"3"}]}', "3"),
         ('{"vat":[{"note":"x"},{"vatNumber":"3","deRegistered":"2020"}]}', None),
         ('{"vat":[{"vatNumber":"4","deRegistered":""}]}', "4"),
+        ('{"vat":[{"vatNumber":"1","deRegistered":"2020"},{"vatNumber":"2","deRegistered":false}]}', "2"),
+        ('{"vat":[{"vatNumber":"1","deRegistered":true},{"vatNumber":"2","deRegistered":0}]}', "2"),
         ('{"vat":[{"vatNumber":55}]}', "55"),
         ('{"vat":"no list"}', None), ("{}", None), ("no json", None), (None, None),
     ],

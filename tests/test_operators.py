@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from decimal import Decimal
 
 import pytest
@@ -125,8 +127,8 @@ def test_two_year_change_needs_both_years(spark):
     ])
     got = comparison.two_year_change(df, STATE, "buyer")
     assert [tuple(r) for r in got.collect()] == [
-        ("A", Decimal("25.00"), Decimal("10.00"), Decimal("15.00"), 150.0),
-        ("C", Decimal("3.00"), Decimal("0.00"), Decimal("3.00"), None),
+        ("A", Decimal("25.00"), Decimal("10.00"), Decimal("15.00"), 150.0, "up", 2020, 2021),
+        ("C", Decimal("3.00"), Decimal("0.00"), Decimal("3.00"), None, "up", 2020, 2021),
     ]
     one_year = df.filter("year = 2021")
     assert comparison.two_year_change(one_year, STATE, "buyer").count() == 0
@@ -281,17 +283,43 @@ def test_pages_cover_everything_once(spark, small, monkeypatch):
 
     df = state_ledger(spark, small, ["year", "buyer", "seller", "type", "amount", "paid_on", "is_correction"])
     whole = preview.preview_lines(df, STATE, STATE.preview).orderBy(*preview.page_order(STATE, STATE.preview)).collect()
-    monkeypatch.setattr(preview, "FAR_OFFSET", 700)
-    for page in (1, 3, 7, 12):
-        got = preview.preview_page(df, STATE, F.lit(True), page, 500).collect()
-        assert got == whole[(page - 1) * 500: page * 500]
+    for at_once, boundaries in ((20_000, 31), (300, 5)):
+        monkeypatch.setattr(preview, "AT_ONCE", at_once)
+        monkeypatch.setattr(preview, "BOUNDARIES", boundaries)
+        for page in (1, 3, 12):
+            got = preview.preview_page(df, STATE, F.lit(True), page, 500).collect()
+            assert got == whole[(page - 1) * 500: page * 500]
+    # A page larger than the application's, inside one year.
+    one = df.filter("year = 1997")
+    same = [r for r in whole if r.year == 1997]
+    assert preview.preview_page(one, STATE, F.lit(True), 2, 600).collect() == same[600:1200]
     assert preview.preview_page(df, STATE, F.lit(True), 100, 500).count() == 0
     assert preview.clamp_limit(0) == 1
     assert preview.clamp_limit(9999) == 500
 
 
+def test_no_task_orders_the_lines_before_a_page(spark, small, monkeypatch):
+    from spendlens.sources.star import state_ledger
+
+    monkeypatch.setattr(preview, "AT_ONCE", 200)
+    df = preview.preview_lines(state_ledger(spark, small), STATE, STATE.preview)
+    keyed = df.withColumn("_key", preview.page_key(df, STATE, STATE.preview))
+    parts = preview.narrow_to_page(keyed, 3000, 50)
+    assert sum(p.count() for p in parts) == 50
+    limits = [int(n) for p in parts for n in re.findall(r"Limit (\d+)", p._jdf.queryExecution().optimizedPlan().toString())]
+    assert limits
+    assert max(limits) <= 250
+
+
+def test_lines_that_look_the_same_are_paged(spark, monkeypatch):
+    monkeypatch.setattr(preview, "AT_ONCE", 3)
+    df = state(spark, [("A", "s", "t", 1, "2020-01-01", "1", None)] * 10 + [("B", "s", "t", 1, "2020-01-01", "1", None)] * 7)
+    got = [[r.buyer for r in preview.preview_page(df, STATE, F.lit(True), p, 6).collect()] for p in (1, 2, 3, 4)]
+    assert got == [["A"] * 6, ["A"] * 4 + ["B"] * 2, ["B"] * 5, []]
+
+
 def test_far_page_with_unknown_days(spark, monkeypatch):
-    monkeypatch.setattr(preview, "FAR_OFFSET", 1)
+    monkeypatch.setattr(preview, "AT_ONCE", 2)
     df = state(spark, [("A", "s", "t", i, d, "1", None) for i, d in enumerate(["2020-01-01"] * 3 + [None] * 4)])
     got = [preview.preview_page(df, STATE, F.lit(True), p, 2).count() for p in (1, 2, 3, 4, 5)]
     assert got == [2, 2, 2, 1, 0]

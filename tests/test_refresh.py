@@ -43,6 +43,18 @@ def test_late_old_delivery_does_not_win(spark, tmp_path):
     assert [i for _, i in stored(spark, target)] == ["only", "new"]
 
 
+def test_lines_without_a_date_are_kept(spark, tmp_path):
+    landing, target, checkpoint = places(tmp_path)
+    land_delivery(lines(spark, (1, "2020-01-10", "a"), (2, None, "b"), (3, None, "c")), landing, 1)
+    refresh(spark, landing, target, checkpoint)
+    assert sorted(i for _, i in stored(spark, target)) == ["a", "b", "c"]
+    land_delivery(lines(spark, (4, "2020-02-10", "d")), landing, 2)
+    land_delivery(lines(spark, (2, None, "b2")), landing, 3)
+    refresh(spark, landing, target, checkpoint)
+    assert sorted(i for _, i in stored(spark, target)) == ["a", "b2", "d"]
+    assert open_ledger(spark, target, STATE).filter("year is null").count() == 1
+
+
 def test_lost_checkpoint_and_cut_deliveries_change_nothing(spark, tmp_path):
     landing, target, _ = places(tmp_path)
     made = [(n, f"2020-01-{1 + n % 28:02d}", str(n)) for n in range(60)]
