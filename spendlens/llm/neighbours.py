@@ -12,7 +12,8 @@ found is scored once more, in double precision on the original vectors.
 
 Inner products of vectors of different length are turned into those of equal
 length by one more component, sqrt(L^2 - |x|^2) with L the greatest length; a
-query has 0 there. Codes hold components in single precision.
+query has 0 there. While the graph is built and searched a component is one
+byte, scaled by the largest one of its vector.
 
 Links to a vector beyond the nearest ``BACK`` are not followed back, as usual
 in NN-descent: it is approximate, and recall is measured. Equal vectors are one
@@ -22,6 +23,7 @@ vector of the graph, however many rows share it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BACK = 64
 #: Vectors of a random block at the start, and how many such blocks each is in.
 BLOCK = 512
 BLOCKINGS = 3
+#: Nearest others that a vector takes from a block.
+FROM_BLOCK = 24
 #: Candidates a vector takes from one introduction.
 TAKE = 8
 ROUNDS = 8
@@ -45,15 +49,30 @@ SETTLED = 0.1
 OPEN = 24
 HOPS = 4
 #: Scored candidates a task gathers before it drops all but the best of a vector.
-GATHER = 1_500_000
+GATHER = 500_000
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    """Codes of a binary column as a matrix."""
-    n = len(column)
-    if not n:
-        return np.empty((0, 0), np.float32)
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(n, -1)
+class Codes:
+    """A binary column of codes: components as signed bytes, then their scale."""
+
+    def __init__(self, column: pa.Array) -> None:
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+        self.rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        rows = self.rows[part]
+        scale = np.ascontiguousarray(rows[:, -4:]).view(np.float32)
+        return rows[:, :-4].view(np.int8).astype(np.float32) * scale
+
+
+def encode(x: np.ndarray) -> list[bytes]:
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) / 127
+    scale = np.maximum(scale, np.finfo(np.float32).tiny)
+    small = np.clip(np.rint(x / scale), -127, 127).astype(np.int8)
+    both = np.concatenate([small.view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
+    return [r.tobytes() for r in both]
 
 
 def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> tuple:
@@ -98,20 +117,20 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
     flat = lists.flatten()
     base = bounds[0]
     fields = {f.name: flat.field(f.name) for f in flat.type}
-    codes = _codes(fields.pop("code"))
+    codes = Codes(fields.pop("code"))
     plain = {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()}
     for i in range(batch.num_rows):
         part = slice(bounds[i] - base, bounds[i + 1] - base)
         yield i, {k: v[part] for k, v in plain.items()}, codes[part]
 
 
-def _block_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nearest others of each vector inside its block."""
+def _block_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The ``most`` nearest others of each vector inside its block."""
 
     def parts() -> Iterator[tuple]:
         for batch in batches:
             for _, m, codes in _members(batch):
-                yield from _nearest(codes @ codes.T, m["node"], None, LIST)
+                yield from _nearest(codes @ codes.T, m["node"], None, most)
 
     yield from _gathered(parts(), LIST)
 
@@ -171,7 +190,8 @@ def neighbour_graph(codes: DataFrame) -> DataFrame:
         ).alias("of"),
     )
     start = dealt.groupBy("of").agg(F.collect_list(F.struct("node", "code")).alias("members"))
-    first = start.select("members").mapInArrow(_block_lists, PAIR)
+    most = FROM_BLOCK if blocks > 1 else LIST
+    first = start.select("members").mapInArrow(partial(_block_lists, most=most), PAIR)
     graph = keep(_top(first.groupBy("node", "other").agg(F.max("score").alias("score")), LIST).withColumn("new", F.lit(True)), "graph")
     for _ in range(ROUNDS if blocks > 1 else 0):
         graph = keep(_descend(graph, codes), "graph")
@@ -219,7 +239,7 @@ def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = queries.offsets.to_numpy()
             flat = queries.flatten()
             ids = flat.field("query").to_numpy(zero_copy_only=False)
-            asked = _codes(flat.field("asked"))
+            asked = Codes(flat.field("asked"))
             for i, m, codes in _members(batch):
                 part = slice(bounds[i] - bounds[0], bounds[i + 1] - bounds[0])
                 score = asked[part] @ codes.T
@@ -299,13 +319,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         x = flat.reshape(n, -1)
         short = np.sqrt(np.maximum(batch.column("top").to_numpy() - batch.column("square").to_numpy(), 0))
-        full = np.column_stack([x, short]).astype(np.float32)
-        asked = np.column_stack([x, np.zeros(n)]).astype(np.float32)
+        full, asked = np.column_stack([x, short]), np.column_stack([x, np.zeros(n)])
         yield pa.RecordBatch.from_pydict(
             {
                 "node": batch.column("node"),
-                "code": pa.array([r.tobytes() for r in full], pa.binary()),
-                "asked": pa.array([r.tobytes() for r in asked], pa.binary()),
+                "code": pa.array(encode(full), pa.binary()),
+                "asked": pa.array(encode(asked), pa.binary()),
             }
         )
 
