@@ -16,7 +16,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,12 @@ def load(path: str, pattern: str) -> tiktoken.Encoding:
 def token_count(text: Column, path: str, pattern: str) -> Column:
     """Tokens of a text; 0 for null. ``path`` must exist on every worker."""
 
-    @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Texts are taken out of the Arrow buffer one by one: a worker holds no second copy.
+    @F.arrow_udf(T.LongType())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load(path, pattern)
         for batch in batches:
-            yield pd.Series([len(encoding.encode_ordinary(t)) for t in batch], dtype="int64")
+            yield pa.array([len(encoding.encode_ordinary(t.as_py())) for t in batch], pa.int64())
 
     return count(whole(text))
 
