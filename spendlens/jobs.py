@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import corrections, enrich, yoy
 from .session import build_session
@@ -30,8 +31,10 @@ from .sources import (
     write_table,
     write_yoy,
 )
+from .sources.chunks import export_problems
+from .sources.csv import year_problems
 from .spec import CITY, STATE, LedgerSpec
-from .streaming import refresh
+from .streaming import land_delivery, refresh
 
 KINDS: dict[str, LedgerSpec] = {"state": STATE, "city": CITY}
 
@@ -49,6 +52,8 @@ def mark_corrections(
 ) -> None:
     """A ledger with its correction mark, stored by year."""
     df = _open(spark, source, spec)
+    if symmetric and spec is not STATE:
+        raise SystemExit("--symmetric is for state ledgers: city lines are marked both ways")
     if spec is STATE:
         marked = corrections.flag_state_corrections(df, spec, threshold=threshold, symmetric=symmetric)
     else:
@@ -90,15 +95,54 @@ def build_vat_lookup(spark: SparkSession, spec: LedgerSpec, source: str, output:
     return enrich.vat_coverage(df)
 
 
+def _whole(lines: DataFrame, spec: LedgerSpec) -> DataFrame:
+    """All columns of a ledger; those the files lack are NULL."""
+    missing = [f for f in spec.schema.fields if f.name not in lines.columns]
+    return lines.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+
+
+def land_exports(spark: SparkSession, source: str, landing: str, number: int) -> dict[str, int]:
+    """CSV exports of whole months as one delivery; returns what could not be used."""
+    lines = ingest_export(spark, source)
+    if lines is None:
+        raise SystemExit(f"no lines under {source}")
+    land_delivery(_whole(lines, STATE).select(*STATE.schema.names), landing, number)
+    return export_problems(spark, source).first().asDict()
+
+
+def rebuild(spark: SparkSession, landing: str, target: str, checkpoint: str) -> None:
+    """The stored ledger anew from all that is landed. Removes ``target`` and ``checkpoint``."""
+    for folder in (target, checkpoint):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    refresh(spark, landing, target, checkpoint)
+
+
 def run_pipeline(
     spark: SparkSession, landing: str, base: str, threshold: float = corrections.THRESHOLD,
-    min_pct: float = 20.0, min_amount: float = 50e6,
+    min_pct: float = 20.0, min_amount: float = 50e6, reset: bool = False,
 ) -> None:
     """Landed state deliveries to marked ledger and anomaly tables."""
-    refresh(spark, landing, f"{base}/ledger", f"{base}/checkpoint")
-    mark_corrections(spark, STATE, f"{base}/ledger", f"{base}/marked", threshold)
+    (rebuild if reset else refresh)(spark, landing, f"{base}/ledger", f"{base}/checkpoint")
+    _mark_and_compare(spark, STATE, base, threshold, min_pct, min_amount)
+
+
+def run_city_pipeline(
+    spark: SparkSession, files: list[str], base: str, threshold: float = corrections.THRESHOLD,
+    min_pct: float = 20.0, min_amount: float = 50e6,
+) -> dict[str, int]:
+    """Yearly CSVs to marked ledger and anomaly tables; returns what could not be used."""
+    write_by_year(_whole(combine_years(spark, files), CITY), f"{base}/ledger", CITY)
+    _mark_and_compare(spark, CITY, base, threshold, min_pct, min_amount)
+    return year_problems(spark, files).first().asDict()
+
+
+def _mark_and_compare(
+    spark: SparkSession, spec: LedgerSpec, base: str, threshold: float, min_pct: float, min_amount: float
+) -> None:
+    mark_corrections(spark, spec, f"{base}/ledger", f"{base}/marked", threshold)
     build_anomalies(
-        spark, STATE, f"{base}/marked", f"{base}/anomalies_all", f"{base}/anomalies_flagged",
+        spark, spec, f"{base}/marked", f"{base}/anomalies_all", f"{base}/anomalies_flagged",
         min_pct, min_amount,
     )
 
@@ -139,11 +183,17 @@ def _parser() -> argparse.ArgumentParser:
     sub = command("catalog", "input")
     sub.add_argument("--column", default="value")
     sub.add_argument("--years", default="")
+    command("land-exports", "input", "landing").add_argument("--number", type=int, required=True)
     sub = command("refresh", "landing", "target", "checkpoint")
-    sub = command("pipeline", "landing", "base")
-    sub.add_argument("--threshold", type=float, default=corrections.THRESHOLD)
-    sub.add_argument("--min-pct", type=float, default=20.0)
-    sub.add_argument("--min-amount", type=float, default=50e6)
+    sub.add_argument("--reset", action="store_true", help="rebuild from all that is landed")
+    whole = command("pipeline", "landing", "base")
+    whole.add_argument("--reset", action="store_true", help="rebuild from all that is landed")
+    city = command("city-pipeline", "base")
+    city.add_argument("files", nargs="+")
+    for sub in (whole, city):
+        sub.add_argument("--threshold", type=float, default=corrections.THRESHOLD)
+        sub.add_argument("--min-pct", type=float, default=20.0)
+        sub.add_argument("--min-amount", type=float, default=50e6)
     return parser
 
 
@@ -157,10 +207,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             if lines is None:
                 raise SystemExit(f"no lines under {args.input}")
             write_by_month(lines, args.output)
+            print(export_problems(spark, args.input).first().asDict())
+        case "land-exports":
+            print(land_exports(spark, args.input, args.landing, args.number))
         case "combine":
             combine_chunks(spark, args.inputs, args.output)
         case "ingest-city":
             write_by_year(combine_years(spark, args.files), args.output, CITY)
+            print(year_problems(spark, args.files).first().asDict())
         case "corrections":
             mark_corrections(spark, spec, args.input, args.output, args.threshold, args.symmetric, args.keep_layout)
         case "anomalies":
@@ -194,14 +248,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             for row in found.orderBy("name", "url").toLocalIterator():
                 print(row["name"], row["url"])
         case "refresh":
-            refresh(spark, args.landing, args.target, args.checkpoint)
+            (rebuild if args.reset else refresh)(spark, args.landing, args.target, args.checkpoint)
         case "pipeline":
-            run_pipeline(spark, args.landing, args.base, args.threshold, args.min_pct, args.min_amount)
+            run_pipeline(
+                spark, args.landing, args.base, args.threshold, args.min_pct, args.min_amount, args.reset
+            )
+        case "city-pipeline":
+            print(run_city_pipeline(
+                spark, args.files, args.base, args.threshold, args.min_pct, args.min_amount
+            ))
 
 
 __all__ = [
-    "build_anomalies", "build_vat_lookup", "enrich_from_registry", "main", "mark_corrections",
-    "run_pipeline",
+    "build_anomalies", "build_vat_lookup", "enrich_from_registry", "land_exports", "main",
+    "mark_corrections", "rebuild", "run_city_pipeline", "run_pipeline",
 ]
 
 if __name__ == "__main__":

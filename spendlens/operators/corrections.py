@@ -22,7 +22,7 @@ and AQE splits a hot cell over several tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +37,20 @@ SALTS = 16
 
 
 def _cents(value: float) -> int:
-    return int(Decimal(str(value)) * 100)
+    """Whole cents below a limit: amounts hold cents, so none lies between."""
+    return int((Decimal(str(value)) * 100).to_integral_value(ROUND_FLOOR))
+
+
+def _width(tolerance: float) -> int:
+    """Cents that a difference below ``tolerance`` is less than."""
+    if tolerance <= 0:
+        raise ValueError("the tolerance must be above 0")
+    return int((Decimal(str(tolerance)) * 100).to_integral_value(ROUND_CEILING))
 
 
 def larger_than(amount: Column, limit: float) -> Column:
     """``|amount| > limit`` in a form the Parquet scan can skip by."""
-    bound = F.lit(Decimal(str(limit))).cast(AMOUNT_TYPE)
+    bound = F.lit(Decimal(_cents(limit)) / 100).cast(AMOUNT_TYPE)
     return (amount > bound) | (amount < -bound)
 
 
@@ -52,13 +60,13 @@ def with_cell(df: DataFrame, spec: LedgerSpec, tolerance: float) -> DataFrame:
     return (
         df.withColumn("_up", amount > 0)
         .withColumn("_size", (F.abs(amount) * 100).cast("bigint"))
-        .withColumn("_bucket", F.expr(f"_size div {_cents(tolerance)}L"))
+        .withColumn("_bucket", F.expr(f"_size div {_width(tolerance)}L"))
     )
 
 
 def _near(least: Column, most: Column, tolerance: float) -> Column:
     """Whether sizes from ``least`` to ``most`` in one cell meet a partner."""
-    tol = F.lit(_cents(tolerance))
+    tol = F.lit(_width(tolerance))
     return (
         F.coalesce("_here", F.lit(False))
         | F.coalesce(least - F.col("_below") < tol, F.lit(False))

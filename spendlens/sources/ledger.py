@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..spec import YOY_AMOUNT_TYPE, LedgerSpec
@@ -23,13 +23,22 @@ def open_table(spark: SparkSession, path: str, view: str | None = None) -> DataF
 
 
 def conform(df: DataFrame, spec: LedgerSpec) -> DataFrame:
-    """Canonical names and types for the columns present in ``df``."""
+    """Canonical names and types for the columns present in ``df``.
+
+    A number that is none, as a VAT number with a letter, is unknown, as it is
+    in landed files; an amount that is none stops the read.
+    """
     df = df.toDF(*(spec.canonical(c) for c in df.columns))
     types = {f.name: f.dataType for f in spec.schema.fields}
-    return df.select(
-        *(F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
-          for c in df.columns)
-    )
+
+    def typed(c: str) -> Column:
+        column = F.col(f"`{c}`")
+        if c not in types:
+            return column
+        lenient = types[c].typeName() == "long" and df.schema[c].dataType.typeName() == "string"
+        return (column.try_cast(types[c]) if lenient else column.cast(types[c])).alias(c)
+
+    return df.select(*(typed(c) for c in df.columns))
 
 
 def with_year(df: DataFrame, spec: LedgerSpec) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..spec import AMOUNT_TYPE, CITY, STATE
 
-_BUYER = {"_region", "_nation", "_segment"}
+_BUYER = {"_region", "_nation", "_segment", "_customer", "_priority"}
 _SELLER = {"_seller", "_seller_key"}
-_PART = {"_type", "_size"}
+_PART = {"_type", "_size", "_brand", "_part"}
 
 
 # Columns used of each table. A stated schema saves the job that would read it
@@ -26,12 +26,12 @@ _PART = {"_type", "_size"}
 _COLUMNS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
     "supplier": "s_suppkey bigint, s_nationkey int",
-    "part": "p_partkey bigint, p_type string, p_size int",
-    "orders": "o_orderkey bigint, o_custkey bigint",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
     "lineitem": (
-        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, "
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, "
         "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
     ),
 }
@@ -53,11 +53,14 @@ def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
     nation = _table(spark, sf_dir, "nation")
     if wanted & _BUYER:
         customer = _table(spark, sf_dir, "customer").select(
-            "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("_segment")
+            "c_custkey",
+            "c_nationkey",
+            F.col("c_mktsegment").alias("_segment"),
+            F.col("c_name").alias("_customer"),
         )
         orders = (
             _table(spark, sf_dir, "orders")
-            .select("o_orderkey", "o_custkey")
+            .select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("_priority"))
             .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         )
         if wanted & {"_nation", "_region"}:
@@ -81,7 +84,11 @@ def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
         df = df.join(seat, F.col("_seller_key") == F.col("_seat"), "left")
     if wanted & _PART:
         part = _table(spark, sf_dir, "part").select(
-            "p_partkey", F.col("p_type").alias("_type"), F.col("p_size").alias("_size")
+            "p_partkey",
+            F.col("p_type").alias("_type"),
+            F.col("p_size").alias("_size"),
+            F.col("p_brand").alias("_brand"),
+            F.col("p_name").alias("_part"),
         )
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return df
@@ -113,12 +120,17 @@ def _project(
 def state_ledger(
     spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None
 ) -> DataFrame:
-    """Order lines as a state ledger: regions buy from nations."""
+    """Order lines as a state ledger: regions buy from nations. Some lines
+    name no buyer, seller or type."""
     day = F.col("l_shipdate").cast("date")
+
+    def known(column: str, every: int) -> Column:
+        return F.when(F.col("l_orderkey") % every != 0, F.col(column))
+
     recipe = {
-        "buyer": ({"_region"}, F.col("_region")),
-        "seller": ({"_seller"}, F.col("_seller")),
-        "type": ({"_type"}, F.col("_type")),
+        "buyer": ({"_region"}, known("_region", 97)),
+        "seller": ({"_seller"}, known("_seller", 89)),
+        "type": ({"_type"}, known("_type", 83)),
         "amount": (set(), _amount()),
         "paid_on": (set(), day),
         "invoice": (set(), F.col("l_orderkey").cast("string")),
@@ -133,20 +145,19 @@ def city_ledger(
 ) -> DataFrame:
     """Order lines as a city ledger, with gaps and blanks in the names."""
     seller, key, size = F.col("_seller"), F.col("_seller_key"), F.col("_size")
-    nothing = F.lit(None).cast("string")
     recipe = {
         "year": (set(), F.year("l_shipdate")),
         "amount": (set(), _amount()),
         "org0": ({"_region"}, F.col("_region")),
         "org1": ({"_nation"}, F.col("_nation")),
         "org2": ({"_segment"}, F.nullif(F.col("_segment"), F.lit("MACHINERY"))),
-        "org3": (set(), nothing),
-        "org4": (set(), nothing),
+        "org3": ({"_customer"}, F.col("_customer")),
+        "org4": ({"_priority"}, F.nullif(F.col("_priority"), F.lit("5-LOW"))),
         "type0": ({"_type"}, F.nullif(F.col("_type"), F.lit("PROMO"))),
-        "type1": (set(), F.nullif(F.col("l_linestatus"), F.lit("O"))),
-        "type2": (set(), nothing),
-        "type3": (set(), nothing),
-        "type4": (set(), nothing),
+        "type1": ({"_brand"}, F.nullif(F.col("_brand"), F.lit("Brand#2"))),
+        "type2": ({"_part"}, F.when(F.length("_part") % 3 != 0, F.col("_part"))),
+        "type3": ({"_size"}, F.when(size % 4 != 0, F.concat(F.lit("Size "), size.cast("string")))),
+        "type4": (set(), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus"))),
         "company": (
             {"_seller", "_seller_key"},
             F.when(key % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Company of "), seller)),

@@ -74,3 +74,31 @@ def test_ingest(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["n2021", "v"]
     with pytest.raises(SystemExit):
         jobs.main(["corrections", "--kind", "state", "--input", str(tmp_path / "x"), "--output", "y"], spark)
+
+
+def test_city_files_to_anomalies(spark, tmp_path, capsys):
+    head = "raun;samtala0;tegund0;fyrirtaeki\n"
+    for year, amount in ((2020, "100"), (2021, "900,5"), (2022, "900,5")):
+        (tmp_path / f"annual_{year}.csv").write_text(head + f'{amount};o;t;"F ""x"""\n-50;o;t;G\n', encoding="utf-8")
+    base = str(tmp_path / "city")
+    files = [str(tmp_path / f"annual_{y}.csv") for y in (2020, 2021, 2022)]
+    jobs.main(["city-pipeline", "--base", base, *files, "--min-amount", "500", "--min-pct", "1000"], spark)
+    assert "'records': 6" in capsys.readouterr().out
+    assert spark.read.parquet(f"{base}/anomalies_all").count() == 6
+    flagged = spark.read.parquet(f"{base}/anomalies_flagged").filter("prior_real > 0").collect()
+    assert [(r.year, float(r.actual_real)) for r in flagged] == [(2021, 900.5)]
+
+
+def test_exports_to_anomalies_and_rebuild(spark, tmp_path, capsys):
+    head = "Kaupandi,Birgi,Tegund,Upphæð línu,Dags.greiðslu,Númer reiknings\n"
+    folder, landing, base = tmp_path / "in", str(tmp_path / "landing"), str(tmp_path / "state")
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + "A,s,t,10,2020-01-31,1\nA,s,t,99,2021-01-31,2\nA,s,t,5,,3\n", encoding="utf-8")
+    jobs.main(["land-exports", "--input", str(folder), "--landing", landing, "--number", "1"], spark)
+    assert "'records': 3" in capsys.readouterr().out
+    for more in ([], ["--reset"]):
+        jobs.main(["pipeline", "--landing", landing, "--base", base, "--min-amount", "50", *more], spark)
+        assert spark.read.parquet(f"{base}/marked").count() == 3
+        assert spark.read.parquet(f"{base}/anomalies_all").count() == 2
+    with pytest.raises(SystemExit, match="symmetric"):
+        jobs.main(["corrections", "--kind", "city", "--input", f"{base}/marked", "--output", "x", "--symmetric"], spark)

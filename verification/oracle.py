@@ -1,14 +1,17 @@
 """The registered queries in plain SQL, written from their definitions.
 
-The text takes other ways than the Spark code where it can: self joins for
-corrections and for the year before, subqueries for the comparisons.
+The text takes other ways than the Spark code: existence of a counter-entry for
+corrections, subqueries for the year before, sums under conditions for the
+comparison of two years.
 """
 
 from __future__ import annotations
 
 STATE = """
 state AS (
-  SELECT r.r_name AS buyer, sn.n_name AS seller, p.p_type AS type,
+  SELECT CASE WHEN l_orderkey % 97 <> 0 THEN r.r_name END AS buyer,
+         CASE WHEN l_orderkey % 89 <> 0 THEN sn.n_name END AS seller,
+         CASE WHEN l_orderkey % 83 <> 0 THEN p.p_type END AS type,
          CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount,
          CAST(l_shipdate AS DATE) AS paid_on, CAST(l_orderkey AS VARCHAR) AS invoice,
          CASE WHEN l_tax = 0.08 THEN TRUE WHEN l_linestatus = 'O' THEN FALSE END AS is_correction,
@@ -28,9 +31,11 @@ city AS (
   SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
          CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount,
          r.r_name AS org0, cn.n_name AS org1, nullif(c_mktsegment, 'MACHINERY') AS org2,
-         CAST(NULL AS VARCHAR) AS org3, CAST(NULL AS VARCHAR) AS org4,
-         nullif(p.p_type, 'PROMO') AS type0, nullif(l_linestatus, 'O') AS type1,
-         CAST(NULL AS VARCHAR) AS type2, CAST(NULL AS VARCHAR) AS type3, CAST(NULL AS VARCHAR) AS type4,
+         c_name AS org3, nullif(o_orderpriority, '5-LOW') AS org4,
+         nullif(p.p_type, 'PROMO') AS type0, nullif(p_brand, 'Brand#2') AS type1,
+         CASE WHEN length(p_name) % 3 <> 0 THEN p_name END AS type2,
+         CASE WHEN p_size % 4 <> 0 THEN 'Size ' || CAST(p_size AS VARCHAR) END AS type3,
+         CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS type4,
          CASE WHEN s_nationkey % 5 = 0 THEN '  ' ELSE 'Company of ' || sn.n_name END AS company,
          CASE WHEN s_nationkey % 2 = 0 THEN ' Label of ' || sn.n_name || ' ' END AS company_label,
          CASE WHEN s_nationkey % 7 <> 3 THEN CAST(s_nationkey * 1000 AS BIGINT) END AS vat_no,
@@ -159,17 +164,20 @@ def _ledgers() -> dict[str, str]:
         put("years_distinct", f"""SELECT DISTINCT year, CAST(year AS VARCHAR)
             || CASE WHEN year = (SELECT MAX(year) FROM {src}) THEN '*' ELSE '' END AS label FROM {src} WHERE year IS NOT NULL""")
         for name, group in (("report_yoy_top", typ), ("report_yoy_top_buyer", buyer)):
-            put(name, f""", ys AS (SELECT DISTINCT year FROM {src} WHERE year IS NOT NULL ORDER BY year DESC LIMIT 2),
-            a AS (SELECT {group} AS g, SUM(amount) AS cur FROM {src} WHERE year = (SELECT MAX(year) FROM ys) GROUP BY {group}),
-            b AS (SELECT {group} AS g, SUM(amount) AS prev FROM {src} WHERE year = (SELECT MIN(year) FROM ys) GROUP BY {group})
-            SELECT a.g AS grp, CAST(cur AS DOUBLE) AS cur, CAST(prev AS DOUBLE) AS prev,
-            CAST(cur - prev AS DOUBLE) AS change, {_pct('cur', 'prev')} AS pct
-            FROM a JOIN b ON a.g = b.g ORDER BY ABS(cur - prev) DESC, grp LIMIT 20""")
+            put(name, f""", newest AS (SELECT MAX(year) AS y FROM {src}),
+            pair AS (SELECT y, (SELECT MAX(year) FROM {src} WHERE year < y) AS z FROM newest),
+            sums AS (SELECT {group} AS grp, SUM(amount) FILTER (WHERE year = y) AS cur, SUM(amount) FILTER (WHERE year = z) AS prev, y, z
+              FROM {src}, pair WHERE {group} IS NOT NULL GROUP BY ALL
+              HAVING COUNT(*) FILTER (WHERE year = y) > 0 AND COUNT(*) FILTER (WHERE year = z) > 0)
+            SELECT grp, CAST(cur AS DOUBLE) AS cur, CAST(prev AS DOUBLE) AS prev,
+            CAST(cur - prev AS DOUBLE) AS change, {_pct('cur', 'prev')} AS pct,
+            CASE WHEN cur < prev THEN 'down' ELSE 'up' END AS direction, z AS prev_year, y AS cur_year
+            FROM sums ORDER BY GREATEST(cur - prev, prev - cur) DESC, grp LIMIT 20""")
         put("analysis_selected_change", f""", y AS (SELECT year, SUM(amount) AS s FROM {src} WHERE {KEEP} AND {typ} = 'ECONOMY' GROUP BY year),
             l AS (SELECT year, s, LAG(s) OVER (ORDER BY year) AS p FROM y)
             SELECT year, CAST(s AS DOUBLE) AS total, {_pct('s', 'p')} AS change_pct FROM l""")
         avg = """gy AS (SELECT {g} AS g, year, SUM(amount) AS s FROM {src} WHERE {g} IS NOT NULL AND {keep} GROUP BY {g}, year),
-            gl AS (SELECT g, year, s, LAG(s) OVER (PARTITION BY g ORDER BY year) AS p FROM gy),
+            gl AS (SELECT g, year, s, (SELECT MAX_BY(e.s, e.year) FROM gy e WHERE e.g = gy.g AND e.year < gy.year) AS p FROM gy),
             av AS (SELECT year, AVG({pct}) AS avg_change_pct FROM gl WHERE p IS NOT NULL AND p <> 0 GROUP BY year)"""
         put("analysis_avg_change", ", " + avg.format(g=typ, src=src, keep=KEEP, pct=_pct("s", "p"))
             + " SELECT year, round(avg_change_pct, 6) AS avg_change_pct FROM av")
@@ -217,18 +225,26 @@ def _ledgers() -> dict[str, str]:
 
 
 def _pairs_state(*, symmetric: bool = False) -> str:
-    near = """a.buyer = b.buyer AND a.seller = b.seller AND a.type = b.type AND a.paid_on <= b.paid_on
-      AND datediff('day', a.paid_on, b.paid_on) <= 2 AND (a.amount > 0) <> (b.amount > 0)
-      AND ABS(ABS(a.amount) - ABS(b.amount)) < 1000"""
-    sql = f"SELECT a.invoice FROM state a JOIN state b ON {near} WHERE ABS(a.amount) > 50000 AND a.invoice IS NOT NULL"
+    """Invoices of large lines that have a counter-entry on the day or up to two days
+    later; with ``symmetric`` also those of the counter-entries."""
+
+    def having(line: str, other: str, days: str) -> str:
+        return f"""SELECT {line}.invoice FROM state {line} WHERE {line}.invoice IS NOT NULL
+          AND {line}.amount <> 0 AND EXISTS (SELECT 1 FROM state {other}
+            WHERE {other}.type = {line}.type AND {other}.seller = {line}.seller AND {other}.buyer = {line}.buyer
+              AND {days} BETWEEN 0 AND 2 AND sign({other}.amount) <> sign({line}.amount)
+              AND {other}.amount + {line}.amount > -1000 AND {other}.amount + {line}.amount < 1000
+              AND (l.amount > 50000 OR l.amount < -50000))"""
+
+    sql = having("l", "m", "m.paid_on - l.paid_on")
     if symmetric:
-        sql += f" UNION SELECT b.invoice FROM state a JOIN state b ON {near} WHERE ABS(a.amount) > 50000 AND b.invoice IS NOT NULL"
+        sql += " UNION " + having("m", "l", "m.paid_on - l.paid_on")
     return f"SELECT DISTINCT invoice FROM ({sql})"
 
 
-_CITY_NEAR = (
-    "a.year = b.year AND a.amount * b.amount < 0 AND ABS(ABS(a.amount) - ABS(b.amount)) < 1000 AND "
-    + " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in CITY_PAIR)
+_CITY_NEAR = " AND ".join(
+    [f"m.{k} IS NOT DISTINCT FROM l.{k}" for k in reversed(CITY_PAIR)]
+    + ["m.year = l.year", "sign(m.amount) = -sign(l.amount)", "m.amount + l.amount > -1000", "m.amount + l.amount < 1000"]
 )
 _CITY_BASE = (
     "year, CAST(amount AS DOUBLE) AS amount, org0, org1, org2, org3, org4, type0, type1, type2, type3, type4, "
@@ -237,7 +253,7 @@ _CITY_BASE = (
 _CITY_IDS = (
     f"{CITY}, numbered AS (SELECT row_number() OVER () AS id, * FROM city), "
     "light AS MATERIALIZED (SELECT * FROM numbered), "
-    f"hit AS (SELECT DISTINCT a.id FROM light a JOIN light b ON {_CITY_NEAR} WHERE ABS(a.amount) > 50000)"
+    f"hit AS (SELECT l.id FROM light l WHERE abs(l.amount) > 50000 AND EXISTS (SELECT 1 FROM light m WHERE {_CITY_NEAR}))"
 )
 
 _LINES = "SELECT year, buyer, seller, type, CAST(amount AS DOUBLE) AS amount, paid_on FROM state"
@@ -252,9 +268,11 @@ SQL: dict[str, str] = {
     "combine_chunks": _state(
         f"SELECT CAST(date_trunc('month', paid_on) AS DATE) AS month, type, {SUMS} FROM state GROUP BY 1, 2"
     ),
-    "export_ingest": _state(f"SELECT paid_on, buyer, type, {SUMS} FROM state GROUP BY paid_on, buyer, type"),
+    "export_ingest": _state(f"""SELECT paid_on, buyer, type || '"x", "\\' || chr(10) || 'y' AS type, {SUMS}
+        FROM state GROUP BY paid_on, buyer, type"""),
     "csv_ingest": _city(
-        f"""SELECT year, org0, org1, org2, type0, type1, {SUPPLIER} AS supplier_name, FALSE AS is_correction, {SUMS}
+        f"""SELECT year, org0, org1 || '"x"; "\\' || chr(10) || 'y' AS org1, org2, type0, type1,
+        {SUPPLIER} AS supplier_name, FALSE AS is_correction, {SUMS}
         FROM city GROUP BY ALL"""
     ),
     "union_years": _city("""SELECT year, COUNT(*) AS n,
@@ -284,6 +302,12 @@ SQL: dict[str, str] = {
         ELSE 'resource' END FROM pages WHERE page_id % 4 <> 0) WHERE name LIKE '%2015%' OR name LIKE '%2019%'""",
     "explore_filter": _state(f"""SELECT seller, paid_on, {SUMS} FROM state
         WHERE {KEEP} AND year = 1998 AND type = 'ECONOMY' AND buyer = 'ASIA' GROUP BY seller, paid_on"""),
+    "explore_filter_unit": _city(f"""SELECT year, org0, {SUMS} FROM city
+        WHERE {KEEP} AND org1 = 'NATION_6' AND type0 = 'ECONOMY' GROUP BY year, org0"""),
+    "anomaly_filter_city": f"""WITH {CITY_YOY} SELECT {_yoy_out(CITY_GRAIN)} FROM yoy
+        WHERE year = 1998 AND yoy_real_pct > 0 AND ABS(yoy_real_pct) >= 50""",
+    "option_search_city": _city("SELECT DISTINCT org3 FROM city WHERE contains(lower(org3), '12')"),
+    "combine_chunks_city": _city(f"SELECT year, org0, type1, {SUMS} FROM city GROUP BY ALL"),
     "sign_filter": _city(f"SELECT year, org1, {SUMS} FROM city WHERE amount < 0 GROUP BY year, org1"),
     "supplier_filter": _city(f"SELECT year, {SUMS} FROM city WHERE {SUPPLIER} = 'VAT NATION_6' GROUP BY year"),
     "anomaly_filter": f"""WITH {STATE_YOY} SELECT {_yoy_out(STATE_GRAIN)} FROM yoy

@@ -186,15 +186,31 @@ def combine_chunks(spark, sf_dir):
     return per(chunks.combine_chunks(spark, [landed], out), F.trunc("paid_on", "month").alias("month"), "type")
 
 
+@query
+def combine_chunks_city(spark, sf_dir):
+    """A ledger stored by year next to one whose types were guessed."""
+    landed, drifted, out = (scratch_path(spark, n) for n in ("chunks", "drifted", "combined"))
+    lines = C.lines(spark, sf_dir, "org0", "type1").drop("is_correction")
+    sinks.write_by_year(lines.filter("year < 1999"), landed, CITY)
+    later = lines.filter("year >= 1999").withColumn("amount", F.col("amount").cast("double"))
+    sinks.write_table(later, drifted)
+    return per(chunks.combine_chunks(spark, [landed, drifted], out, CITY), "year", "org0", "type1")
+
+
 @query
 def export_ingest(spark, sf_dir):
     """Comma-separated exports, read back with explicit types."""
     landed = scratch_path(spark, "exports")
     lines = S.lines(spark, sf_dir, "buyer", "type").drop("year", "is_correction")
-    _file_names(lines, STATE).write.option("header", True).csv(landed)
+    lines = lines.withColumn("type", F.concat("type", F.lit(HARD.format(","))))
+    _file_names(lines, STATE).write.options(header=True, escape='"').csv(landed)
     return per(chunks.ingest_export(spark, landed), "paid_on", "buyer", "type")
 
 
+# Ends names with quotes, a separator, a backslash and a line break.
+HARD = '"x"{} "\\\ny'
+
+
 def _land_city_csv(
     spark: SparkSession, sf_dir: str, drop: tuple[str, ...], even_years_only: bool = False
 ) -> list[str]:
@@ -206,13 +222,14 @@ def _land_city_csv(
     landed = scratch_path(spark, "annual")
     lines = city_ledger(spark, sf_dir).drop("is_correction")
     local = F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))
+    lines = lines.withColumn("org1", F.concat("org1", F.lit(HARD.format(";"))))
     named = _file_names(lines.withColumn("amount", local), CITY).withColumn("annual", F.col("ar"))
     even = F.col("annual") % 2 == 0
     parts = [named.filter(~even), named.filter(even).drop(*drop)] if even_years_only else [named.drop(*drop)]
     for part in parts:
-        part.hint("rebalance", F.col("annual")).write.mode("append").partitionBy("annual").option(
-            "header", True
-        ).option("sep", ";").csv(landed)
+        part.hint("rebalance", F.col("annual")).write.mode("append").partitionBy("annual").options(
+            header=True, sep=";", escape='"'
+        ).csv(landed)
     found = [r[0] for r in city_ledger(spark, sf_dir, ["year"]).distinct().collect()]
     return [f"{landed}/annual={y}" for y in sorted(found)]
 
@@ -330,6 +347,13 @@ def explore_filter(spark, sf_dir):
     return per(lines.filter(PICK.predicate(STATE)), "seller", "paid_on")
 
 
+@query
+def explore_filter_unit(spark, sf_dir):
+    lines = C.lines(spark, sf_dir, "type0", "org0", "org1")
+    where = Selection(type=TYPE, unit="NATION_6").predicate(CITY)
+    return per(lines.filter(where), "year", "org0")
+
+
 @both
 def exclude_corrections(spark, sf_dir, src):
     lines = src.lines(spark, sf_dir, src.spec.type)
@@ -348,9 +372,9 @@ def supplier_filter(spark, sf_dir):
     return per(lines.filter(filters.seller_is(CITY, CITY_SELLER)), "year")
 
 
-@query
-def anomaly_filter(spark, sf_dir):
-    return S.yoy(spark, sf_dir, YEAR).filter(UP.predicate())
+@both
+def anomaly_filter(spark, sf_dir, src):
+    return src.yoy(spark, sf_dir, YEAR).filter(UP.predicate())
 
 
 @both
@@ -369,6 +393,11 @@ def option_search(spark, sf_dir):
     return filters.search_options(S.lines(spark, sf_dir, "seller"), "seller", "  nation_1 ")
 
 
+@query
+def option_search_city(spark, sf_dir):
+    return filters.search_options(C.lines(spark, sf_dir, "org3"), "org3", " 12 ")
+
+
 @both
 def preview_page(spark, sf_dir, src):
     columns = SUPPLIER if src is C else ()
@@ -684,28 +713,29 @@ def sellers_union(spark, sf_dir):
 
 
 def _entry(number: Column, ended: Column) -> Column:
-    return F.create_map(
-        F.lit("vatNumber"), number.cast("string"), F.lit("deRegistered"), ended
-    )
+    """A registry entry; ``ended`` is JSON."""
+    return F.format_string('{"vatNumber":"%d","deRegistered":%s}', number, ended)
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry answers about suppliers: none, one or two VAT entries."""
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     key, over = F.col("s_suppkey"), F.col("s_acctbal") < 0
-    first = _entry(key * 10 + 1, F.when(over, F.lit("2020-01-31")))
-    second = _entry(key * 10 + 2, F.when(key % 3 == 0, F.lit("2021-06-30")))
-    nothing = F.create_map(F.lit("note"), F.lit("none"))
+    # What is not a date says in four ways that a number is registered.
+    open_ = F.element_at(F.array(*map(F.lit, ("null", "false", "0", '""'))), (key % 4 + 1).cast("int"))
+    first = _entry(key * 10 + 1, F.when(over, '"2020-01-31"').otherwise(open_))
+    second = _entry(key * 10 + 2, F.when(key % 3 == 0, '"2021-06-30"').otherwise(open_))
     entries = (
-        F.when(key % 5 == 0, F.array().cast("array<map<string,string>>"))
-        .when(key % 5 == 1, F.array(nothing, first))
-        .when(key % 5 == 2, F.array(first))
-        .otherwise(F.array(first, second))
+        F.when(key % 5 == 0, F.lit(""))
+        .when(key % 5 == 1, F.concat(F.lit('{"note":"none"},'), first))
+        .when(key % 5 == 2, first)
+        .otherwise(F.concat_ws(",", first, second))
     )
     return supplier.select(
         key,
         F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("name"),
-        F.to_json(F.struct(entries.alias("vat"))).alias("answer"),
+        F.format_string("%010d", F.col("s_nationkey")).alias("entity"),
+        F.concat(F.lit('{"vat":['), entries, F.lit("]}")).alias("answer"),
     )
 
 
@@ -716,8 +746,15 @@ def active_vat_number(spark, sf_dir):
 
 @query
 def vat_enrich(spark, sf_dir):
-    numbers = enrich.registry_numbers(_answers(spark, sf_dir), "name", "answer")
-    return enrich.enrich_sellers(_sellers(spark, sf_dir), numbers)
+    """Names to ids by stored search pages, ids to numbers by stored answers."""
+    stored = _answers(spark, sf_dir)
+    pages = stored.select(
+        "name", F.format_string("<a href='/kennitala/%s'>%s</a>", "entity", "name").alias("page")
+    )
+    ids = enrich.registry_ids(pages, "name", "page")
+    return enrich.enrich_sellers(
+        _sellers(spark, sf_dir), enrich.numbers_by_id(ids, stored, "entity", "answer")
+    )
 
 
 @named("extract_entity_id")
