@@ -11,9 +11,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
 from . import chat, decontam, mixing, neighbours, pii, quality, sharding, simhash, suffixes, tokens
-from .store import keep
+from .store import folder, keep
 from .text import whole, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +122,7 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents counted by words on arrival, then revised to a tokenizer's counts."""
     docs = table(spark, sf_dir, "documents")
-    rollup = tokens.Rollup(spark, scratch_path(spark, "token-counts"))
+    rollup = tokens.Rollup(spark, folder(spark, "token-counts"))
     rollup.insert("arrived", docs, "words", words("text"))
     count = tokens.token_count(
         F.col("text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends."""
+    path = scratch_path(spark, label)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: later uses do not compute it again.
 
-    The table lies in the folder named by ``spark.checkpoint.dir``, so it
-    outlives lost executors. It is removed when the session's JVM ends.
+    The table lies where all executors reach it, so it outlives lost executors.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(kept: DataFrame, rows: int = 50_000) -> DataFrame:
