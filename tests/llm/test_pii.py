@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from spendlens.llm import pii, registry
 
