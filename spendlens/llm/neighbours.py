@@ -12,8 +12,10 @@ found is scored once more, in double precision on the original vectors.
 
 Inner products of vectors of different length are turned into those of equal
 length by one more component, sqrt(L^2 - |x|^2) with L the greatest length; a
-query has 0 there. While the graph is built and searched a component is one
-byte, scaled by the largest one of its vector.
+query has 0 there. Codes hold components in single precision and the added one
+in double. The graph ranks by -|a - b|^2 / 2, which is the inner product less L^2
+and keeps small differences of near copies; the search ranks by the inner
+product itself. Both are computed in double precision.
 
 Links to a vector beyond the nearest ``BACK`` are not followed back, as usual
 in NN-descent: it is approximate, and recall is measured. Equal vectors are one
@@ -23,11 +25,12 @@ vector of the graph, however many rows share it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +53,24 @@ OPEN = 24
 HOPS = 4
 #: Scored candidates a task gathers before it drops all but the best of a vector.
 GATHER = 500_000
+#: Blocks or neighbourhoods handed to a task at once, some 40 KB each at 64 components.
+HANDED = 200
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``HANDED`` rows in the jobs run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Codes:
-    """A binary column of codes: components as signed bytes, then their scale."""
+    """A binary column of codes: components in single precision, then the added one in double."""
 
     def __init__(self, column: pa.Array) -> None:
         _, offsets, data = column.buffers()
@@ -63,16 +80,23 @@ class Codes:
 
     def __getitem__(self, part: slice) -> np.ndarray:
         rows = self.rows[part]
-        scale = np.ascontiguousarray(rows[:, -4:]).view(np.float32)
-        return rows[:, :-4].view(np.int8).astype(np.float32) * scale
+        if not rows.size:
+            return np.empty((len(rows), 0))
+        x = np.ascontiguousarray(rows[:, :-8]).view(np.float32)
+        added = np.ascontiguousarray(rows[:, -8:]).view(np.float64)
+        return np.concatenate([x, added], axis=1)
+
+
+def encode(x: np.ndarray, added: np.ndarray) -> list[bytes]:
+    flat, more = x.astype(np.float32), added.astype(np.float64)
+    return [a.tobytes() + b.tobytes() for a, b in zip(flat, more)]
 
 
-def encode(x: np.ndarray) -> list[bytes]:
-    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) / 127
-    scale = np.maximum(scale, np.finfo(np.float32).tiny)
-    small = np.clip(np.rint(x / scale), -127, 127).astype(np.int8)
-    both = np.concatenate([small.view(np.uint8), scale.astype(np.float32).view(np.uint8)], axis=1)
-    return [r.tobytes() for r in both]
+def _nearness(codes: np.ndarray) -> np.ndarray:
+    """-|a - b|^2 / 2 of all pairs."""
+    product = codes @ codes.T
+    half = np.diagonal(product) / 2
+    return product - half[:, None] - half[None, :]
 
 
 def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> tuple:
@@ -89,11 +113,11 @@ def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) ->
 
 def _pairs(node: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"node": pa.array(node), "other": pa.array(other), "score": pa.array(score.astype(np.float32))}
+        {"node": pa.array(node), "other": pa.array(other), "score": pa.array(score.astype(np.float64))}
     )
 
 
-PAIR = "node long, other long, score float"
+PAIR = "node long, other long, score double"
 
 
 def _gathered(parts: Iterator[tuple], most: int) -> Iterator[pa.RecordBatch]:
@@ -130,7 +154,7 @@ def _block_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
     def parts() -> Iterator[tuple]:
         for batch in batches:
             for _, m, codes in _members(batch):
-                yield from _nearest(codes @ codes.T, m["node"], None, most)
+                yield from _nearest(_nearness(codes), m["node"], None, most)
 
     yield from _gathered(parts(), LIST)
 
@@ -158,7 +182,7 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = m["new"].astype(bool)
                 if not new.any():
                     continue
-                score = codes @ codes.T
+                score = _nearness(codes)
                 score[~(new[:, None] | new[None, :])] = -np.inf
                 yield from _nearest(score, m["node"], m["floor"], TAKE)
 
@@ -192,9 +216,12 @@ def neighbour_graph(codes: DataFrame) -> DataFrame:
     start = dealt.groupBy("of").agg(F.collect_list(F.struct("node", "code")).alias("members"))
     most = FROM_BLOCK if blocks > 1 else LIST
     first = start.select("members").mapInArrow(partial(_block_lists, most=most), PAIR)
-    graph = keep(_top(first.groupBy("node", "other").agg(F.max("score").alias("score")), LIST).withColumn("new", F.lit(True)), "graph")
+    spark = codes.sparkSession
+    with _small_batches(spark):
+        graph = keep(_top(first.groupBy("node", "other").agg(F.max("score").alias("score")), LIST).withColumn("new", F.lit(True)), "graph")
     for _ in range(ROUNDS if blocks > 1 else 0):
-        graph = keep(_descend(graph, codes), "graph")
+        with _small_batches(spark):
+            graph = keep(_descend(graph, codes), "graph")
         changed = graph.filter("new").count()
         if changed <= SETTLED * n * LIST:
             break
@@ -214,7 +241,7 @@ def _around(graph: DataFrame) -> DataFrame:
 
 def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     floor = graph.groupBy("node").agg(
-        F.when(F.count(F.lit(1)) >= LIST, F.min("score")).otherwise(F.lit(float("-inf"))).cast("float").alias("floor")
+        F.when(F.count(F.lit(1)) >= LIST, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor")
     )
     known = codes.join(floor, "node")
     hoods = (
@@ -257,14 +284,9 @@ def search(
     ``queries``: (query, asked), ``asked`` a code. ``starts``: (node, other),
     vectors with which the search of query ``node`` sets out.
     """
-    hoods = keep(
-        _around(graph)
-        .join(codes, "node")
-        .groupBy("hub")
-        .agg(F.collect_list(F.struct("node", "code")).alias("members")),
-        "neighbourhoods",
-    )
-    unseen = (F.lit(float("inf")).cast("float").alias("score"), F.lit(False).alias("opened"))
+    # Without codes, which would be on disk once per neighbourhood.
+    around = keep(_around(graph).select("hub", "node"), "neighbourhoods")
+    unseen = (F.lit(float("inf")).alias("score"), F.lit(False).alias("opened"))
     found = starts.select("node", "other", *unseen)
     for _ in range(HOPS):
         order = Window.partitionBy("node").orderBy("opened", F.col("score").desc(), "other")
@@ -281,6 +303,13 @@ def search(
             .groupBy(F.col("other").alias("hub"), F.pmod(F.xxhash64("query"), F.lit(64)).alias("part"))
             .agg(F.collect_list(F.struct("query", "asked")).alias("queries"))
         )
+        hubs = marked.filter("now").select(F.col("other").alias("hub")).distinct()
+        hoods = (
+            around.join(hubs, "hub", "left_semi")
+            .join(codes, "node")
+            .groupBy("hub")
+            .agg(F.collect_list(F.struct("node", "code")).alias("members"))
+        )
         met = (
             opening.join(hoods, "hub")
             .select("queries", "members")
@@ -293,7 +322,8 @@ def search(
             .groupBy("node", "other")
             .agg(F.min("score").alias("score"), F.max("opened").alias("opened"))
         )
-        found = keep(_top(once, most), "search")
+        with _small_batches(codes.sparkSession):
+            found = keep(_top(once, most), "search")
     return found.select("node", "other", "score")
 
 
@@ -319,12 +349,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         x = flat.reshape(n, -1)
         short = np.sqrt(np.maximum(batch.column("top").to_numpy() - batch.column("square").to_numpy(), 0))
-        full, asked = np.column_stack([x, short]), np.column_stack([x, np.zeros(n)])
         yield pa.RecordBatch.from_pydict(
             {
                 "node": batch.column("node"),
-                "code": pa.array(encode(full), pa.binary()),
-                "asked": pa.array(encode(asked), pa.binary()),
+                "code": pa.array(encode(x, short), pa.binary()),
+                "asked": pa.array(encode(x, np.zeros(n)), pa.binary()),
             }
         )
 

@@ -76,3 +76,23 @@ def test_few_rows(spark, tables):
     twice = df.union(df)
     got = registry.op2_neighbours(spark, tables(embeddings=twice)).collect()
     assert len(got) == 4
+
+
+def unit_rows(x, first=0):
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return [(first + i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+
+
+def test_one_long_vector_does_not_blur_the_others(spark, tables):
+    rows = unit_rows(np.random.default_rng(5).normal(size=(3000, 24)))
+    rows[1] = (1, [100 * c for c in rows[1][1]], 0)
+    got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
+    check(got, [r[:2] for r in rows], 0.95)
+
+
+def test_thousands_of_near_copies_are_told_apart(spark, tables):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=(1, 24)) + 2e-3 * rng.normal(size=(3000, 24))
+    rows = unit_rows(np.concatenate([near, rng.normal(size=(600, 24))]))
+    got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
+    check(got, [r[:2] for r in rows], 0.95)
