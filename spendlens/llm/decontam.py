@@ -8,6 +8,12 @@ the question stands for one value of the document, and each of the
 document's for one of the question's. With equal values the copy is verbatim,
 else re-parameterised.
 
+Three readings of a text are matched, and a pair found in one of them counts:
+the template; the template of the text with white space collapsed, in which a
+capitalised word is a name also at the start of a sentence if it is one
+elsewhere in the text; and its words alone in lower case. Words alone have no
+slots: 80 % of their windows are a verbatim copy in whatever case and spacing.
+
 Document windows are met with the windows of the benchmark where they arise:
 only hits are shuffled. The benchmark is broadcast if it is small, and shuffled
 otherwise.
@@ -29,6 +35,8 @@ LITERAL = 3
 BROADCAST_WINDOWS = 1_000_000
 
 NUMBER, NAME, UNIT = "#", "@", "~"
+#: Readings of a text, in the order in which they tell the kind of a pair.
+TEMPLATE, RENAMED, WORDS = range(3)
 NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+"
 NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
 UNITS = (
@@ -39,6 +47,43 @@ UNITS = (
 
 
 def template(text: Column, valued: bool = False) -> Column:
+    """Tokens of ``TEMPLATE``; see ``_tokens``."""
+    return _tokens(text, valued, False)
+
+
+def reading(text: Column, nth: int, valued: bool = False) -> Column:
+    """Tokens of a text in one of the three readings."""
+    if nth == TEMPLATE:
+        return template(text, valued)
+    if nth == WORDS:
+        return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]++"), F.lit(0))
+    tokens = _tokens(F.regexp_replace(text, r"[\s\p{Z}]++", " "), True, True)
+
+    def named(t: Column) -> Column:
+        names = F.flatten(
+            F.transform(
+                F.filter(t, lambda x: F.substring(x, 1, 1) == NAME),
+                lambda x: F.split(F.translate(x, NAME, ""), " "),
+            )
+        )
+        words = F.filter(t, lambda x: x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"))
+        return F.struct(t.alias("t"), F.array_intersect(words, names).alias("names"))
+
+    def mark(s: Column) -> Column:
+        sign = F.lit(NAME)
+        return F.transform(
+            s["t"], lambda x: F.when(F.array_contains(s["names"], x), F.concat(sign, x, sign)).otherwise(x)
+        )
+
+    def plain(x: Column) -> Column:
+        first = F.substring(x, 1, 1)
+        return F.lower(x) if valued else F.when(first.isin(NUMBER, NAME, UNIT), first).otherwise(F.lower(x))
+
+    once = F.transform(F.array(tokens), named)
+    return F.transform(F.transform(once, mark)[0], plain)
+
+
+def _tokens(text: Column, valued: bool, cased: bool) -> Column:
     """Tokens of a text: words, and placeholders in the place of values.
 
     ``valued`` keeps the value inside its placeholder, as in ``#12#``; the
@@ -55,19 +100,22 @@ def template(text: Column, valued: bool = False) -> Column:
         marked, rf"(?i){NUMBER} *+(?<![0-9] )({UNITS})(?![\p{{L}}\p{{M}}])", f"{NUMBER}{mark(UNIT, '$1')}"
     )
     one = "|".join(f"{s}[^{s}]*+{s}" for s in (NUMBER, NAME, UNIT)) if valued else "[#@~]"
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[\p{{L}}\p{{M}}]++|{one}"), F.lit(0))
+    return F.regexp_extract_all(marked if cased else F.lower(marked), F.lit(rf"[\p{{L}}\p{{M}}]++|{one}"), F.lit(0))
+
 
+def windows(tokens: Column, seed: int = TEMPLATE) -> Column:
+    """Hash of each five tokens in a row; of all tokens if there are fewer, none if there are none.
 
-def windows(tokens: Column) -> Column:
-    """Hash of each five tokens in a row; of all tokens if there are fewer, none if there are none."""
+    Equal windows of different readings, their ``seed``, have different hashes.
+    """
     def hashes(t: Column) -> Column:
         many = F.transform(
             F.sequence(F.lit(0), F.size(t) - WINDOW),
-            lambda i: F.xxhash64(*(t[i + k] for k in range(WINDOW))),
+            lambda i: F.xxhash64(F.lit(seed), *(t[i + k] for k in range(WINDOW))),
         )
         return (
             F.when(F.size(t) >= WINDOW, many)
-            .when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " "))))
+            .when(F.size(t) > 0, F.array(F.xxhash64(F.lit(seed), F.array_join(t, " "))))
             .otherwise(F.array().cast("array<bigint>"))
         )
 
@@ -75,18 +123,30 @@ def windows(tokens: Column) -> Column:
     return F.transform(F.array(tokens), hashes)[0]
 
 
+def _readings(text: Column, valued: bool) -> Column:
+    """(nth, text, tokens) of the three readings."""
+    return F.array(
+        *(
+            F.struct(F.lit(k).alias("nth"), text.alias("text"), reading(text, k, valued).alias("tokens"))
+            for k in (TEMPLATE, RENAMED, WORDS)
+        )
+    )
+
+
 def benchmark_windows(items: DataFrame, id_: str, text: str) -> DataFrame:
     """(item, digest, at, window, n): windows with enough words, ``n`` of them distinct per question.
 
-    A question without such a window keeps all it has.
+    ``digest`` is of the text and its reading: each reading is a question of its own. A question without such a window keeps all it has.
     """
     tokens = items.select(
-        F.col(id_).alias("item"),
-        F.xxhash64(whole(text)).alias("digest"),
-        template(whole(text)).alias("tokens"),
-    ).dropDuplicates(["item", "digest"])
+        F.col(id_).alias("item"), F.explode(_readings(whole(text), False)).alias("r")
+    ).select("item", F.xxhash64("r.text", "r.nth").alias("digest"), "r.nth", "r.tokens")
+    tokens = tokens.dropDuplicates(["item", "digest"])
+    seeded = F.lit(None).cast("array<bigint>")
+    for k in (TEMPLATE, RENAMED, WORDS):
+        seeded = F.when(F.col("nth") == k, windows(F.col("tokens"), k)).otherwise(seeded)
     each = tokens.select(
-        "item", "digest", "tokens", F.posexplode(windows(F.col("tokens"))).alias("at", "window")
+        "item", "digest", "tokens", F.posexplode(seeded).alias("at", "window")
     ).withColumn(
         "words",
         F.size(
@@ -119,7 +179,8 @@ def contaminated(
 
     Columns: doc_id, doc_digest, item_id, windows (of the question), found,
     containment, kind (``verbatim`` or ``reparameterised``), start (token of
-    the document at which the question's alignment starts).
+    the reading of the document at which the question's alignment starts).
+    Pairs found by their words alone are ``verbatim``.
 
     * Null and empty texts have no windows and match nothing.
     * Texts of fewer than five tokens are one window, found only in texts
@@ -133,12 +194,19 @@ def contaminated(
     bench = keep(benchmark_windows(items, item_id, text), "benchmark-windows")
     distinct = bench.select("window").distinct()
     told = keep(distinct, "benchmark-hashes")
+    hashed = F.flatten(
+        F.array(
+            *(
+                F.transform(windows(reading(body, k), k), lambda w, i: F.struct(i.alias("pos"), w.alias("window")))
+                for k in (TEMPLATE, RENAMED, WORDS)
+            )
+        )
+    )
     met = (
         docs.select(
-            F.col(doc_id).alias("doc"),
-            F.xxhash64(body).alias("doc_digest"),
-            F.posexplode(windows(template(body))).alias("pos", "window"),
+            F.col(doc_id).alias("doc"), F.xxhash64(body).alias("doc_digest"), F.explode(hashed).alias("w")
         )
+        .select("doc", "doc_digest", "w.pos", "w.window")
         .join(small(told, BROADCAST_WINDOWS), "window")
         .distinct()
     )
@@ -171,9 +239,14 @@ def contaminated(
         found.alias("f").join(best.alias("b"), same("f", "b")).select("f.*", "b.line.*"), "pairs"
     )
     questions = keep(
-        items.select(
-            F.xxhash64(whole(text)).alias("digest"), template(whole(text), True).alias("asked")
-        ).dropDuplicates(["digest"]),
+        items.select(F.explode(_readings(whole(text), True)).alias("r"))
+        .select(
+            F.xxhash64("r.text", "r.nth").alias("digest"),
+            F.xxhash64("r.text").alias("text_digest"),
+            "r.nth",
+            F.col("r.tokens").alias("asked"),
+        )
+        .dropDuplicates(["digest"]),
         "questions",
     )
     held = keep(pairs.select("doc_digest").distinct(), "held")
@@ -182,11 +255,19 @@ def contaminated(
         .join(small(held), "doc_digest", "left_semi")
         .groupBy("doc_digest")
         .agg(F.first("body").alias("body"))
-        .select("doc_digest", template(F.col("body"), True).alias("said"))
+        .select(
+            "doc_digest",
+            *(reading(F.col("body"), k, True).alias(f"said{k}") for k in (TEMPLATE, RENAMED)),
+        )
     )
     # A kept table: a text with very many copies can then be split in the join.
     answers = keep(answers, "answers")
-    slots = _slots(F.col("asked"), F.col("said"), F.col("start"), F.col("ats"))
+    none = F.array().cast("array<struct<asked:string,said:string>>")
+    slots = F.when(F.col("nth") == WORDS, none)
+    for k in (TEMPLATE, RENAMED):
+        slots = slots.when(
+            F.col("nth") == k, _slots(F.col("asked"), F.col(f"said{k}"), F.col("start"), F.col("ats"))
+        )
     asked = lambda s: s["asked"]
     said = lambda s: s["said"]
     n_pairs = F.size(F.array_distinct("slots"))
@@ -202,6 +283,8 @@ def contaminated(
             F.col("doc").alias("doc_id"),
             "doc_digest",
             F.col("item").alias("item_id"),
+            "text_digest",
+            "nth",
             F.col("n").alias("windows"),
             "found",
             (F.col("found") / F.col("n")).alias("containment"),
@@ -210,6 +293,11 @@ def contaminated(
             .alias("kind"),
             "start",
         )
+        # Of the readings that find a pair the first one tells about it.
+        .groupBy("doc_id", "doc_digest", "item_id", "text_digest")
+        .agg(F.min(F.struct("nth", "windows", "found", "containment", "kind", "start")).alias("r"))
+        .select("doc_id", "doc_digest", "item_id", "r.*")
+        .drop("nth")
     )
 
 

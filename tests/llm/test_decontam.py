@@ -101,3 +101,21 @@ def test_odd_rows(spark, odd_docs, no_docs, tables):
     assert registry.op6_decontamination(spark, empty).count() == 0
     empty = tables(documents=odd_docs, benchmark=bench.limit(0))
     assert registry.op6_decontamination(spark, empty).count() == 0
+
+
+def test_copies_in_other_case_and_spacing_are_found(spark):
+    texts = [QUESTION.lower(), QUESTION.upper(), QUESTION.replace(" ", "  "), QUESTION.replace(" ", "\u00a0")]
+    got = found(make_docs(spark, [FILLER + t for t in texts]), items(spark, QUESTION))
+    assert set(got) == {(i, 0) for i in range(4)}
+
+
+def test_renamed_persons_at_the_start_of_sentences_are_found(spark):
+    asked = (
+        "Anna has 12 red apples in May. Anna gives 5 of them to Bob. Anna buys 7 green apples from Carla. "
+        "How many apples does Anna have now, if Bob and Carla eat none of theirs?"
+    )
+    other = asked
+    for a, b in (("Anna", "Mira"), ("Bob", "Tom"), ("Carla", "Ruth"), ("12", "31"), ("5", "8"), ("7", "9")):
+        other = other.replace(a, b)
+    got = found(make_docs(spark, [FILLER + other + FILLER]), items(spark, asked))
+    assert got == {(0, 0): "reparameterised"}
