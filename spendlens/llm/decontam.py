@@ -4,8 +4,7 @@ Texts become templates: numbers, names and units (after a number) turn into
 typed placeholders, the rest into lower-case words. Five-token windows of the
 templates are joined by hash. A document holds a question if it has 80 % of the
 question's windows and the slots agree: along the best alignment each value of
-the question stands for one value of the document, and each of the
-document's for one of the question's. With equal values the copy is verbatim,
+the question stands for one value of the document. With equal values the copy is verbatim,
 else re-parameterised.
 
 Three readings of a text are matched, and a pair found in one of them counts:
@@ -271,9 +270,7 @@ def contaminated(
     asked = lambda s: s["asked"]
     said = lambda s: s["said"]
     n_pairs = F.size(F.array_distinct("slots"))
-    consistent = (n_pairs == F.size(F.array_distinct(F.transform("slots", asked)))) & (
-        n_pairs == F.size(F.array_distinct(F.transform("slots", said)))
-    )
+    consistent = n_pairs == F.size(F.array_distinct(F.transform("slots", asked)))
     return (
         pairs.join(small(questions), "digest")
         .join(answers, "doc_digest")

@@ -119,3 +119,13 @@ def test_renamed_persons_at_the_start_of_sentences_are_found(spark):
         other = other.replace(a, b)
     got = found(make_docs(spark, [FILLER + other + FILLER]), items(spark, asked))
     assert got == {(0, 0): "reparameterised"}
+
+
+def test_an_edited_mention_and_values_that_become_equal_are_no_veto(spark):
+    edited = QUESTION.replace("with 120 passengers go", "with 99 passengers go")
+    equal = (
+        QUESTION.replace("120", "45").replace("Dover", "Leeds").replace("3 hours", "9 minutes")
+        .replace("240 km", "13 miles")
+    )
+    got = found(make_docs(spark, [FILLER + edited, FILLER + equal]), items(spark, QUESTION))
+    assert got == {(0, 0): "verbatim", (1, 0): "reparameterised"}
