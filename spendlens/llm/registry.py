@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neighbours, pii, quality, sharding, simhash, suffixes, tokens
+from . import alignment, chat, decontam, divergence, mixing, neighbours, pii, quality, sharding
+from . import simhash, suffixes, tokens
 from .store import folder, keep
 from .text import whole, words
 
@@ -143,6 +144,16 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    lain = alignment.align(table(spark, sf_dir, "documents"), *paths, columns=["doc_id"])
+    return lain.select("row.doc_id", "aligned.*")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
@@ -154,5 +165,58 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_suffixes": op10_suffixes,
+    "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
+}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL: dict[str, str] = {
+    "op12_divergence": rf"""
+with doc as (
+    select row_number() over () as nth, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           coalesce(text, '') as text
+    from documents),
+used as (
+    select nth, lang, source, translate(term, '{_UPPER}', '{_UPPER.lower()}') as term
+    from (select nth, lang, source,
+                 unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+          from doc)),
+kept as (select lang, term from used group by lang, term having count(distinct nth) >= 3),
+size as (select d.lang, count(k.term) as v
+         from (select distinct lang from doc) d left join kept k using (lang) group by d.lang),
+cell as (
+    select g.lang, g.source, k.term, count(u.nth) as n
+    from (select distinct lang, source from doc) g
+    join kept k using (lang)
+    left join used u on u.lang = g.lang and u.source = g.source and u.term = k.term
+    group by g.lang, g.source, k.term),
+mass as (select lang, source, sum(n) as total from cell group by lang, source),
+own as (
+    select lang, source, term, n,
+           (1 + (1000000000::hugeint * (n + 1)) // (total + v)::hugeint)::bigint as p
+    from cell join mass using (lang, source) join size using (lang)),
+common as (
+    select c.lang, c.term,
+           (1 + (1000000000::hugeint * (c.n + 1)) // (m.total + v)::hugeint)::bigint as q
+    from (select lang, term, sum(n) as n from cell group by lang, term) c
+    join (select lang, sum(total) as total from mass group by lang) m using (lang)
+    join size using (lang)),
+apart as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from own a join own b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by a.lang, a.source, b.source),
+told as (
+    select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value
+    from (select distinct lang, source from doc) g
+    join (select distinct lang, source from doc) h on g.lang = h.lang and g.source <> h.source
+    left join apart a on a.lang = g.lang and a.source = g.source and a.item = h.source
+    union all
+    select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint
+    from own join common using (lang, term) where n > 0 and p > q)
+select * from (
+    select lang, source, part, item, value,
+           row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+    from told)
+where part = 'pair' or rank <= 200
+""",
 }
-SQL: dict[str, str] = {}
