@@ -2,8 +2,8 @@
 
 Each task folds whole documents into stripes: for a term of a language, the
 number of documents it is in and its count per source. Stripes are held in a
-hash table, handed on when it has grown to a bound, and sorted to the task that
-merges those of one term, one after the other. What a merged stripe holds is
+hash table, handed on when it has grown to a bound, and shuffled to the task
+that merges those of one term, where terms in too few documents go. What a merged stripe holds is
 all there is to know about its term, so the tasks that read them emit
 divergences at once: of a term in a source against the language, and, summed up
 over their terms, of each source against each other one. Only sums per pair of
@@ -33,7 +33,7 @@ SCALE = 1_000_000_000
 #: Terms told per source.
 TOP = 200
 #: Terms a task holds before it hands its stripes on.
-HELD = 200_000
+HELD = 400_000
 #: Cells of all matrices of pair sums that a task holds, 8 bytes each.
 CELLS = 4_000_000
 #: Terms times sources looked at together.
@@ -56,62 +56,80 @@ def terms(text: str) -> list[bytes]:
 # -- stripes --------------------------------------------------------------------
 
 
-def _rows(held: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
-    keys = list(held)
-    for at in range(0, len(keys), 10_000):
-        part = keys[at : at + 10_000]
-        stripes = [held[k] for k in part]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "lang": pa.array([k[0] for k in part], pa.string()),
-                "term": pa.array([k[1] for k in part], pa.binary()),
-                "docs": pa.array([s[0] for s in stripes], pa.int64()),
-                "sources": pa.array([list(s[1]) for s in stripes], pa.list_(pa.string())),
-                "counts": pa.array([list(s[1].values()) for s in stripes], pa.list_(pa.int64())),
-            }
-        )
+def _rows(held: dict[str, dict[bytes, tuple]]) -> Iterator[pa.RecordBatch]:
+    for lang, own in held.items():
+        names = list(own)
+        for at in range(0, len(names), 10_000):
+            part = names[at : at + 10_000]
+            docs, sources, counts, sizes = [], [], [], [0]
+            for stripe in map(own.__getitem__, part):
+                if type(stripe) is tuple:
+                    docs.append(1)
+                    sources.append(stripe[0])
+                    counts.append(stripe[1])
+                else:
+                    docs.append(stripe[0])
+                    sources.extend(stripe[1])
+                    counts.extend(stripe[1].values())
+                sizes.append(len(sources))
+            bounds = pa.array(sizes, pa.int32())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([lang] * len(part), pa.string()),
+                    "term": pa.array(part, pa.binary()),
+                    "docs": pa.array(docs, pa.int64()),
+                    "sources": pa.ListArray.from_arrays(bounds, pa.array(sources, pa.string())),
+                    "counts": pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int64())),
+                }
+            )
 
 
 def fold(batches: Iterator[pa.RecordBatch], held_terms: int) -> Iterator[pa.RecordBatch]:
-    """Stripes of the documents (lang, source, text) of a task."""
-    held: dict[tuple, list] = {}
+    """Stripes of the documents (lang, source, text) of a task.
+
+    A term of a single document is held as (source, count), any other one as
+    its number of documents and a table of counts.
+    """
+    held: dict[str, dict[bytes, tuple]] = {}
+    size = 0
     for batch in batches:
         langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
         for lang, source, text in zip(langs, sources, batch.column("text")):
+            own = held.setdefault(lang, {})
+            before = len(own)
+            once = (source, 1)
             for term, n in Counter(terms(text.as_py())).items():
-                stripe = held.get((lang, term))
+                stripe = own.get(term)
                 if stripe is None:
-                    held[lang, term] = [1, {source: n}]
-                else:
-                    stripe[0] += 1
-                    counts = stripe[1]
-                    counts[source] = counts.get(source, 0) + n
-            if len(held) >= held_terms:
+                    own[term] = once if n == 1 else (source, n)
+                    continue
+                if type(stripe) is tuple:
+                    own[term] = stripe = [1, {stripe[0]: stripe[1]}]
+                stripe[0] += 1
+                counts = stripe[1]
+                counts[source] = counts.get(source, 0) + n
+            size += len(own) - before
+            if size >= held_terms:
                 yield from _rows(held)
-                held = {}
+                held, size = {}, 0
     yield from _rows(held)
 
 
-def merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """One stripe per (lang, term) of rows sorted by them, if it is in ``least`` documents."""
-    done: dict[tuple, list] = {}
-    key, docs, counts = None, 0, {}
-    for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("lang", "term", "docs", "sources", "counts")]
-        for lang, term, n, sources, listed in zip(*columns):
-            if (lang, term) != key:
-                if docs >= least:
-                    done[key] = [docs, counts]
-                key, docs, counts = (lang, term), 0, {}
-            docs += n
-            for s, c in zip(sources, listed):
-                counts[s] = counts.get(s, 0) + c
-        if len(done) >= 10_000:
-            yield from _rows(done)
-            done = {}
-    if docs >= least:
-        done[key] = [docs, counts]
-    yield from _rows(done)
+def merge(stripes: DataFrame, least: int) -> DataFrame:
+    """(lang, term, sources, counts) of the terms in ``least`` documents.
+
+    Each task's entries of a source stay apart, at most one per task.
+    """
+    return (
+        stripes.groupBy("lang", "term")
+        .agg(
+            F.sum("docs").alias("docs"),
+            F.flatten(F.collect_list("sources")).alias("sources"),
+            F.flatten(F.collect_list("counts")).alias("counts"),
+        )
+        .filter(F.col("docs") >= least)
+        .select("lang", "term", "sources", "counts")
+    )
 
 
 # -- divergences ----------------------------------------------------------------
@@ -143,16 +161,16 @@ class _Audit:
         self.place = {k: {s: i for i, s in enumerate(v.sources)} for k, v in langs.items()}
         self.sums: dict[str, np.ndarray] = {}
 
-    def take(self, lang: str, names: list[bytes], stripes: list[dict[str, int]]) -> Iterator[pa.RecordBatch]:
+    def take(self, lang: str, names: list[bytes], stripes: list[tuple[list, list]]) -> Iterator[pa.RecordBatch]:
         known = self.langs[lang]
         place = self.place[lang]
         step = max(1, BLOCK // len(known.sources))
         for at in range(0, len(names), step):
             part = stripes[at : at + step]
-            row = np.repeat(np.arange(len(part)), [len(s) for s in part])
-            column = np.array([place[s] for stripe in part for s in stripe], np.int64)
+            row = np.repeat(np.arange(len(part)), [len(s) for s, _ in part])
+            column = np.array([place[s] for stripe, _ in part for s in stripe], np.int64)
             count = np.zeros((len(part), len(known.sources)), np.int64)
-            count[row, column] = np.array([c for stripe in part for c in stripe.values()], np.int64)
+            np.add.at(count, (row, column), np.array([c for _, listed in part for c in listed], np.int64))
             totals = np.array(known.totals, np.int64)
             p = portion(count + 1, totals + known.terms)
             q = portion(count.sum(axis=1) + 1, totals.sum() + known.terms)
@@ -229,7 +247,7 @@ def emit(batches: Iterator[pa.RecordBatch], langs: dict[str, Lang], top: int) ->
         for lang, term, sources, counts in zip(*columns):
             names, stripes = of.setdefault(lang, ([], []))
             names.append(term)
-            stripes.append(dict(zip(sources, counts)))
+            stripes.append((sources, counts))
         for lang, (names, stripes) in of.items():
             yield from audit.take(lang, names, stripes)
     yield from audit.close()
@@ -266,13 +284,7 @@ def audit_sources(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     held = HELD
-    stripes = (
-        read.mapInArrow(lambda b: fold(b, held), STRIPE)
-        .repartition("lang", "term")
-        .sortWithinPartitions("lang", "term")
-        .mapInArrow(lambda b: merge(b, least_docs), STRIPE)
-    )
-    stripes = keep(stripes, "stripes")
+    stripes = keep(merge(read.mapInArrow(lambda b: fold(b, held), STRIPE), least_docs), "stripes")
     groups = keep(read.select("lang", "source").distinct(), "sources")
     totals = (
         stripes.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c"))

@@ -150,7 +150,8 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    lain = alignment.align(table(spark, sf_dir, "documents"), *paths, columns=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    lain = alignment.align(docs, *paths, public_tokenizers.PATTERN, columns=["doc_id"])
     return lain.select("row.doc_id", "aligned.*")
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spendlens.llm import divergence, registry
@@ -83,9 +84,12 @@ def test_stripes_handed_on_early_and_wide_tables_give_the_same(spark, monkeypatc
         monkeypatch.setattr(divergence, "CELLS", cells)
         monkeypatch.setattr(divergence, "BLOCK", 20)
         langs = _langs(docs)
-        stripes = divergence.merge(divergence.fold(iter(batches), 10**6), 3)
+        rows = spark.createDataFrame(
+            [r for b in divergence.fold(iter(batches), 10) for r in b.to_pylist()], divergence.STRIPE
+        )
+        stripes = [pa.RecordBatch.from_pylist([r.asDict() for r in divergence.merge(rows, 3).collect()])]
         sums = Counter()
-        for b in divergence.emit(iter(list(stripes)), langs, 200):
+        for b in divergence.emit(iter(stripes), langs, 200):
             for r in b.to_pylist():
                 if r["part"] == "pair":
                     sums[r["source"], r["item"]] += r["value"]
@@ -93,8 +97,6 @@ def test_stripes_handed_on_early_and_wide_tables_give_the_same(spark, monkeypatc
 
 
 def _batches(docs):
-    import pyarrow as pa
-
     rows = docs.select("lang", "source", "text").na.fill("").orderBy("lang").collect()
     yield pa.RecordBatch.from_pylist([r.asDict() for r in rows])
 
