@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, chat, decontam, divergence, mixing, neighbours, pii, quality, sharding
-from . import simhash, suffixes, tokens
+from . import scoring, simhash, suffixes, tokens
 from .store import folder, keep
 from .text import whole, words
 
@@ -144,6 +144,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_texts(table(spark, sf_dir, "documents"), scoring.held_out(), columns=["doc_id"])
+    return scored.select("row.doc_id", "scored.*")
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
@@ -166,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_suffixes": op10_suffixes,
+    "op11_scoring": op11_scoring,
     "op12_divergence": op12_divergence,
     "op13_alignment": op13_alignment,
 }
