@@ -10,8 +10,14 @@ else re-parameterised.
 Three readings of a text are matched, and a pair found in one of them counts:
 the template; the template of the text with white space collapsed, in which a
 capitalised word is a name also at the start of a sentence if it is one
-elsewhere in the text; and its words alone in lower case. Words alone have no
-slots: 80 % of their windows are a verbatim copy in whatever case and spacing.
+elsewhere in the text; and its words alone in lower case, whose slots are the
+numbers that follow them. Words alone are a copy even if these numbers do not
+agree with each other; the pair is then told as ``edited``.
+
+Readings are dear, so only documents that can hold a question are read. Who has
+80 % of a question's windows has most of its literal words, so at least one of
+any few of them: a question is looked for where one of its rarest words stands.
+This loses nothing.
 
 Document windows are met with the windows of the benchmark where they arise:
 only hits are shuffled. The benchmark is broadcast if it is small, and shuffled
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import keep, small
 from .text import whole
@@ -38,6 +45,9 @@ NUMBER, NAME, UNIT = "#", "@", "~"
 TEMPLATE, RENAMED, WORDS = range(3)
 NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+"
 NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
+#: A name that ends inside a word leaves a rest that is no word of the text.
+BROKEN = r"[\p{L}\p{N},;][\s\p{Z}]+\p{Lu}[\p{Ll}\p{M}]+[\p{L}&&[^\p{Ll}]]"
+RUNS = r"[\p{L}\p{M}]++"
 UNITS = (
     "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|kg|g|mg|pounds?|lbs?|tons?|litres?|liters?|l|ml|"
     "hours?|minutes?|seconds?|days?|weeks?|months?|years?|mph|kmh|dollars?|euros?|cents?|percent|"
@@ -55,7 +65,7 @@ def reading(text: Column, nth: int, valued: bool = False) -> Column:
     if nth == TEMPLATE:
         return template(text, valued)
     if nth == WORDS:
-        return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]++"), F.lit(0))
+        return F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
     tokens = _tokens(F.regexp_replace(text, r"[\s\p{Z}]++", " "), True, True)
 
     def named(t: Column) -> Column:
@@ -132,11 +142,21 @@ def _readings(text: Column, valued: bool) -> Column:
     )
 
 
-def benchmark_windows(items: DataFrame, id_: str, text: str) -> DataFrame:
+def benchmark_windows(told: DataFrame) -> DataFrame:
     """(item, digest, at, window, n): windows with enough words, ``n`` of them distinct per question.
 
     ``digest`` is of the text and its reading: each reading is a question of its own. A question without such a window keeps all it has.
     """
+    n = told.groupBy(F.col("item").alias("of2"), F.col("digest").alias("of2_digest")).agg(
+        F.countDistinct("window").alias("n")
+    )
+    return told.join(
+        n, F.col("item").eqNullSafe(F.col("of2")) & (F.col("digest") == F.col("of2_digest"))
+    ).select("item", "digest", "at", "window", "n")
+
+
+def _told(items: DataFrame, id_: str, text: str) -> DataFrame:
+    """(item, digest, at, window, literals) of the windows that count."""
     tokens = items.select(
         F.col(id_).alias("item"), F.explode(_readings(whole(text), False)).alias("r")
     ).select("item", F.xxhash64("r.text", "r.nth").alias("digest"), "r.nth", "r.tokens")
@@ -144,27 +164,69 @@ def benchmark_windows(items: DataFrame, id_: str, text: str) -> DataFrame:
     seeded = F.lit(None).cast("array<bigint>")
     for k in (TEMPLATE, RENAMED, WORDS):
         seeded = F.when(F.col("nth") == k, windows(F.col("tokens"), k)).otherwise(seeded)
+    literal = F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~t.isin(NUMBER, NAME, UNIT))
     each = tokens.select(
         "item", "digest", "tokens", F.posexplode(seeded).alias("at", "window")
-    ).withColumn(
-        "words",
-        F.size(
-            F.filter(
-                F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~t.isin(NUMBER, NAME, UNIT)
-            )
-        ),
+    ).select("item", "digest", "at", "window", literal.alias("literals"))
+    best = each.groupBy("item", "digest").agg(F.max(F.size("literals")).alias("most"))
+    best = best.withColumnRenamed("item", "of").withColumnRenamed("digest", "of_digest")
+    return each.join(
+        best, F.col("item").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    ).filter(F.size("literals") >= F.least("most", F.lit(LITERAL))).drop("of", "of_digest", "most")
+
+
+def telling_words(told: DataFrame) -> DataFrame:
+    """(word): of every question some words of which a document that holds it has at least one.
+
+    A document with ``k`` windows of a question has, in each of them, all of at
+    least ``least`` literal words, so its words of the question are together in
+    ``k * least`` windows or more. If this takes ``m`` of the question's words
+    even where the most frequent ones are had, at most all but ``m`` are missing.
+    The null word stands for a question whose windows hold no literal word.
+    """
+    each = told.select(
+        "digest", "window", F.array_distinct("literals").alias("words")
+    ).dropDuplicates(["digest", "window"])
+    need = each.groupBy("digest").agg(
+        (F.ceil(F.count(F.lit(1)) * CONTAINED) * F.min(F.size("words"))).alias("need")
     )
-    best = each.groupBy("item", "digest").agg(F.max("words").alias("most"))
-    told = each.join(
-        best.withColumnRenamed("item", "of").withColumnRenamed("digest", "of_digest"),
-        F.col("item").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")),
-    ).filter(F.col("words") >= F.least("most", F.lit(LITERAL)))
-    n = told.groupBy(F.col("item").alias("of2"), F.col("digest").alias("of2_digest")).agg(
-        F.countDistinct("window").alias("n")
+    spread = each.select("digest", F.explode("words").alias("word")).groupBy("digest", "word").count()
+    asking = spread.groupBy("word").agg(F.count(F.lit(1)).alias("questions"))
+    common = Window.partitionBy("digest").orderBy(F.col("count").desc(), "word")
+    rare = Window.partitionBy("digest").orderBy("questions", F.length("word").desc(), "word")
+    have = F.coalesce(F.sum("count").over(common.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = (
+        spread.join(asking, "word")
+        .join(need, "digest")
+        .withColumn("more", have < F.col("need"))
+        .withColumn("nth", F.row_number().over(rare))
+        .withColumn("spare", F.sum((~F.col("more")).cast("int")).over(Window.partitionBy("digest")))
+    )
+    picked = ranked.filter(F.col("nth") <= F.col("spare") + 1).select("word").distinct()
+    return picked.union(need.filter("need = 0").select(F.lit(None).cast("string")).limit(1))
+
+
+def candidates(docs: DataFrame, body: Column, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold a word of some question that tells."""
+    words = keep(telling_words(told), "telling-words")
+    if words.filter("word is null").limit(1).count():
+        return docs
+    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(
+        F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(RUNS), F.lit(0)))
+    )
+    words = keep(words.union(words.select(F.lit("")).limit(1)), "telling-words")
+    hit = (
+        docs.select(F.xxhash64(body).alias("digest"), F.explode(marked).alias("word"))
+        .join(small(words, BROADCAST_WINDOWS), "word", "left_semi")
+        .select("digest")
+        .distinct()
+    )
+    hit = keep(hit, "candidates")
+    return (
+        docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.xxhash64(body).alias("digest"))
+        .join(small(hit, BROADCAST_WINDOWS), "digest", "left_semi")
+        .select("row.*")
     )
-    return told.join(
-        n, F.col("item").eqNullSafe(F.col("of2")) & (F.col("digest") == F.col("of2_digest"))
-    ).select("item", "digest", "at", "window", "n")
 
 
 def contaminated(
@@ -177,9 +239,10 @@ def contaminated(
     """Pairs of a document and a question it holds.
 
     Columns: doc_id, doc_digest, item_id, windows (of the question), found,
-    containment, kind (``verbatim`` or ``reparameterised``), start (token of
-    the reading of the document at which the question's alignment starts).
-    Pairs found by their words alone are ``verbatim``.
+    containment, kind (``verbatim``, ``reparameterised``, or ``edited``: the
+    question's words with numbers that differ from it in no consistent way),
+    start (token of the reading of the document at which the question's
+    alignment starts).
 
     * Null and empty texts have no windows and match nothing.
     * Texts of fewer than five tokens are one window, found only in texts
@@ -190,9 +253,14 @@ def contaminated(
     * Empty tables give no pairs.
     """
     body = whole(text)
-    bench = keep(benchmark_windows(items, item_id, text), "benchmark-windows")
+    told = keep(_told(items, item_id, text), "told-windows")
+    bench = keep(benchmark_windows(told), "benchmark-windows")
+    # Names of other columns stay out of the joins.
+    docs = docs.select(F.col(doc_id).alias("doc"), body.alias("body"))
+    body = F.col("body")
+    docs = candidates(docs, body, told)
     distinct = bench.select("window").distinct()
-    told = keep(distinct, "benchmark-hashes")
+    hashes = keep(distinct, "benchmark-hashes")
     hashed = F.flatten(
         F.array(
             *(
@@ -203,10 +271,10 @@ def contaminated(
     )
     met = (
         docs.select(
-            F.col(doc_id).alias("doc"), F.xxhash64(body).alias("doc_digest"), F.explode(hashed).alias("w")
+            "doc", F.xxhash64(body).alias("doc_digest"), F.explode(hashed).alias("w")
         )
         .select("doc", "doc_digest", "w.pos", "w.window")
-        .join(small(told, BROADCAST_WINDOWS), "window")
+        .join(small(hashes, BROADCAST_WINDOWS), "window")
         .distinct()
     )
     met = keep(met, "met-windows")
@@ -243,7 +311,7 @@ def contaminated(
             F.xxhash64("r.text", "r.nth").alias("digest"),
             F.xxhash64("r.text").alias("text_digest"),
             "r.nth",
-            F.col("r.tokens").alias("asked"),
+            F.when(F.col("r.nth") == WORDS, numbered(F.col("r.text"))).otherwise(F.col("r.tokens")).alias("asked"),
         )
         .dropDuplicates(["digest"]),
         "questions",
@@ -257,12 +325,14 @@ def contaminated(
         .select(
             "doc_digest",
             *(reading(F.col("body"), k, True).alias(f"said{k}") for k in (TEMPLATE, RENAMED)),
+            numbered(F.col("body")).alias(f"said{WORDS}"),
         )
     )
     # A kept table: a text with very many copies can then be split in the join.
     answers = keep(answers, "answers")
-    none = F.array().cast("array<struct<asked:string,said:string>>")
-    slots = F.when(F.col("nth") == WORDS, none)
+    slots = F.when(
+        F.col("nth") == WORDS, _number_slots(F.col("asked"), F.col(f"said{WORDS}"), F.col("start"), F.col("ats"))
+    )
     for k in (TEMPLATE, RENAMED):
         slots = slots.when(
             F.col("nth") == k, _slots(F.col("asked"), F.col(f"said{k}"), F.col("start"), F.col("ats"))
@@ -275,7 +345,8 @@ def contaminated(
         pairs.join(small(questions), "digest")
         .join(answers, "doc_digest")
         .withColumn("slots", slots)
-        .filter(consistent)
+        .withColumn("agree", consistent)
+        .filter(F.col("agree") | (F.col("nth") == WORDS))
         .select(
             F.col("doc").alias("doc_id"),
             "doc_digest",
@@ -285,7 +356,8 @@ def contaminated(
             F.col("n").alias("windows"),
             "found",
             (F.col("found") / F.col("n")).alias("containment"),
-            F.when(F.exists("slots", lambda s: asked(s) != said(s)), "reparameterised")
+            F.when(~F.col("agree"), "edited")
+            .when(F.exists("slots", lambda s: asked(s) != said(s)), "reparameterised")
             .otherwise("verbatim")
             .alias("kind"),
             "start",
@@ -316,15 +388,50 @@ def _slots(asked: Column, said: Column, start: Column, ats: Column) -> Column:
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that hold no question of the benchmark."""
-    held = keep(
-        contaminated(docs, items, text=text).select("doc_id", "doc_digest").distinct(), "contaminated"
+def numbered(text: Column) -> Column:
+    """The words of the reading of words alone, each with the numbers that follow it."""
+    each = F.regexp_extract_all(F.lower(text), F.lit(RUNS + r"[^\p{L}\p{M}]*+"), F.lit(0))
+    numbers = lambda t: F.array_join(F.regexp_extract_all(t, F.lit(NUMBERS), F.lit(0)), " ")
+    return F.transform(each, lambda t: F.concat(F.regexp_extract(t, RUNS, 0), F.lit(NUMBER), numbers(t)))
+
+
+def _number_slots(asked: Column, said: Column, start: Column, ats: Column) -> Column:
+    """(asked, said) numbers behind equal words that matched windows cover."""
+    across = F.zip_with(
+        F.transform(asked, lambda t, i: F.struct(t.alias("token"), i.alias("at"))),
+        F.slice(said, start + 1, F.size(asked)),
+        lambda q, d: F.struct(
+            F.substring_index(q["token"], NUMBER, 1).alias("word"),
+            F.substring_index(d, NUMBER, 1).alias("other"),
+            F.substring_index(q["token"], NUMBER, -1).alias("asked"),
+            F.substring_index(d, NUMBER, -1).alias("said"),
+            q["at"].alias("at"),
+        ),
+    )
+    # What stands behind a window's last word may be beyond the copy.
+    matched = F.filter(
+        across,
+        lambda p: (p["word"] == p["other"])
+        & ((p["asked"] != "") | (p["said"] != ""))
+        & F.exists(ats, lambda a: p["at"].between(a, a + WINDOW - 2)),
     )
-    found = held.select(F.col("doc_id").alias("of"), F.col("doc_digest").alias("of_digest"))
-    return docs.join(
-        small(found),
-        docs["doc_id"].eqNullSafe(F.col("of"))
-        & (F.xxhash64(whole(docs[text])) == F.col("of_digest")),
-        "left_anti",
+    return F.transform(matched, lambda p: F.struct(p["asked"].alias("asked"), p["said"].alias("said")))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """Documents that hold no question of the benchmark.
+
+    * All columns stay, whatever their names, and rows as often as they are.
+    * A null id is an id like any other; null and empty texts hold nothing and stay.
+    * Empty documents give none; an empty benchmark keeps all.
+    """
+    found = contaminated(docs.select("doc_id", text), items, text=text)
+    held = keep(found.select(F.col("doc_id").alias("of"), F.col("doc_digest").alias("of_digest")).distinct(), "contaminated")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64(whole(text)).alias("digest"),
     )
+    return rows.join(
+        small(held), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left_anti"
+    ).select("row.*")

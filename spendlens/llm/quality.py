@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.max("quality").alias("quality"))
     )
     share = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    docs = docs.select("doc_id", "text")
     sample: dict[int, list[str]] = {}
     for q in (0, 1):
         drawn = known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -181,8 +182,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that a model fitted on ``labels`` does not reject."""
+    """Documents that a model fitted on ``labels`` does not reject.
+
+    * All columns stay, whatever their names, and rows as often as they are.
+    * Null and empty texts get the score of a text that both dictionaries
+      shorten alike; null ids are scored as others are, and never learned from.
+    * Without labels every score is one half, and all stay. Empty tables give none.
+    """
     scored = docs.select(
-        F.struct(*docs.columns).alias("row"), fit(docs, labels).column(F.col("text")).alias("score")
+        F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), fit(docs, labels).column(F.col("text")).alias("score")
     )
     return scored.filter(F.col("score") >= GOOD).select("row.*")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -128,4 +129,43 @@ def test_an_edited_mention_and_values_that_become_equal_are_no_veto(spark):
         .replace("240 km", "13 miles")
     )
     got = found(make_docs(spark, [FILLER + edited, FILLER + equal]), items(spark, QUESTION))
-    assert got == {(0, 0): "verbatim", (1, 0): "reparameterised"}
+    assert got == {(0, 0): "edited", (1, 0): "reparameterised"}
+
+
+def test_numbers_alone_tell_the_kind_of_a_copy(spark):
+    same = QUESTION.replace("120", "7").replace("45", "8")
+    mixed = QUESTION.replace("with 120 passengers.", "with 7 passengers.").replace("120 passengers go", "999 passengers go")
+    mixed = mixed.replace("After 3 hours", "After 9 hours").replace("same 3 hours", "same 4 hours")
+    docs = make_docs(spark, [FILLER + t + FILLER for t in (same, mixed, QUESTION.upper(), mixed.upper())])
+    got = found(docs, items(spark, QUESTION))
+    assert got == {(0, 0): "reparameterised", (1, 0): "edited", (2, 0): "verbatim", (3, 0): "edited"}
+
+
+def test_no_document_is_lost_by_the_words_that_tell(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    asked = [r.text for r in bench.limit(15).collect()]
+    rng = random.Random(2)
+    texts = []
+    for t in asked * 12:
+        words = t.split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice(["Xenia", "42", words[k].upper(), "McDonald", words[k] + "  ", "other"])
+        texts.append(FILLER + " ".join(words) + FILLER)
+    docs = make_docs(spark, texts).unionByName(spark.read.parquet(f"{sf}/documents.parquet").limit(150))
+
+    def pairs():
+        return sorted(tuple(r) for r in decontam.contaminated(docs, bench).collect())
+
+    got = pairs()
+    assert len(got) > 50
+    monkeypatch.setattr(decontam, "candidates", lambda docs, body, told: docs)
+    assert pairs() == got
+
+
+def test_documents_without_a_telling_word_are_not_read(spark):
+    docs = make_docs(spark, ["Other words stood here.", QUESTION, "nothing of all this"]).select("doc_id", F.col("text").alias("body"))
+    told = decontam._told(items(spark, QUESTION), "item_id", "text")
+    kept = decontam.candidates(docs, F.col("body"), told)
+    assert [r.doc_id for r in kept.collect()] == [1]
