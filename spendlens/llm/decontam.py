@@ -15,9 +15,9 @@ numbers that follow them. Words alone are a copy even if these numbers do not
 agree with each other; the pair is then told as ``edited``.
 
 Readings are dear, so only documents that can hold a question are read. Who has
-80 % of a question's windows has most of its literal words, so at least one of
-any few of them: a question is looked for where one of its rarest words stands.
-This loses nothing.
+80 % of a question's windows has most of its literal words, so also a good part
+of its rarer ones: a question is looked for where these stand. This loses
+nothing. Which words are rare is told by some of the documents.
 
 Document windows are met with the windows of the benchmark where they arise:
 only hits are shuffled. The benchmark is broadcast if it is small, and shuffled
@@ -46,7 +46,9 @@ TEMPLATE, RENAMED, WORDS = range(3)
 NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+"
 NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
 #: A name that ends inside a word leaves a rest that is no word of the text.
-BROKEN = r"[\p{L}\p{N},;][\s\p{Z}]+\p{Lu}[\p{Ll}\p{M}]+[\p{L}&&[^\p{Ll}]]"
+BROKEN = r"\p{Lu}[\p{Ll}\p{M}]+[\p{L}&&[^\p{Ll}]]"
+#: One of so many documents tells how rare words are; this changes no result.
+RARITY = 64
 RUNS = r"[\p{L}\p{M}]++"
 UNITS = (
     "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|kg|g|mg|pounds?|lbs?|tons?|litres?|liters?|l|ml|"
@@ -175,55 +177,73 @@ def _told(items: DataFrame, id_: str, text: str) -> DataFrame:
     ).filter(F.size("literals") >= F.least("most", F.lit(LITERAL))).drop("of", "of_digest", "most")
 
 
-def telling_words(told: DataFrame) -> DataFrame:
-    """(word): of every question some words of which a document that holds it has at least one.
+def telling_words(told: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(word, question, least): rarer words of every question, of which a document that
+    holds it has at least ``least``. ``rarity``: (word, docs).
 
-    A document with ``k`` windows of a question has, in each of them, all of at
-    least ``least`` literal words, so its words of the question are together in
-    ``k * least`` windows or more. If this takes ``m`` of the question's words
-    even where the most frequent ones are had, at most all but ``m`` are missing.
-    The null word stands for a question whose windows hold no literal word.
+    A document with ``k`` windows of a question has all literal words of each of
+    them, so its words of the question stand in as many windows as the ``k``
+    windows with the fewest words have words. If that takes ``m`` words even
+    where the most frequent ones are had, at most all but ``m`` are missing, and
+    of the rarest all but m plus j it has j. A question whose windows may hold no
+    literal word has a null word.
     """
     each = told.select(
         "digest", "window", F.array_distinct("literals").alias("words")
     ).dropDuplicates(["digest", "window"])
-    need = each.groupBy("digest").agg(
-        (F.ceil(F.count(F.lit(1)) * CONTAINED) * F.min(F.size("words"))).alias("need")
-    )
+    fewest = F.sort_array(F.collect_list(F.size("words")))
+    taken = F.slice(fewest, 1, F.ceil(F.count(F.lit(1)) * CONTAINED).cast("int"))
+    need = each.groupBy("digest").agg(F.aggregate(taken, F.lit(0), lambda s, x: s + x).alias("need"))
     spread = each.select("digest", F.explode("words").alias("word")).groupBy("digest", "word").count()
-    asking = spread.groupBy("word").agg(F.count(F.lit(1)).alias("questions"))
     common = Window.partitionBy("digest").orderBy(F.col("count").desc(), "word")
-    rare = Window.partitionBy("digest").orderBy("questions", F.length("word").desc(), "word")
+    rare = Window.partitionBy("digest").orderBy(F.coalesce("docs", F.lit(0)), F.length("word").desc(), "word")
     have = F.coalesce(F.sum("count").over(common.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole_question = Window.partitionBy("digest")
     ranked = (
-        spread.join(asking, "word")
+        spread.join(rarity, "word", "left")
         .join(need, "digest")
         .withColumn("more", have < F.col("need"))
         .withColumn("nth", F.row_number().over(rare))
-        .withColumn("spare", F.sum((~F.col("more")).cast("int")).over(Window.partitionBy("digest")))
+        .withColumn("m", F.sum(F.col("more").cast("int")).over(whole_question))
+        .withColumn("all", F.count(F.lit(1)).over(whole_question))
+        .withColumn("least", F.ceil(F.col("m") / 2).cast("int"))
     )
-    picked = ranked.filter(F.col("nth") <= F.col("spare") + 1).select("word").distinct()
-    return picked.union(need.filter("need = 0").select(F.lit(None).cast("string")).limit(1))
+    picked = ranked.filter((F.col("m") > 0) & (F.col("nth") <= F.col("all") - F.col("m") + F.col("least")))
+    none = need.filter("need = 0").select(F.lit(None).cast("string"), "digest", F.lit(0)).limit(1)
+    return picked.select("word", F.col("digest").alias("question"), "least").union(none)
 
 
 def candidates(docs: DataFrame, body: Column, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold a word of some question that tells."""
-    words = keep(telling_words(told), "telling-words")
+    """The rows of ``docs`` that hold enough rarer words of some question."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(RUNS), F.lit(0)))
+    digest = F.xxhash64(body)
+    asked = keep(told.select(F.explode("literals").alias("word")).distinct(), "asked-words")
+    rarity = (
+        docs.filter(F.pmod(digest, F.lit(RARITY)) == 0)
+        .select(F.explode(runs).alias("word"))
+        .join(small(asked, BROADCAST_WINDOWS), "word", "left_semi")
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("docs"))
+    )
+    words = keep(telling_words(told, rarity), "telling-words")
     if words.filter("word is null").limit(1).count():
         return docs
-    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(
-        F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(RUNS), F.lit(0)))
-    )
-    words = keep(words.union(words.select(F.lit("")).limit(1)), "telling-words")
+    # A text in which a name ends inside a word is read in any case.
+    words = keep(words.union(words.select(F.lit(""), F.lit(0).cast("long"), F.lit(1)).limit(1)), "telling-words")
+    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(runs)
     hit = (
-        docs.select(F.xxhash64(body).alias("digest"), F.explode(marked).alias("word"))
-        .join(small(words, BROADCAST_WINDOWS), "word", "left_semi")
+        docs.select(digest.alias("digest"), F.explode(marked).alias("word"))
+        .join(small(words, BROADCAST_WINDOWS), "word")
+        .groupBy("digest", "question", "least")
+        # Equal texts count alike, so a word may be there more often; never less often.
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= F.col("least"))
         .select("digest")
         .distinct()
     )
     hit = keep(hit, "candidates")
     return (
-        docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.xxhash64(body).alias("digest"))
+        docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), digest.alias("digest"))
         .join(small(hit, BROADCAST_WINDOWS), "digest", "left_semi")
         .select("row.*")
     )
