@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.supplier import UNREGISTERED
 from ..spec import LedgerSpec
@@ -36,23 +37,23 @@ def drill_seller_buyers(df: DataFrame, spec: LedgerSpec, value: str, year: objec
     return ranked(by_group(lines, spec, spec.buyer))
 
 
-def has_expense_codes(df: DataFrame, spec: LedgerSpec, value: str, year: object = "all") -> bool:
-    lines = scope(df, spec, year).filter(spec.seller == F.lit(value))
-    return not lines.filter(F.col("expense_code").isNotNull()).select("expense_code").isEmpty()
-
-
 def drill_seller_adaptive(df: DataFrame, spec: LedgerSpec, value: str, year: object = "all") -> DataFrame:
-    """One city supplier by expense code if it has any, else by unit."""
+    """One city supplier by expense code if it has any, else by unit.
+
+    Both groupings come from one aggregation of its lines. Which one is shown
+    is decided among the groups of this one supplier, of which there are as
+    many as it has codes and units.
+    """
+    code, text, unit = "expense_code", "expense_label", spec.buyer
     lines = scope(df, spec, year).filter(spec.seller == F.lit(value))
-    if has_expense_codes(df, spec, value, year):
-        keys = ("expense_code", "expense_label")
-        label = F.coalesce("expense_label", "expense_code", F.lit(UNREGISTERED))
-    else:
-        keys = (spec.buyer,)
-        label = F.coalesce(spec.buyer, F.lit(UNREGISTERED))
-    return (
-        lines.groupBy(*keys)
-        .agg(F.sum(spec.amount).alias("total"), F.count("*").alias("n"))
-        .orderBy(F.col("total").desc_nulls_last(), *(F.col(k).asc_nulls_first() for k in keys))
-        .select(label.alias("grp"), "total", "n")
+    both = lines.groupingSets([[code, text], [unit]], code, text, unit).agg(
+        F.sum(spec.amount).alias("total"),
+        F.count("*").alias("n"),
+        F.grouping(unit).alias("coded"),
     )
+    has_codes = F.max((F.col("coded") == 1) & F.col(code).isNotNull()).over(Window.partitionBy())
+    shown = both.withColumn("has_codes", has_codes).filter((F.col("coded") == 1) == F.col("has_codes"))
+    label = F.when(F.col("coded") == 1, F.coalesce(text, code)).otherwise(F.col(unit))
+    return shown.orderBy(
+        F.col("total").desc_nulls_last(), *(F.col(k).asc_nulls_first() for k in (code, text, unit))
+    ).select(F.coalesce(label, F.lit(UNREGISTERED)).alias("grp"), "total", "n")

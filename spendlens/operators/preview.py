@@ -1,11 +1,15 @@
 """Pages of ledger lines.
 
-One way serves every page. Lines are split at a few boundary lines drawn from
-them at random (any will do: they are drawn once and the result does not depend
-on them); the exact number of lines between two boundaries tells between
-which of them the page lies, and only those lines are split again, until so few
-are left that a top-k orders them. A page deep in one day or year costs some
-more passes, but no task holds all the lines before it.
+The first pages are a plain top-k in one pass. For any other page the number of
+lines per day (or year) tells which days it lies in: they are few numbers,
+counted once per filter or stored with the ledger (``key_counts``). Only the
+lines of these days are read, as a range that reaches the Parquet reader, and
+ordered. Where the page lies deep in a single large day or year, its lines are
+split at a few boundary lines drawn from them at random (any will do: they are
+drawn once and the result does not depend on them); the exact number of lines
+between two boundaries tells between which of them the page lies, and only
+those lines are split again, until so few are left that a top-k orders them. No
+task holds all the lines before a page.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from ..spec import LedgerSpec
 
 MAX_PAGE = 500
+#: Lines up to the end of a page that a task keeps of its own to find it in one pass.
+SHALLOW = 1_000
 #: Lines among which a page is ordered in one task.
 AT_ONCE = 20_000
 #: Boundaries drawn at a time.
@@ -47,6 +53,41 @@ def preview_lines(df: DataFrame, spec: LedgerSpec, columns: tuple[str, ...]) ->
     return df.select(*columns)
 
 
+def key_counts(df: DataFrame, spec: LedgerSpec, where: Column | None = None) -> DataFrame:
+    """(key, n): lines per day, or per year of a ledger without dates.
+
+    A row per day, whatever the ledger's size. Stored with a ledger it serves
+    all its unfiltered pages.
+    """
+    lines = df if where is None else df.filter(where)
+    return lines.groupBy(F.col(spec.date or spec.year).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_span(counts: DataFrame, offset: int, limit: int) -> tuple[list, int, int] | None:
+    """Keys that hold a page, how many lines they have, and how many of these come before it."""
+    rows = sorted(((r.key, r.n) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    keys, before, within = [], 0, 0
+    for key, n in rows:
+        if keys and before + within >= offset + limit:
+            break
+        if not keys and before + n <= offset:
+            before += n
+            continue
+        keys.append(key)
+        within += n
+    return (keys, within, offset - before) if keys else None
+
+
+def in_span(spec: LedgerSpec, keys: list) -> Column:
+    """Lines whose first sort key lies among neighbouring ``keys``, as a range."""
+    column = F.col(spec.date or spec.year)
+    known = [k for k in keys if k is not None]
+    if not known:
+        return column.isNull()
+    inside = (column >= F.lit(known[-1])) & (column <= F.lit(known[0]))
+    return inside | column.isNull() if None in keys else inside
+
+
 def preview_page(
     df: DataFrame,
     spec: LedgerSpec,
@@ -54,20 +95,27 @@ def preview_page(
     page: int = 1,
     limit: int = 50,
     columns: tuple[str, ...] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of lines, newest first."""
+    """One page of lines, newest first; ``counts`` are the stored ones of these lines, if any."""
     columns = columns or spec.preview
     offset = (max(1, int(page)) - 1) * limit
-    lines = preview_lines(df.filter(where), spec, columns).withColumn(
-        "_key", page_key(df, spec, columns)
-    )
-    parts = [p.drop("_key") for p in narrow_to_page(lines, offset, limit)]
-    if not parts:
-        return lines.drop("_key").limit(0)
-    found = parts[0]
-    for part in parts[1:]:
+    lines = preview_lines(df.filter(where), spec, columns)
+    order = page_order(spec, columns)
+    if offset + limit <= SHALLOW:
+        return lines.orderBy(*order).offset(offset).limit(limit)
+    span = page_span(key_counts(df, spec, where) if counts is None else counts, offset, limit)
+    if span is None:
+        return lines.limit(0)
+    keys, n, skip = span
+    near = preview_lines(df.filter(where & in_span(spec, keys)), spec, columns)
+    if min(n, skip + limit) <= AT_ONCE:
+        return near.orderBy(*order).offset(skip).limit(limit)
+    keyed = near.withColumn("_key", page_key(df, spec, columns))
+    found, *more = (p.drop("_key") for p in narrow_to_page(keyed, skip, limit))
+    for part in more:
         found = found.union(part)
-    return found.orderBy(*page_order(spec, columns)).limit(limit)
+    return found.orderBy(*order).limit(limit)
 
 
 def narrow_to_page(lines: DataFrame, offset: int, limit: int) -> list[DataFrame]:

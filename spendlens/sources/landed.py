@@ -4,14 +4,16 @@ The dialect is standard: quotes inside quotes are doubled, a quoted field may
 hold separators and line breaks, a backslash is a plain character. Such files
 are not split, so keep them at a modest size.
 
-Files may differ in columns and their order. One pass finds the header of every
-file (a record whose fields are mostly known names) and the few distinct
-layouts; a second one reads all records and takes each column from where the
-layout of the file has it. Paths of single files do not pass the driver.
+Files may differ in columns and their order, and most of their columns may be
+unknown. One pass finds the header of every file (its first record with two
+known names) and the few distinct layouts; a second one reads all records and
+takes each column from where the layout of the file has it. Paths of single
+files do not pass the driver.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,27 +21,33 @@ from pyspark.sql import functions as F
 
 from ..spec import LedgerSpec
 
-#: Columns a landed file may have.
-WIDTH = 64
+#: Columns a landed file may have. Records with more are counted as too wide.
+WIDTH = 128
 
 
 def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """(file, cells) of every record, headers too."""
+    """(file, at, cells, wide) of every record, headers too: ``at`` rises within a file,
+    ``wide`` holds for fields that did not fit."""
     names = [f"c{i}" for i in range(WIDTH)]
     raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .options(sep=sep, quote='"', escape='"', multiLine=True)
+        spark.read.schema(", ".join(f"{n} string" for n in [*names, "_more"]))
+        .options(sep=sep, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_more")
         .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
         .csv(paths)
     )
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("cells"))
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        # Files are not split, so a task numbers the records of a file in their order.
+        F.monotonically_increasing_id().alias("at"),
+        F.array(*names).alias("cells"),
+        # Short records are kept there too, so separators tell.
+        F.coalesce(F.regexp_count("_more", F.lit(re.escape(sep))) >= WIDTH, F.lit(False)).alias("wide"),
+    )
 
 
-def _is_header(cells: Column, known: set[str]) -> Column:
-    """Two known names at least, and as many as there are other fields."""
-    plain = F.transform(cells, lambda c: F.lower(F.trim(F.replace(c, F.lit("﻿"), F.lit("")))))
-    hits = F.size(F.filter(plain, lambda c: c.isin(sorted(known))))
-    return (hits >= 2) & (2 * hits >= F.size(F.filter(cells, lambda c: c.isNotNull())))
+def _known_names(cells: Column, known: set[str]) -> Column:
+    plain = F.transform(cells, lambda c: F.lower(F.trim(F.replace(c, F.lit("\ufeff"), F.lit("")))))
+    return F.size(F.filter(plain, lambda c: c.isin(sorted(known))))
 
 
 class Landed:
@@ -59,15 +67,14 @@ class Landed:
     ) -> None:
         known = {n.lower() for n in (*spec.file_names, *spec.schema.names, *more)}
         self.spec = spec
-        found = records(spark, paths, sep)
-        self.marked = found.withColumn("header", _is_header(F.col("cells"), known))
-        heads = self.marked.filter("header")
+        self.records = records(spark, paths, sep)
+        named = self.records.filter(_known_names(F.col("cells"), known) >= 2)
+        heads = named.groupBy("file").agg(F.min_by("cells", "at").alias("cells"))
         self.layouts = [r[0] for r in heads.select("cells").distinct().collect()]
         number = F.lit(None).cast("int")
         for k, cells in enumerate(self.layouts):
             number = F.when(F.to_json("cells") == F.to_json(F.array(*map(F.lit, cells))), k).otherwise(number)
-        # A header repeated inside a file counts once.
-        self.files = heads.groupBy("file").agg(F.min(number).alias("layout"))
+        self.files = heads.select("file", number.alias("layout"), F.col("cells").alias("head"))
         self.columns: dict[str, Column] = {}
         for k, cells in enumerate(self.layouts):
             own: dict[str, Column] = {}
@@ -82,12 +89,13 @@ class Landed:
 
     def lines(self) -> DataFrame:
         """Records that are no header, of files that have one, as text columns and ``_file``."""
-        return self._data().select(
+        return self._data("inner").select(
             *(c.alias(n) for n, c in self.columns.items()), F.col("file").alias("_file")
         )
 
-    def _data(self) -> DataFrame:
-        return self.marked.filter("not header").join(self.files, "file")
+    def _data(self, how: str) -> DataFrame:
+        # A header repeated inside its file is no line.
+        return self.records.join(self.files, "file", how).filter("head is null or cells <> head")
 
     def problems(self, amount: Callable[[Column], Column]) -> DataFrame:
         """One row: records read, those in files without a header, those with fields
@@ -95,10 +103,9 @@ class Landed:
         widths = F.array(*(F.lit(max(i for i, c in enumerate(x) if c is not None) + 1) for x in self.layouts or [["-"]]))
         last = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
         text = self.columns.get(self.spec.amount, F.lit(None).cast("string"))
-        data = self.marked.filter("not header").join(self.files, "file", "left")
-        return data.agg(
+        return self._data("left").agg(
             F.count(F.lit(1)).alias("records"),
             F.count_if(F.col("layout").isNull()).alias("without_header"),
-            F.count_if(last > F.get(widths, F.col("layout"))).alias("too_wide"),
+            F.count_if(F.col("wide") | (last > F.get(widths, F.col("layout")))).alias("too_wide"),
             F.count_if((F.trim(text) != "") & amount(text).isNull()).alias("unreadable_amounts"),
         )

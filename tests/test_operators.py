@@ -298,6 +298,55 @@ def test_pages_cover_everything_once(spark, small, monkeypatch):
     assert preview.clamp_limit(9999) == 500
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_far_pages_of_a_stored_ledger_read_their_days_alone(spark, small, tmp_path):
+    from spendlens.sources.star import state_ledger
+
+    path = str(tmp_path / "ledger")
+    state_ledger(spark, small, ["year", "buyer", "seller", "type", "amount", "paid_on"]).write.parquet(path)
+    df = spark.read.parquet(path)
+    stored = str(tmp_path / "days")
+    preview.key_counts(df, STATE).write.parquet(stored)
+    whole = preview.preview_lines(df, STATE, STATE.preview).orderBy(*preview.page_order(STATE, STATE.preview)).collect()
+    for page in (5, 9, 12):
+        got = preview.preview_page(df, STATE, F.lit(True), page, 500, counts=spark.read.parquet(stored))
+        text = plan(got)
+        assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(paid_on,[^]]*LessThanOrEqual\(paid_on", text)
+        assert text.count("FileScan") == 1
+        assert got.collect() == whole[(page - 1) * 500: page * 500]
+    first = preview.preview_page(df, STATE, F.lit(True), 1, 500)
+    assert plan(first).count("FileScan") == 1
+    assert "TakeOrderedAndProject" in plan(first)
+
+
+def test_spans_of_keys():
+    class Counts:
+        def __init__(self, *rows):
+            self.rows = [type("Row", (), {"key": k, "n": n}) for k, n in rows]
+
+        def collect(self):
+            return self.rows
+
+    counts = Counts((None, 4), (2020, 3), (2022, 5), (2021, 2))
+    assert preview.page_span(counts, 0, 2) == ([2022], 5, 0)
+    assert preview.page_span(counts, 4, 2) == ([2022, 2021], 7, 4)
+    assert preview.page_span(counts, 5, 5) == ([2021, 2020], 5, 0)
+    assert preview.page_span(counts, 9, 9) == ([2020, None], 7, 2)
+    assert preview.page_span(counts, 10, 1) == ([None], 4, 0)
+    assert preview.page_span(counts, 14, 1) is None
+    assert preview.page_span(Counts(), 0, 1) is None
+
+
+def test_adaptive_drilldown_scans_once(spark, tmp_path):
+    path = str(tmp_path / "city")
+    city(spark, [{"company": "w", "org0": "o", "amount": 2, "year": 2020}]).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert plan(drilldown.drill_seller_adaptive(df, CITY, "w")).count("FileScan") == 1
+
+
 def test_no_task_orders_the_lines_before_a_page(spark, small, monkeypatch):
     from spendlens.sources.star import state_ledger
 

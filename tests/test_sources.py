@@ -213,6 +213,23 @@ def test_no_line_of_an_export_is_lost(spark, tmp_path):
     assert counts == {"records": 8, "without_header": 1, "too_wide": 1, "unreadable_amounts": 1}
 
 
+def test_files_of_mostly_unknown_columns_are_read(spark, tmp_path):
+    """One of 7 columns, 4 of them unknown; one of 80; a header repeated, and words of it in a line."""
+    folder = tmp_path / "exports"
+    put(folder, "few.csv", "Kaupandi,Birgi,Upphæð línu,x0,x1,x2,x3\nA,s,1,,,,\n")
+    many = [f"u{i}" for i in range(77)]
+    put(folder, "many.csv", ",".join([*many, "Kaupandi", "Upphæð línu", "Birgi"]) + "\n" + ",".join(["-"] * 77 + ["B", "2", "t"]) + "\n")
+    put(folder, "again.csv", HEAD + "C,s,t,3,2020-01-31,1\n" + HEAD + "Kaupandi,Birgi,t,4,2020-01-31,2\n")
+    put(folder, "wide.csv", "Kaupandi,Upphæð línu\nD,5" + ",z" * 200 + "\n")
+    df = chunks.ingest_export(spark, str(folder))
+    assert rows(df, "buyer", "seller", "amount") == sorted([
+        ("A", "s", Decimal("1.00")), ("B", "t", Decimal("2.00")), ("C", "s", Decimal("3.00")),
+        ("Kaupandi", "Birgi", Decimal("4.00")), ("D", None, Decimal("5.00")),
+    ], key=repr)
+    counts = chunks.export_problems(spark, str(folder)).first().asDict()
+    assert counts == {"records": 5, "without_header": 0, "too_wide": 1, "unreadable_amounts": 0}
+
+
 def test_quoted_yearly_csv(spark, tmp_path):
     a = put(tmp_path / "a b", "2021.csv", 'raun;samtala0;tegund0\n"1,5";"x;""y""";"line\nbreak"\n2;back\\;t\n')
     b = put(tmp_path, "2022.csv", "tegund0;raun\nu;3\n")
