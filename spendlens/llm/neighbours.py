@@ -6,16 +6,19 @@ joined with their codes and introduced to each other: neighbours of neighbours
 that are nearer than what a list holds replace its last entries. Only pairs
 with a new link are looked at, and rounds end when few lists change.
 
-A query starts at some vectors and follows the graph: the lists of the best
-ones found and not yet opened are scored against it, for some rounds. What is
-found is scored once more, in double precision on the original vectors.
-
-Inner products of vectors of different length are turned into those of equal
-length by one more component, sqrt(L^2 - |x|^2) with L the greatest length; a
-query has 0 there. Codes hold components in single precision and the added one
-in double. The graph ranks by -|a - b|^2 / 2, which is the inner product less L^2
-and keeps small differences of near copies; the search ranks by the inner
-product itself. Both are computed in double precision.
+A query starts at its own vector and at the best for it of the ``HEADS`` longest
+vectors, and follows the graph: the lists of the best ones found and not yet
+opened are scored against it, until a round changes none of its ``k`` best. What
+is found is scored once more, in double precision on the original vectors.
+
+The graph is one of directions: it ranks by -|a - b|^2 / 2 of unit vectors, which
+keeps small differences of near copies, so its links lead everywhere whatever
+the lengths. The largest inner products belong to long vectors, so the search
+ranks by the inner product itself and sets out from the longest, too. Codes hold
+the direction in single precision and the length in double; both rankings are
+computed in double precision. Vectors with exactly one direction are alike to
+the graph, so of a group of more than ``LIST`` of them the longest are sure to be
+met only among the heads.
 
 Links to a vector beyond the nearest ``BACK`` are not followed back, as usual
 in NN-descent: it is approximate, and recall is measured. Equal vectors are one
@@ -27,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import keep
+from .store import keep, small
 
 LIST = 64
 BACK = 64
@@ -48,9 +52,13 @@ TAKE = 8
 ROUNDS = 8
 #: A round that changes a smaller share of all links is the last one.
 SETTLED = 0.1
-#: Vectors a search opens per round, and rounds.
+#: Vectors a search opens per round, and rounds after which it may end.
 OPEN = 24
-HOPS = 4
+AT_LEAST = 2
+#: Longest vectors that all queries are scored against at the start.
+HEADS = 2048
+#: Queries, and heads, that are scored against each other at once.
+ASKED = 256
 #: Scored candidates a task gathers before it drops all but the best of a vector.
 GATHER = 500_000
 #: Blocks or neighbourhoods handed to a task at once, some 40 KB each at 64 components.
@@ -70,7 +78,7 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 class Codes:
-    """A binary column of codes: components in single precision, then the added one in double."""
+    """A binary column of codes: the direction in single precision, then the length in double."""
 
     def __init__(self, column: pa.Array) -> None:
         _, offsets, data = column.buffers()
@@ -78,18 +86,25 @@ class Codes:
         flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
         self.rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
-    def __getitem__(self, part: slice) -> np.ndarray:
+    def directions(self, part: slice) -> np.ndarray:
         rows = self.rows[part]
         if not rows.size:
             return np.empty((len(rows), 0))
-        x = np.ascontiguousarray(rows[:, :-8]).view(np.float32)
-        added = np.ascontiguousarray(rows[:, -8:]).view(np.float64)
-        return np.concatenate([x, added], axis=1)
+        return np.ascontiguousarray(rows[:, :-8]).view(np.float32).astype(np.float64)
+
+    def lengths(self, part: slice) -> np.ndarray:
+        return np.ascontiguousarray(self.rows[part][:, -8:]).view(np.float64)[:, 0]
 
 
-def encode(x: np.ndarray, added: np.ndarray) -> list[bytes]:
-    flat, more = x.astype(np.float32), added.astype(np.float64)
-    return [a.tobytes() + b.tobytes() for a, b in zip(flat, more)]
+def encode(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Codes of vectors, and their lengths. The largest component goes out first, as squares may overflow."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / largest
+    short = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        length = np.minimum(largest * short, np.finfo(np.float64).max)
+    flat = (unit / short).astype(np.float32)
+    return [a.tobytes() + b.tobytes() for a, b in zip(flat, length)], length[:, 0]
 
 
 def _nearness(codes: np.ndarray) -> np.ndarray:
@@ -135,7 +150,7 @@ def _gathered(parts: Iterator[tuple], most: int) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Of rows with a list of structs, the flat fields and the bounds of each list."""
+    """Of rows with a list of structs, each list's flat fields, directions and lengths."""
     lists = batch.column("members")
     bounds = lists.offsets.to_numpy()
     flat = lists.flatten()
@@ -145,7 +160,7 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
     plain = {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items()}
     for i in range(batch.num_rows):
         part = slice(bounds[i] - base, bounds[i + 1] - base)
-        yield i, {k: v[part] for k, v in plain.items()}, codes[part]
+        yield i, {k: v[part] for k, v in plain.items()}, codes.directions(part), codes.lengths(part)
 
 
 def _block_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -153,7 +168,7 @@ def _block_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
 
     def parts() -> Iterator[tuple]:
         for batch in batches:
-            for _, m, codes in _members(batch):
+            for _, m, codes, _ in _members(batch):
                 yield from _nearest(_nearness(codes), m["node"], None, most)
 
     yield from _gathered(parts(), LIST)
@@ -178,7 +193,7 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def parts() -> Iterator[tuple]:
         for batch in batches:
-            for _, m, codes in _members(batch):
+            for _, m, codes, _ in _members(batch):
                 new = m["new"].astype(bool)
                 if not new.any():
                     continue
@@ -267,45 +282,77 @@ def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = queries.flatten()
             ids = flat.field("query").to_numpy(zero_copy_only=False)
             asked = Codes(flat.field("asked"))
-            for i, m, codes in _members(batch):
+            for i, m, codes, lengths in _members(batch):
                 part = slice(bounds[i] - bounds[0], bounds[i + 1] - bounds[0])
-                score = asked[part] @ codes.T
+                score = (asked.directions(part) @ codes.T) * lengths
                 n, k = score.shape
                 yield np.repeat(ids[part], k), np.tile(m["node"], n), score.ravel()
 
     yield from _gathered(parts(), LIST)
 
 
+def heads(packed: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(node, other, score): of the ``HEADS`` longest vectors of ``packed``, the best for each query.
+
+    Queries are dealt into blocks of about ``ASKED``, and the heads, of fixed
+    number, into parts of as many; each block meets each part once.
+    """
+    parts = HEADS // ASKED
+    longest = packed.select("node", "length").orderBy(F.col("length").desc(), "node").limit(HEADS)
+    members = (
+        packed.join(keep(longest.select("node"), "heads"), "node", "left_semi")
+        .groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+        .agg(F.collect_list(F.struct("node", "code")).alias("members"))
+    )
+    blocks = max(1, -(-queries.count() // ASKED))
+    asking = (
+        queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
+        .agg(F.collect_list(F.struct("query", "asked")).alias("queries"))
+        .select("queries", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
+    )
+    met = asking.join(members, "part").select("queries", "members").mapInArrow(_open_lists, PAIR)
+    with _small_batches(packed.sparkSession):
+        return keep(_top(met, most), "starts")
+
+
 def search(
-    graph: DataFrame, codes: DataFrame, queries: DataFrame, starts: DataFrame, most: int
+    graph: DataFrame, codes: DataFrame, queries: DataFrame, starts: DataFrame, most: int, k: int
 ) -> DataFrame:
     """(node, other, score) with node the query: the best ``most`` met by greedy search.
 
-    ``queries``: (query, asked), ``asked`` a code. ``starts``: (node, other),
-    vectors with which the search of query ``node`` sets out.
+    ``queries``: (query, asked), ``asked`` a code. ``starts``: (node, other, score),
+    vectors with which the search of query ``node`` sets out. A query ends when a
+    round brings nothing new into its ``k`` best.
     """
     # Without codes, which would be on disk once per neighbourhood.
     around = keep(_around(graph).select("hub", "node"), "neighbourhoods")
-    unseen = (F.lit(float("inf")).alias("score"), F.lit(False).alias("opened"))
-    found = starts.select("node", "other", *unseen)
-    for _ in range(HOPS):
+    found = starts.select(
+        "node", "other", "score", F.lit(False).alias("opened"), F.lit(True).alias("goes_on")
+    )
+    for turn in count(1):
         order = Window.partitionBy("node").orderBy("opened", F.col("score").desc(), "other")
         marked = keep(
             found.withColumn("nth", F.row_number().over(order))
-            .withColumn("now", ~F.col("opened") & (F.col("nth") <= OPEN))
-            .drop("nth"),
+            .withColumn("now", F.col("goes_on") & ~F.col("opened") & (F.col("nth") <= OPEN))
+            .drop("nth", "goes_on"),
             "opening",
         )
+        now = marked.filter("now").select("node", F.col("other").alias("hub"))
+        asked_of = keep(now.groupBy("hub").count(), "opened")
+        if asked_of.isEmpty():
+            break
+        # A vector that many queries open is opened in parts of about ``ASKED`` of them.
+        hot = asked_of.filter(F.col("count") > ASKED).select(
+            "hub", F.ceil(F.col("count") / ASKED).alias("parts")
+        )
         opening = (
-            marked.filter("now")
+            now.join(small(keep(hot, "hot")), "hub", "left")
             .join(queries, F.col("node") == F.col("query"))
-            # A vector that very many queries open is opened in several parts.
-            .groupBy(F.col("other").alias("hub"), F.pmod(F.xxhash64("query"), F.lit(64)).alias("part"))
+            .groupBy("hub", F.pmod(F.xxhash64("query"), F.coalesce("parts", F.lit(1))).alias("part"))
             .agg(F.collect_list(F.struct("query", "asked")).alias("queries"))
         )
-        hubs = marked.filter("now").select(F.col("other").alias("hub")).distinct()
         hoods = (
-            around.join(hubs, "hub", "left_semi")
+            around.join(asked_of, "hub", "left_semi")
             .join(codes, "node")
             .groupBy("hub")
             .agg(F.collect_list(F.struct("node", "code")).alias("members"))
@@ -315,15 +362,26 @@ def search(
             .select("queries", "members")
             .mapInArrow(_open_lists, PAIR)
             .withColumn("opened", F.lit(False))
+            .withColumn("old", F.lit(False))
+        )
+        old = marked.select(
+            "node", "other", "score", (F.col("opened") | F.col("now")).alias("opened"), F.lit(True).alias("old")
         )
-        old = marked.select("node", "other", "score", (F.col("opened") | F.col("now")).alias("opened"))
         once = (
             old.union(met)
             .groupBy("node", "other")
-            .agg(F.min("score").alias("score"), F.max("opened").alias("opened"))
+            .agg(F.min("score").alias("score"), F.max("opened").alias("opened"), F.max("old").alias("old"))
         )
+        best = Window.partitionBy("node").orderBy(F.col("score").desc(), "other")
+        new = ~F.col("old") & (F.col("nth") <= k)
         with _small_batches(codes.sparkSession):
-            found = keep(_top(once, most), "search")
+            found = keep(
+                once.withColumn("nth", F.row_number().over(best))
+                .filter(F.col("nth") <= most)
+                .withColumn("goes_on", F.lit(turn < AT_LEAST) | F.max(new).over(Window.partitionBy("node")))
+                .drop("nth", "old"),
+                "search",
+            )
     return found.select("node", "other", "score")
 
 
@@ -341,20 +399,14 @@ def usable(vector: Column) -> Column:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes of vectors given their squared lengths and the greatest of them."""
     for batch in batches:
-        flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
         n = batch.num_rows
         if not n:
             continue
-        x = flat.reshape(n, -1)
-        short = np.sqrt(np.maximum(batch.column("top").to_numpy() - batch.column("square").to_numpy(), 0))
+        flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+        codes, lengths = encode(flat.reshape(n, -1))
         yield pa.RecordBatch.from_pydict(
-            {
-                "node": batch.column("node"),
-                "code": pa.array(encode(x, short), pa.binary()),
-                "asked": pa.array(encode(x, np.zeros(n)), pa.binary()),
-            }
+            {"node": batch.column("node"), "code": pa.array(codes, pa.binary()), "length": pa.array(lengths)}
         )
 
 
@@ -382,33 +434,32 @@ def nearest(
     rows = keep(rows, "vectors")
     sizes = rows.groupBy("size").count().orderBy(F.col("count").desc(), "size").limit(1)
     rows = rows.join(F.broadcast(sizes.select("size")), "size", "left_semi")  # one row
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     # Equal vectors are one node, named by its smallest id. Their k + 1 smallest ids
     # are all that a list of k can need of them.
-    nodes = keep(
-        rows.groupBy("vector").agg(F.min("id").alias("node")).withColumn("square", square), "nodes"
-    )
-    top = nodes.agg(F.max("square")).first()[0]
-    if top is None:
+    nodes = keep(rows.groupBy("vector").agg(F.min("id").alias("node")), "nodes")
+    if nodes.isEmpty():
         return rows.select(
             F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")
         )
-    packed = nodes.select("node", "vector", "square", F.lit(top).alias("top")).mapInArrow(
-        _pack, "node long, code binary, asked binary"
+    packed = keep(
+        nodes.select("node", "vector").mapInArrow(_pack, "node long, code binary, length double"), "codes"
     )
-    packed = keep(packed, "codes")
     codes = packed.select("node", "code")
     of = keep(
         rows.join(nodes.select("vector", "node"), "vector").select("id", "asks", "node"), "row-nodes"
     )
     asking = of.filter("asks").select("node").distinct()
     queries = keep(
-        packed.join(asking, "node", "left_semi").select(F.col("node").alias("query"), "asked"), "queries"
+        packed.join(asking, "node", "left_semi").select(F.col("node").alias("query"), F.col("code").alias("asked")),
+        "queries",
     )
     graph = neighbour_graph(codes)
-    # A query's own vector is in the graph: its search sets out there.
+    # A query's own vector is in the graph: its search sets out there, too.
     own = asking.select("node", F.col("node").alias("other"))
-    found = search(graph, codes, queries, own, LIST)
+    starts = heads(packed, queries, LIST).filter("node <> other").union(
+        own.withColumn("score", F.lit(float("inf")))
+    )
+    found = search(graph, codes, queries, starts, LIST, k)
     # It is a candidate too where other rows share it.
     found = found.select("node", "other").union(own).distinct()
     small_ids = Window.partitionBy("node").orderBy("id")

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from spendlens.llm import registry
+from spendlens.llm import neighbours, registry
 
 VECTOR = "vec_id long, embedding array<float>, label int"
 
@@ -96,3 +97,41 @@ def test_thousands_of_near_copies_are_told_apart(spark, tables):
     rows = unit_rows(np.concatenate([near, rng.normal(size=(600, 24))]))
     got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
     check(got, [r[:2] for r in rows], 0.95)
+
+
+def test_unequal_lengths(spark, tables):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x *= rng.lognormal(0, 0.6, size=(len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))]
+    got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
+    check(got, [r[:2] for r in rows], 0.95)
+
+
+def test_unequal_lengths_beyond_the_heads(spark, tables, monkeypatch):
+    """Clusters of near copies of unequal length, with so few heads that most queries must follow the graph."""
+    monkeypatch.setattr(neighbours, "HEADS", neighbours.ASKED)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(120, 32)), 40, axis=0) + 0.3 * rng.normal(size=(4800, 32))
+    x *= rng.lognormal(0, 0.6, size=(len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))]
+    got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
+    check(got, [r[:2] for r in rows], 0.95)
+
+
+def test_other_lengths_and_clashing_columns(spark, tables):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)], 0) for i in range(60)]
+    odd = [(100 + i, [5.0] * 3, 0) for i in range(21)]
+    df = spark.createDataFrame(rows + odd, VECTOR)
+    for name in ("node", "other", "score", "id", "asks", "vector", "size", "code", "length", "query"):
+        df = df.withColumn(name, F.lit(1))
+    got = registry.op2_neighbours(spark, tables(embeddings=df)).collect()
+    check(got, [r[:2] for r in rows])
+
+
+def test_huge_and_tiny_components(spark, tables):
+    rows = [(i, [1e30 * (1 + i % 7), 1e-30 * i, 1.0], 0) for i in range(1, 61)]
+    got = registry.op2_neighbours(spark, tables(embeddings=spark.createDataFrame(rows, VECTOR))).collect()
+    assert len(got) == 3 * 20
+    assert all(math.isfinite(r.score) for r in got)
