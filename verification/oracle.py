@@ -73,20 +73,20 @@ NEG = "CAST(SUM(CASE WHEN amount < 0 THEN amount END) AS DOUBLE) AS neg"
 
 
 def _yoy(name: str, src: str, grain: list[str]) -> str:
+    """Every line counts twice, for its own year and for the next; one grouping sums both."""
     keys = ", ".join(grain)
-    ykeys = ", ".join(f"y.{g}" for g in grain)
-    same = " AND ".join(f"y.{g} IS NOT DISTINCT FROM p.{g}" for g in grain)
+    lines = f"FROM {src} WHERE {KEEP} AND year IS NOT NULL"
     return f"""
-{name}_agg AS (
-  SELECT year, {keys}, SUM(amount) AS amount FROM {src}
-  WHERE {KEEP} AND year IS NOT NULL GROUP BY year, {keys}
+{name}_twice AS (
+  SELECT year, {keys}, amount, TRUE AS own {lines}
+  UNION ALL SELECT year + 1, {keys}, amount, FALSE {lines}
 ),
 {name} AS (
-  SELECT y.year, {ykeys}, y.amount AS actual_real, COALESCE(p.amount, 0) AS prior_real,
-         y.amount - COALESCE(p.amount, 0) AS yoy_real_change,
-         CASE WHEN COALESCE(p.amount, 0) = 0 THEN NULL
-              ELSE CAST(y.amount - p.amount AS DOUBLE) / CAST(ABS(p.amount) AS DOUBLE) * 100 END AS yoy_real_pct
-  FROM {name}_agg y LEFT JOIN {name}_agg p ON y.year = p.year + 1 AND {same}
+  SELECT year, {keys}, SUM(amount) FILTER (WHERE own) AS actual_real,
+         COALESCE(SUM(amount) FILTER (WHERE NOT own), 0) AS prior_real,
+         actual_real - prior_real AS yoy_real_change,
+         CAST(yoy_real_change AS DOUBLE) / NULLIF(CAST(ABS(prior_real) AS DOUBLE), 0) * 100 AS yoy_real_pct
+  FROM {name}_twice GROUP BY year, {keys} HAVING BOOL_OR(own)
 )"""
 
 
