@@ -43,7 +43,8 @@ BROADCAST_WINDOWS = 1_000_000
 NUMBER, NAME, UNIT = "#", "@", "~"
 #: Readings of a text, in the order in which they tell the kind of a pair.
 TEMPLATE, RENAMED, WORDS = range(3)
-NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+"
+# The look back stands behind the capital, so that few places have to be looked at.
+NAMES = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*+"
 NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
 #: A name that ends inside a word leaves a rest that is no word of the text.
 BROKEN = r"\p{Lu}[\p{Ll}\p{M}]+[\p{L}&&[^\p{Ll}]]"
@@ -57,6 +58,14 @@ UNITS = (
 )
 
 
+def runs(text: Column, signs: str = "") -> Column:
+    """The runs of letters, in order; with the given signs, which stand apart, among them.
+
+    Splitting costs half of collecting matches.
+    """
+    return F.array_remove(F.split(text, rf"[^\p{{L}}\p{{M}}{signs}]++"), "")
+
+
 def template(text: Column, valued: bool = False) -> Column:
     """Tokens of ``TEMPLATE``; see ``_tokens``."""
     return _tokens(text, valued, False)
@@ -67,7 +76,7 @@ def reading(text: Column, nth: int, valued: bool = False) -> Column:
     if nth == TEMPLATE:
         return template(text, valued)
     if nth == WORDS:
-        return F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
+        return runs(F.lower(text))
     tokens = _tokens(F.regexp_replace(text, r"[\s\p{Z}]++", " "), True, True)
 
     def named(t: Column) -> Column:
@@ -77,13 +86,17 @@ def reading(text: Column, nth: int, valued: bool = False) -> Column:
                 lambda x: F.split(F.translate(x, NAME, ""), " "),
             )
         )
-        words = F.filter(t, lambda x: x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"))
-        return F.struct(t.alias("t"), F.array_intersect(words, names).alias("names"))
+        words = F.filter(F.array_intersect(t, names), lambda x: x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"))
+        return F.struct(t.alias("t"), words.alias("names"))
 
     def mark(s: Column) -> Column:
         sign = F.lit(NAME)
         return F.transform(
-            s["t"], lambda x: F.when(F.array_contains(s["names"], x), F.concat(sign, x, sign)).otherwise(x)
+            s["t"],
+            # Only words with a capital are looked up among the names.
+            lambda x: F.when(
+                (F.lower(x) != x) & F.array_contains(s["names"], x), F.concat(sign, x, sign)
+            ).otherwise(x),
         )
 
     def plain(x: Column) -> Column:
@@ -104,14 +117,17 @@ def _tokens(text: Column, valued: bool, cased: bool) -> Column:
     def mark(sign: str, value: str) -> str:
         return f" {sign}{value}{sign} " if valued else f" {sign} "
 
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
+    plain = F.regexp_replace(text, f"[{NUMBER}{NAME}{UNIT}]", " ")
     marked = F.regexp_replace(plain, NAMES, mark(NAME, "$0"))
     marked = F.regexp_replace(marked, NUMBERS, mark(NUMBER, "$0"))
     marked = F.regexp_replace(
         marked, rf"(?i){NUMBER} *+(?<![0-9] )({UNITS})(?![\p{{L}}\p{{M}}])", f"{NUMBER}{mark(UNIT, '$1')}"
     )
-    one = "|".join(f"{s}[^{s}]*+{s}" for s in (NUMBER, NAME, UNIT)) if valued else "[#@~]"
-    return F.regexp_extract_all(marked if cased else F.lower(marked), F.lit(rf"[\p{{L}}\p{{M}}]++|{one}"), F.lit(0))
+    marked = marked if cased else F.lower(marked)
+    if not valued:
+        return runs(marked, NUMBER + NAME + UNIT)
+    one = "|".join(f"{s}[^{s}]*+{s}" for s in (NUMBER, NAME, UNIT))
+    return F.regexp_extract_all(marked, F.lit(rf"{RUNS}|{one}"), F.lit(0))
 
 
 def windows(tokens: Column, seed: int = TEMPLATE) -> Column:
@@ -215,12 +231,12 @@ def telling_words(told: DataFrame, rarity: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, body: Column, told: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold enough rarer words of some question."""
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(RUNS), F.lit(0)))
+    words_of = F.array_distinct(runs(F.lower(body)))
     digest = F.xxhash64(body)
     asked = keep(told.select(F.explode("literals").alias("word")).distinct(), "asked-words")
     rarity = (
         docs.filter(F.pmod(digest, F.lit(RARITY)) == 0)
-        .select(F.explode(runs).alias("word"))
+        .select(F.explode(words_of).alias("word"))
         .join(small(asked, BROADCAST_WINDOWS), "word", "left_semi")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("docs"))
@@ -230,7 +246,7 @@ def candidates(docs: DataFrame, body: Column, told: DataFrame) -> DataFrame:
         return docs
     # A text in which a name ends inside a word is read in any case.
     words = keep(words.union(words.select(F.lit(""), F.lit(0).cast("long"), F.lit(1)).limit(1)), "telling-words")
-    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(runs)
+    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(words_of)
     hit = (
         docs.select(digest.alias("digest"), F.explode(marked).alias("word"))
         .join(small(words, BROADCAST_WINDOWS), "word")
