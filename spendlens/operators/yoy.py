@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import safe_pct
-from ..spec import YOY_AMOUNT_TYPE, LedgerSpec
+from ..spec import MEASURES, YOY_AMOUNT_TYPE, LedgerSpec
 from .filters import keep_lines, year_in
 
 
@@ -40,16 +40,21 @@ def year_over_year(
         .groupBy(*spec.grain, spec.year)
         .agg(F.sum(spec.amount).alias("actual_real"))
     )
+    table = against_year_before(yearly, spec).select(spec.year, *spec.grain, *MEASURES)
+    return table if only is None else table.filter(year.isin(wanted))
+
+
+def against_year_before(yearly: DataFrame, spec: LedgerSpec) -> DataFrame:
+    """Adds the comparison to yearly totals, one row per (grain, year); other columns stay."""
     w = Window.partitionBy(*spec.grain).orderBy(spec.year)
-    before = F.when(F.lag(spec.year).over(w) == year - 1, F.lag("actual_real").over(w))
+    adjacent = F.lag(spec.year).over(w) == F.col(spec.year) - 1
+    before = F.when(adjacent, F.lag("actual_real").over(w))
     change = F.col("actual_real") - F.col("prior_real")
-    table = (
+    return (
         yearly.withColumn("prior_real", F.coalesce(before, F.lit(0)).cast(YOY_AMOUNT_TYPE))
         .withColumn("yoy_real_change", change.cast(YOY_AMOUNT_TYPE))
         .withColumn("yoy_real_pct", safe_pct(F.col("yoy_real_change"), F.col("prior_real")))
-        .select(spec.year, *spec.grain, "actual_real", "prior_real", "yoy_real_change", "yoy_real_pct")
     )
-    return table if only is None else table.filter(year.isin(wanted))
 
 
 def is_anomaly(min_pct: float = 20.0, min_amount: float = 50e6) -> Column:

@@ -60,18 +60,19 @@ def yoy_order(spec: LedgerSpec) -> tuple[Column, ...]:
     )
 
 
-def write_yoy(yoy: DataFrame, path: str, spec: LedgerSpec) -> None:
+def write_yoy(yoy: DataFrame, path: str, spec: LedgerSpec, replace_all: bool = True) -> None:
     """A year-over-year table, newest year and largest change first.
 
     Range partitioning on year and size of change gives many ordered files
-    per year without one task per year.
+    per year without one task per year. Without ``replace_all`` only the years
+    present in ``yoy`` are replaced.
     """
     order = yoy_order(spec)
     (
         yoy.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
+        .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
         .partitionBy(spec.year)
         .parquet(path)
     )

@@ -11,6 +11,7 @@ delivery that has such lines replaces.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,8 +61,8 @@ def newest_months(
     return sorted((m, n) for m, n in arrived.items() if n >= known.get(m, n))
 
 
-def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) -> None:
-    """Replace the delivered months of the table at ``target``.
+def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) -> list[str]:
+    """Replace the delivered months of the table at ``target``; returns these months.
 
     ``lines`` holds complete deliveries. The few months and deliveries become a
     filter, so lines are shuffled once, for the layout of the files.
@@ -69,7 +70,7 @@ def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) ->
     spark = lines.sparkSession
     pairs = newest_months(lines, spec.date, open_table(spark, target))
     if not pairs:
-        return
+        return []
     months: dict[int, list[str]] = {}
     for month, number in pairs:
         months.setdefault(number, []).append(month)
@@ -80,6 +81,7 @@ def apply_deliveries(lines: DataFrame, target: str, spec: LedgerSpec = STATE) ->
     )
     fresh = lines.filter(wanted).select(*spec.schema.names, DELIVERY)
     write_by_month(fresh, target, spec.date, UNDATED)
+    return [month for month, _ in pairs]
 
 
 def refresh(
@@ -89,6 +91,7 @@ def refresh(
     checkpoint: str,
     spec: LedgerSpec = STATE,
     files_per_batch: int | None = None,
+    on_change: Callable[[SparkSession, list[str]], None] | None = None,
 ) -> None:
     """Process everything that has landed since the last call, then stop.
 
@@ -97,6 +100,10 @@ def refresh(
     completely. ``checkpoint`` remembers what was processed; keep it between
     calls. Removing it and ``target`` rebuilds the table from all that is
     landed.
+
+    ``on_change`` is told the months each batch has replaced, to bring tables
+    derived from the ledger up to date. It must bear being called again with
+    the same months: a batch lost before its end is repeated whole.
     """
     schema = landing_schema(spec)
 
@@ -105,7 +112,9 @@ def refresh(
         numbers = [r[0] for r in batch.select(DELIVERY).distinct().collect()]
         if numbers:
             whole = session.read.schema(schema).parquet(landing)
-            apply_deliveries(whole.filter(F.col(DELIVERY).isin(numbers)), target, spec)
+            changed = apply_deliveries(whole.filter(F.col(DELIVERY).isin(numbers)), target, spec)
+            if on_change and changed:
+                on_change(session, changed)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -120,6 +129,11 @@ def refresh(
     query.awaitTermination()
 
 
-def read_refreshed(spark: SparkSession, target: str, spec: LedgerSpec = STATE) -> DataFrame:
-    """The refreshed ledger without its bookkeeping columns."""
-    return conform(spark.read.parquet(target), spec).drop("month", DELIVERY)
+def read_refreshed(
+    spark: SparkSession, target: str, spec: LedgerSpec = STATE, months: Iterable[str] | None = None
+) -> DataFrame:
+    """The refreshed ledger without its bookkeeping columns, or some months of it."""
+    stored = spark.read.parquet(target)
+    if months is not None:
+        stored = stored.filter(F.col("month").cast("string").isin(list(months)))
+    return conform(stored, spec).drop("month", DELIVERY)

@@ -339,6 +339,8 @@ SQL: dict[str, str] = {
     "flag_corrections_row": f"""WITH {_CITY_IDS}
         SELECT {_CITY_BASE}, id IN (SELECT id FROM hit) AS is_correction FROM light""",
     "yoy_state": f"WITH {STATE_YOY} SELECT {_yoy_out(STATE_GRAIN)} FROM yoy",
+    "incremental_yoy": f"WITH {STATE_YOY} SELECT {_yoy_out(STATE_GRAIN)} FROM yoy",
+    "incremental_yoy_city": f"WITH {CITY_YOY} SELECT {_yoy_out(CITY_GRAIN)} FROM yoy",
     "yoy_city": f"WITH {CITY_YOY} SELECT {_yoy_out(CITY_GRAIN)} FROM yoy",
     "drill_sellers_l1": _state(f"""SELECT buyer AS grp, {SUMS} FROM state
         WHERE {KEEP} AND seller = 'NATION_3' AND year = 1998 GROUP BY buyer"""),

@@ -43,7 +43,13 @@ from spendlens.session import scratch_path
 from spendlens.sources import calendar, catalog, chunks, csv, ledger, sinks
 from spendlens.sources.star import city_ledger, state_ledger
 from spendlens.spec import CITY, STATE, LedgerSpec
-from spendlens.streaming import land_delivery, refresh
+from spendlens.streaming import (
+    follow_months,
+    land_delivery,
+    read_comparison,
+    refresh,
+    update_comparison,
+)
 from spendlens.streaming.deliveries import read_refreshed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +67,7 @@ PICK = Selection(year=YEAR, type=TYPE, buyer=BUYER)
 UP = AnomalySelection(year=YEAR, direction="up", min_change_pct=50)
 REFRESH_SPLIT = dt.date(1999, 6, 15)
 REFRESH_MONTH = dt.date(1999, 6, 1)
+YOY_MONTHS = (dt.date(1997, 12, 1), dt.date(1998, 2, 28))
 
 _QUERIES: dict[str, Query] = {}
 
@@ -305,6 +312,36 @@ def incremental_refresh(spark, sf_dir):
     )
 
 
+@query
+def incremental_yoy(spark, sf_dir):
+    """The comparison after two deliveries; the second touches months on both sides of a year."""
+    landing, target, checkpoint, base = (
+        scratch_path(spark, n) for n in ("landing", "refreshed", "refresh", "follow")
+    )
+
+    def follow(session, months):
+        follow_months(session, target, base, months, STATE)
+
+    lines = state_ledger(spark, sf_dir).drop("year")
+    half = lines.filter(F.col("paid_on").between(*YOY_MONTHS) & (F.col("amount") > 0))
+    rest = lines.filter(~F.col("paid_on").between(*YOY_MONTHS) | F.col("paid_on").isNull())
+    land_delivery(rest.unionByName(half), landing, 1)
+    refresh(spark, landing, target, checkpoint, on_change=follow)
+    land_delivery(lines.filter(F.col("paid_on").between(*YOY_MONTHS)), landing, 2)
+    refresh(spark, landing, target, checkpoint, on_change=follow)
+    return read_comparison(spark, base, STATE)
+
+
+@query
+def incremental_yoy_city(spark, sf_dir):
+    """The comparison after one year of a city's ledger has been delivered anew."""
+    base = scratch_path(spark, "follow-city")
+    lines = C.lines(spark, sf_dir, *CITY.grain)
+    update_comparison(lines.filter((F.col("year") != YEAR) | (F.col("amount") > 0)), base, CITY)
+    update_comparison(lines.filter(F.col("year") == YEAR), base, CITY)
+    return read_comparison(spark, base, CITY)
+
+
 def _catalog_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One catalog answer per page, with resources of several formats."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
