@@ -15,9 +15,10 @@ numbers that follow them. Words alone are a copy even if these numbers do not
 agree with each other; the pair is then told as ``edited``.
 
 Readings are dear, so only documents that can hold a question are read. Who has
-80 % of a question's windows has most of its literal words, so also a good part
-of its rarer ones: a question is looked for where these stand. This loses
-nothing. Which words are rare is told by some of the documents.
+80 % of a question's windows has most of its pairs of neighbouring literal
+words, so also a good part of its rarer ones: a question is looked for where
+these stand. This loses nothing. Which pairs are rare is told by some of the
+documents.
 
 Document windows are met with the windows of the benchmark where they arise:
 only hits are shuffled. The benchmark is broadcast if it is small, and shuffled
@@ -48,7 +49,7 @@ NAMES = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+
 NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
 #: A name that ends inside a word leaves a rest that is no word of the text.
 BROKEN = r"\p{Lu}[\p{Ll}\p{M}]+[\p{L}&&[^\p{Ll}]]"
-#: One of so many documents tells how rare words are; this changes no result.
+#: One of so many documents tells how rare pairs of words are; this changes no result.
 RARITY = 64
 RUNS = r"[\p{L}\p{M}]++"
 UNITS = (
@@ -174,7 +175,7 @@ def benchmark_windows(told: DataFrame) -> DataFrame:
 
 
 def _told(items: DataFrame, id_: str, text: str) -> DataFrame:
-    """(item, digest, at, window, literals) of the windows that count."""
+    """(item, digest, at, window, marks, lone) of the windows that count; see ``_marks``."""
     tokens = items.select(
         F.col(id_).alias("item"), F.explode(_readings(whole(text), False)).alias("r")
     ).select("item", F.xxhash64("r.text", "r.nth").alias("digest"), "r.nth", "r.tokens")
@@ -182,41 +183,66 @@ def _told(items: DataFrame, id_: str, text: str) -> DataFrame:
     seeded = F.lit(None).cast("array<bigint>")
     for k in (TEMPLATE, RENAMED, WORDS):
         seeded = F.when(F.col("nth") == k, windows(F.col("tokens"), k)).otherwise(seeded)
-    literal = F.filter(F.slice("tokens", F.col("at") + 1, WINDOW), lambda t: ~t.isin(NUMBER, NAME, UNIT))
+    inside = F.slice("tokens", F.col("at") + 1, WINDOW)
+    literal = F.filter(inside, lambda t: ~t.isin(NUMBER, NAME, UNIT))
     each = tokens.select(
         "item", "digest", "tokens", F.posexplode(seeded).alias("at", "window")
-    ).select("item", "digest", "at", "window", literal.alias("literals"))
+    ).select("item", "digest", "at", "window", literal.alias("literals"), _marks(inside).alias("m"))
     best = each.groupBy("item", "digest").agg(F.max(F.size("literals")).alias("most"))
     best = best.withColumnRenamed("item", "of").withColumnRenamed("digest", "of_digest")
     return each.join(
         best, F.col("item").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    ).filter(F.size("literals") >= F.least("most", F.lit(LITERAL))).drop("of", "of_digest", "most")
+    ).filter(F.size("literals") >= F.least("most", F.lit(LITERAL))).select(
+        "item", "digest", "at", "window", "m.marks", "m.lone"
+    )
+
+
+def _pairs(words: Column) -> Column:
+    """Hashes of the words next to each other, and of the last word alone."""
+    return F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+
+
+def _marks(tokens: Column) -> Column:
+    """What a text that has these tokens of a template has among its words alone.
+
+    ``marks``: hashes of pairs of literal words with at most numbers between
+    them, which are neighbours where words alone are read. Without such a pair
+    the window is ``lone`` and has the hashes of its literal words.
+    """
+    def pair(a: Column, b: Column) -> Column:
+        return F.when(~a.isin(NAME, UNIT) & ~b.isin(NAME, UNIT), F.xxhash64(a, b))
+
+    def hashes(t: Column) -> Column:
+        both = F.array_compact(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), pair))
+        single = F.transform(F.filter(t, lambda x: ~x.isin(NAME, UNIT)), lambda x: F.xxhash64(x))
+        lone = F.size(both) == 0
+        return F.struct(F.array_distinct(F.when(lone, single).otherwise(both)).alias("marks"), lone.alias("lone"))
 
+    return F.transform(F.array(F.filter(tokens, lambda t: t != NUMBER)), hashes)[0]
 
-def telling_words(told: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(word, question, least): rarer words of every question, of which a document that
-    holds it has at least ``least``. ``rarity``: (word, docs).
 
-    A document with ``k`` windows of a question has all literal words of each of
-    them, so its words of the question stand in as many windows as the ``k``
-    windows with the fewest words have words. If that takes ``m`` words even
-    where the most frequent ones are had, at most all but ``m`` are missing, and
-    of the rarest all but m plus j it has j. A question whose windows may hold no
-    literal word has a null word.
+def telling_marks(told: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(mark, question, least): rarer marks of every question, of which a document that
+    holds it has at least ``least``. ``rarity``: (mark, docs).
+
+    A document with ``k`` windows of a question has all marks of each of them, so
+    its marks of the question stand in as many windows as the ``k`` windows with
+    the fewest marks have marks. If that takes ``m`` marks even where the most
+    frequent ones are had, at most all but ``m`` are missing, and of the rarest
+    all but m plus j it has j. A question whose windows may hold no mark has a
+    null one.
     """
-    each = told.select(
-        "digest", "window", F.array_distinct("literals").alias("words")
-    ).dropDuplicates(["digest", "window"])
-    fewest = F.sort_array(F.collect_list(F.size("words")))
+    each = told.select("digest", "window", "marks").dropDuplicates(["digest", "window"])
+    fewest = F.sort_array(F.collect_list(F.size("marks")))
     taken = F.slice(fewest, 1, F.ceil(F.count(F.lit(1)) * CONTAINED).cast("int"))
     need = each.groupBy("digest").agg(F.aggregate(taken, F.lit(0), lambda s, x: s + x).alias("need"))
-    spread = each.select("digest", F.explode("words").alias("word")).groupBy("digest", "word").count()
-    common = Window.partitionBy("digest").orderBy(F.col("count").desc(), "word")
-    rare = Window.partitionBy("digest").orderBy(F.coalesce("docs", F.lit(0)), F.length("word").desc(), "word")
+    spread = each.select("digest", F.explode("marks").alias("mark")).groupBy("digest", "mark").count()
+    common = Window.partitionBy("digest").orderBy(F.col("count").desc(), "mark")
+    rare = Window.partitionBy("digest").orderBy(F.coalesce("docs", F.lit(0)), "mark")
     have = F.coalesce(F.sum("count").over(common.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole_question = Window.partitionBy("digest")
     ranked = (
-        spread.join(rarity, "word", "left")
+        spread.join(rarity, "mark", "left")
         .join(need, "digest")
         .withColumn("more", have < F.col("need"))
         .withColumn("nth", F.row_number().over(rare))
@@ -225,33 +251,40 @@ def telling_words(told: DataFrame, rarity: DataFrame) -> DataFrame:
         .withColumn("least", F.ceil(F.col("m") / 2).cast("int"))
     )
     picked = ranked.filter((F.col("m") > 0) & (F.col("nth") <= F.col("all") - F.col("m") + F.col("least")))
-    none = need.filter("need = 0").select(F.lit(None).cast("string"), "digest", F.lit(0)).limit(1)
-    return picked.select("word", F.col("digest").alias("question"), "least").union(none)
+    none = need.filter("need = 0").select(F.lit(None).cast("long"), "digest", F.lit(0)).limit(1)
+    return picked.select("mark", F.col("digest").alias("question"), "least").union(none)
 
 
 def candidates(docs: DataFrame, body: Column, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold enough rarer words of some question."""
-    words_of = F.array_distinct(runs(F.lower(body)))
+    """The rows of ``docs`` that hold enough rarer marks of some question."""
     digest = F.xxhash64(body)
-    asked = keep(told.select(F.explode("literals").alias("word")).distinct(), "asked-words")
+    # Single words are looked up only if some window has no pair.
+    lone = told.filter("lone").limit(1).count()
+
+    def marks_of(t: Column) -> Column:
+        return F.array_distinct(F.concat(_pairs(t), F.transform(t, lambda x: F.xxhash64(x))) if lone else _pairs(t))
+
+    own = F.transform(F.array(runs(F.lower(body))), marks_of)[0]
+    asked = keep(told.select(F.explode("marks").alias("mark")).distinct(), "asked-marks")
     rarity = (
         docs.filter(F.pmod(digest, F.lit(RARITY)) == 0)
-        .select(F.explode(words_of).alias("word"))
-        .join(small(asked, BROADCAST_WINDOWS), "word", "left_semi")
-        .groupBy("word")
+        .select(F.explode(own).alias("mark"))
+        .join(small(asked, BROADCAST_WINDOWS), "mark", "left_semi")
+        .groupBy("mark")
         .agg(F.count(F.lit(1)).alias("docs"))
     )
-    words = keep(telling_words(told, rarity), "telling-words")
-    if words.filter("word is null").limit(1).count():
+    marks = keep(telling_marks(told, rarity), "telling-marks")
+    if marks.filter("mark is null").limit(1).count():
         return docs
     # A text in which a name ends inside a word is read in any case.
-    words = keep(words.union(words.select(F.lit(""), F.lit(0).cast("long"), F.lit(1)).limit(1)), "telling-words")
-    marked = F.when(body.rlike(BROKEN), F.array(F.lit(""))).otherwise(words_of)
+    always = F.lit(0).cast("long")
+    marks = keep(marks.union(marks.select(always, always, F.lit(1)).limit(1)), "telling-marks")
+    marked = F.when(body.rlike(BROKEN), F.array(always)).otherwise(own)
     hit = (
-        docs.select(digest.alias("digest"), F.explode(marked).alias("word"))
-        .join(small(words, BROADCAST_WINDOWS), "word")
+        docs.select(digest.alias("digest"), F.explode(marked).alias("mark"))
+        .join(small(marks, BROADCAST_WINDOWS), "mark")
         .groupBy("digest", "question", "least")
-        # Equal texts count alike, so a word may be there more often; never less often.
+        # Equal texts count alike, so a mark may be there more often; never less often.
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= F.col("least"))
         .select("digest")
