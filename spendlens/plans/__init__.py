@@ -3,6 +3,7 @@
 from .views import (
     analysis_view,
     anomalies_view,
+    explorer_page,
     explorer_view,
     home_view,
     reports_view,
@@ -11,6 +12,6 @@ from .views import (
 )
 
 __all__ = [
-    "analysis_view", "anomalies_view", "explorer_view", "home_view",
+    "analysis_view", "anomalies_view", "explorer_page", "explorer_view", "home_view",
     "reports_view", "sellers_view", "types_view",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import years_label
-from ..operators import anomalies, changes, comparison, drilldown, preview, totals
+from ..operators import anomalies, changes, comparison, drilldown, explorer, preview, totals
 from ..operators.filters import (
     ALL,
     AnomalySelection,
@@ -67,6 +67,17 @@ def explorer_view(
     return frames
 
 
+def explorer_page(
+    ledger: DataFrame, spec: LedgerSpec, selection: Selection, page: int = 1, limit: int = 50
+) -> Frames:
+    """``explorer_view`` in two frames: every list and total in one scan, and the lines."""
+    limit = preview.clamp_limit(limit)
+    return {
+        "sections": explorer.explorer_sections(ledger, spec, selection),
+        "preview": preview.preview_page(ledger, spec, selection.predicate(spec), page, limit),
+    }
+
+
 def analysis_view(
     ledger: DataFrame,
     spec: LedgerSpec,

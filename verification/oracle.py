@@ -152,6 +152,18 @@ def _ledgers() -> dict[str, str]:
             f"""SELECT * FROM (SELECT '{name}' AS section, {g} AS grp, {SUMS} FROM {src} WHERE {KEEP}
             GROUP BY 2 ORDER BY total DESC NULLS LAST, grp NULLS FIRST LIMIT 10)"""
             for name, g in (("type", typ), ("buyer", buyer), ("seller", seller))))
+        at = f"{KEEP} AND {typ} = 'ECONOMY' AND amount > 0"
+        shown = f"{SUMS}, {POS}, {NEG} FROM {src}"
+        listed = [("year", "year"), ("type", typ), ("buyer", buyer)] + ([("unit", "org1")] if sfx else [])
+        put("explorer_page", " UNION ALL ".join(
+            [f"SELECT '{k}_options' AS section, CAST({c} AS VARCHAR) AS grp, {shown} WHERE {c} IS NOT NULL GROUP BY {c}"
+             for k, c in listed]
+            + [f"SELECT 'yearly', CAST(year AS VARCHAR), {shown} WHERE {at} GROUP BY year",
+               f"SELECT 'totals', NULL, {shown} WHERE {at} AND year = 1998"]
+            + [f"""SELECT * FROM (SELECT '{k}', {c} AS grp, {shown} WHERE {at} AND year = 1998 GROUP BY {c}
+                ORDER BY SUM(amount) DESC NULLS LAST, grp NULLS FIRST LIMIT 30)"""
+               for k, c in (("type", typ), ("buyer", buyer), ("seller", seller))]
+        ))
         put("explore_totals", f"SELECT {SUMS}, {POS}, {NEG} FROM {src} WHERE {pick} AND year = 1998")
         put("explore_totals_empty", f"SELECT {SUMS}, {POS}, {NEG} FROM {src} WHERE {KEEP} AND {typ} = 'NO SUCH TYPE'")
         put("report_top_groups", f"""SELECT {buyer} AS grp, {SUMS}, {POS}, {NEG} FROM {src} WHERE {KEEP} AND year = 1998
@@ -313,6 +325,8 @@ SQL: dict[str, str] = {
     "anomaly_filter": f"""WITH {STATE_YOY} SELECT {_yoy_out(STATE_GRAIN)} FROM yoy
         WHERE year = 1998 AND yoy_real_pct > 0 AND ABS(yoy_real_pct) >= 50""",
     "option_search": _state("SELECT DISTINCT seller FROM state WHERE contains(lower(seller), 'nation_1')"),
+    "option_search_index": _state("SELECT DISTINCT seller FROM state WHERE contains(lower(seller), 'nation_1')"),
+    "option_search_index_city": _city("SELECT DISTINCT org3 FROM city WHERE contains(lower(org3), '12')"),
     "preview_page": _state(f"""{_LINES} WHERE {KEEP}
         ORDER BY paid_on DESC NULLS LAST, year NULLS FIRST, buyer NULLS FIRST, seller NULLS FIRST,
         type NULLS FIRST, state.amount NULLS FIRST LIMIT 50 OFFSET 100"""),

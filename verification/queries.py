@@ -32,7 +32,9 @@ from spendlens.operators import (
     corrections,
     drilldown,
     enrich,
+    explorer,
     filters,
+    option_index,
     preview,
     totals,
     yoy,
@@ -435,6 +437,25 @@ def option_search_city(spark, sf_dir):
     return filters.search_options(C.lines(spark, sf_dir, "org3"), "org3", " 12 ")
 
 
+@query
+def option_search_index(spark, sf_dir):
+    """A search in an index of two columns, one of which was extended by later lines."""
+    path = scratch_path(spark, "options")
+    lines = S.lines(spark, sf_dir, "seller", "type")
+    early = filters.year_is(STATE, YEAR)
+    option_index.write_option_index(lines.filter(early), ["seller", "type"], path)
+    option_index.extend_option_index(lines, ["seller", "type"], path)
+    return option_index.search_index(spark, path, "seller", "  nation_1 ")
+
+
+@query
+def option_search_index_city(spark, sf_dir):
+    """A text shorter than the grams of the index."""
+    path = scratch_path(spark, "options")
+    option_index.write_option_index(C.lines(spark, sf_dir, "org3"), ["org3"], path)
+    return option_index.search_index(spark, path, "org3", " 12 ")
+
+
 @both
 def preview_page(spark, sf_dir, src):
     columns = SUPPLIER if src is C else ()
@@ -634,6 +655,15 @@ def breakdowns(spark, sf_dir, src):
     return totals.breakdowns(lines, spec, sections, keep_lines(spec), top=10)
 
 
+@both
+def explorer_page(spark, sf_dir, src):
+    """All lists and totals of a page from one scan."""
+    spec = src.spec
+    names = (*SUPPLIER, spec.buyers[1]) if src is C else ("seller",)
+    lines = src.lines(spark, sf_dir, spec.type, spec.buyer, *names)
+    return explorer.explorer_sections(lines, spec, Selection(year=YEAR, type=TYPE, sign="pos"))
+
+
 @both
 def explore_totals(spark, sf_dir, src):
     lines = src.lines(spark, sf_dir, src.spec.type, src.spec.buyer)
