@@ -5,10 +5,11 @@ hold separators and line breaks, a backslash is a plain character. Such files
 are not split, so keep them at a modest size.
 
 Files may differ in columns and their order, and most of their columns may be
-unknown. One pass finds the header of every file (its first record with two
-known names) and the few distinct layouts; a second one reads all records and
-takes each column from where the layout of the file has it. Paths of single
-files do not pass the driver.
+unknown. One pass over the records' texts finds the header of every file (its
+first record with two known names), the few distinct layouts and the most cells
+of a record; a second one reads as many cells of all records and takes each
+column from where the layout of the file has it. Paths of single files do not
+pass the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..spec import LedgerSpec
@@ -25,26 +26,67 @@ from ..spec import LedgerSpec
 WIDTH = 128
 
 
-def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """(file, at, cells, wide) of every record, headers too: ``at`` rises within a file,
-    ``wide`` holds for fields that did not fit."""
-    names = [f"c{i}" for i in range(WIDTH)]
-    raw = (
+def _csv(spark: SparkSession, paths: list[str], sep: str, names: list[str]) -> DataFrame:
+    """The fields of every record, and in ``_more`` the text of records of another size."""
+    return (
         spark.read.schema(", ".join(f"{n} string" for n in [*names, "_more"]))
         .options(sep=sep, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_more")
         .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
         .csv(paths)
+        .withColumns({
+            "file": F.col("_metadata.file_path"),
+            # Files are not split, so a task numbers the records of a file in their order.
+            "at": F.monotonically_increasing_id(),
+        })
     )
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        # Files are not split, so a task numbers the records of a file in their order.
-        F.monotonically_increasing_id().alias("at"),
-        F.array(*names).alias("cells"),
+
+
+def _names(width: int) -> list[str]:
+    return [f"c{i}" for i in range(width)]
+
+
+def texts(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    """(file, at, text, width) of every record: its text unparsed, and as many cells as it has at most."""
+    text = F.coalesce("_more", "c0")
+    width = F.least(F.regexp_count(text, F.lit(re.escape(sep))) + 1, F.lit(WIDTH))
+    return _csv(spark, paths, sep, _names(1)).select(
+        "file", "at", text.alias("text"), F.coalesce(width, F.lit(1)).alias("width")
+    )
+
+
+def records(spark: SparkSession, paths: list[str], sep: str, width: int = WIDTH) -> DataFrame:
+    """(file, at, cells, wide) of every record, headers too: ``at`` rises within a file,
+    ``wide`` holds for fields that did not fit into ``WIDTH``.
+
+    ``width`` is as many cells as any record has. The parser spends an exception on every
+    cell that a record lacks, in time that grows with the width, so it should be close.
+    """
+    return _csv(spark, paths, sep, _names(width)).select(
+        "file",
+        "at",
+        F.array(*_names(width)).alias("cells"),
         # Short records are kept there too, so separators tell.
         F.coalesce(F.regexp_count("_more", F.lit(re.escape(sep))) >= WIDTH, F.lit(False)).alias("wide"),
     )
 
 
+def _headers(found: DataFrame, sep: str, known: set[str]) -> DataFrame:
+    """(file, cells) of the first record with two known names in each file of ``texts``."""
+    # A known name as a whole cell; what may be a header is then parsed.
+    names = "|".join(re.escape(n) for n in sorted(known))
+    edge = f'[{re.escape(sep)}"]'
+    plain = F.lower(F.replace(F.col("text"), F.lit("\ufeff"), F.lit("")))
+    maybe = found.filter(plain.rlike(rf"(?:^|{edge})\s*(?:{names})\s*(?:$|{edge})"))
+    cells = F.from_csv("text", ", ".join(f"{n} string" for n in _names(WIDTH)), {"sep": sep, "quote": '"', "escape": '"'})
+    # One row each: the parsed record is not parsed again for every cell.
+    parsed = maybe.select("file", "at", F.inline(F.array(cells)))
+    named = parsed.select("file", "at", F.array(*_names(WIDTH)).alias("cells"))
+    return (
+        named.filter(_known_names(F.col("cells"), known) >= 2)
+        .groupBy("file").agg(F.min_by("cells", "at").alias("cells"))
+    )
+
+
 def _known_names(cells: Column, known: set[str]) -> Column:
     plain = F.transform(cells, lambda c: F.lower(F.trim(F.replace(c, F.lit("\ufeff"), F.lit("")))))
     return F.size(F.filter(plain, lambda c: c.isin(sorted(known))))
@@ -67,10 +109,14 @@ class Landed:
     ) -> None:
         known = {n.lower() for n in (*spec.file_names, *spec.schema.names, *more)}
         self.spec = spec
-        self.records = records(spark, paths, sep)
-        named = self.records.filter(_known_names(F.col("cells"), known) >= 2)
-        heads = named.groupBy("file").agg(F.min_by("cells", "at").alias("cells"))
-        self.layouts = [r[0] for r in heads.select("cells").distinct().collect()]
+        found = texts(spark, paths, sep)
+        seen = Observation()
+        watched = found.observe(seen, F.max("width").alias("width"))
+        layouts = [r[0] for r in _headers(watched, sep, known).select("cells").distinct().collect()]
+        width = seen.get.get("width") or 1
+        self.records = records(spark, paths, sep, width)
+        self.layouts = [cells[:width] for cells in layouts]
+        heads = _headers(found, sep, known).select("file", F.slice("cells", 1, width).alias("cells"))
         number = F.lit(None).cast("int")
         for k, cells in enumerate(self.layouts):
             number = F.when(F.to_json("cells") == F.to_json(F.array(*map(F.lit, cells))), k).otherwise(number)
