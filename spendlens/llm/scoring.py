@@ -6,8 +6,8 @@ tables hashed by their context (the last 1, 2, 3 or 5 bytes of the word, or
 all of it so far) and the bits of the byte so far, how often training words had
 a 0 or a 1 there. The logarithms of these odds are combined by weights, chosen
 by a gate: the place of the bit and how many predictors know their context. The
-weights are learned online, word after word, each word being left out of the
-counts that predict it.
+weights are learned by Newton's method from every distinct training word, each
+being left out of the counts that predict it.
 
 A document then refines this as it is read: the coded word, the word's share of
 all training words and its share of the document so far are mixed by weights
@@ -45,12 +45,10 @@ SLICE = 12_000_000
 SPAN = 1_000_000
 #: Bytes of words whose bits are looked at together.
 TOGETHER = 40_000
-#: Training words on which the weights are learned: a bounded sample by hash.
-WEIGHT_WORDS = 20_000
-#: Bytes of such a word that are looked at.
-WEIGHT_BYTES = 64
+#: Passes over the training words in which the weights are learned.
 PASSES = 2
-RATE = 0.5
+#: Pull of the weights towards equal ones, where few bits tell.
+PRIOR = 16.0
 #: Added to both counts of a context.
 SMALL = 0.4
 #: Tokens of a document between two changes of its weights.
@@ -201,30 +199,74 @@ class Model:
         return out
 
 
+def slopes(counts: np.ndarray, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Sums over the bits of ``words``, per gate: first and second derivatives by the weights.
+
+    (gate, predictor, 1 + predictors): a column of the slope of the log probability, then
+    its curvature, negated.
+    """
+    gates, n = weights.shape
+    out = np.zeros((gates, n, 1 + n))
+    for start, end in _portions(words):
+        slots, bits, _ = word_bits(words[start:end])
+        one = (bits == 1)[:, :, None]
+        # The word itself is not there to predict it.
+        known = odds(np.maximum(counts[:, 0][slots] - ~one, 0), np.maximum(counts[:, 1][slots] - one, 0))
+        gate, y = _gates(known).ravel(), bits.ravel()
+        x = known.reshape(-1, n).astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip((x * weights[gate]).sum(axis=1), -30, 30)))
+        rest, spread = y - p, p * (1 - p)
+        for i in range(n):
+            out[:, i, 0] += np.bincount(gate, weights=rest * x[:, i], minlength=gates)
+            part = spread * x[:, i]
+            for j in range(i, n):
+                out[:, i, 1 + j] += np.bincount(gate, weights=part * x[:, j], minlength=gates)
+    for i in range(n):
+        out[:, i + 1 :, 1 + i] = out[:, i, 2 + i :]
+    return out
+
+
+def _equal() -> np.ndarray:
+    return np.full((8 * (len(TABLES) + 1), len(TABLES)), 1.0 / len(TABLES))
+
+
+def _moved(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Weights after a step of Newton's method, by the sums of ``slopes``."""
+    slope = total[:, :, 0] - PRIOR * (weights - _equal())
+    curvature = total[:, :, 1:] + PRIOR * np.eye(len(TABLES))
+    return weights + np.linalg.solve(curvature, slope[:, :, None])[:, :, 0]
+
+
 def learn(counts: np.ndarray, words: list[bytes]) -> Model:
-    """The model of bit counts (slot, bit), with weights learned online from ``words``."""
-    gates, n = 8 * (len(TABLES) + 1), len(TABLES)
-    weights = np.full((gates, n), 1.0 / n, np.float32)
-    step = 0
+    """The model of bit counts (slot, bit), with weights learned from ``words``."""
+    weights = _equal()
     for _ in range(PASSES):
-        for start, end in _portions(words):
-            slots, bits, _ = word_bits(words[start:end])
-            both = counts[slots]  # (byte, bit, predictor, count)
-            one = (bits == 1)[:, :, None]
-            # The word itself is not there to predict it.
-            known = odds(np.maximum(both[..., 0] - ~one, 0), np.maximum(both[..., 1] - one, 0))
-            gate = _gates(known)
-            for at in range(0, len(bits), 512):
-                x, g, y = known[at : at + 512], gate[at : at + 512].ravel(), bits[at : at + 512].ravel()
-                x = x.reshape(-1, n)
-                p = 1 / (1 + np.exp(-np.clip((x * weights[g]).sum(axis=1), -30, 30)))
-                slope = np.zeros_like(weights)
-                np.add.at(slope, g, ((y - p)[:, None] * x).astype(np.float32))
-                used = np.bincount(g, minlength=gates)
-                step += 1
-                rate = RATE / np.sqrt(1 + step / 50)
-                weights += rate * slope / np.maximum(used, 16)[:, None]
-    return Model(odds(counts[:, 0], counts[:, 1]), weights)
+        weights = _moved(weights, slopes(counts, weights, words))
+    return Model(odds(counts[:, 0], counts[:, 1]), weights.astype(np.float32))
+
+
+def learn_from(counts: np.ndarray, words: DataFrame) -> Model:
+    """``learn`` over a table of words: tasks sum the derivatives, the driver gets the sums."""
+    known = words.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+    weights = _equal()
+    shape = (*weights.shape, 1 + len(TABLES))
+    for _ in range(PASSES):
+
+        def sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for batch in batches:
+                total += slopes(known.value, weights, batch.column("word").to_pylist())
+            place = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict(
+                {"place": pa.array(place, pa.int32()), "part": pa.array(total.ravel()[place], pa.float64())}
+            )
+
+        total = np.zeros(np.prod(shape))
+        for r in words.mapInArrow(sums, "place int, part double").groupBy("place").agg(F.sum("part").alias("s")).collect():
+            total[r.place] = r.s
+        weights = _moved(weights, total.reshape(shape))
+    known.destroy()
+    return Model(odds(counts[:, 0], counts[:, 1]), weights.astype(np.float32))
 
 
 # -- documents ------------------------------------------------------------------
@@ -452,10 +494,7 @@ def score_texts(
     # As many bytes as the tables have, whatever the corpus; a part at a time.
     for r in keep(blocks, "bit-counts").coalesce(8).toLocalIterator():
         counts[r.block * step : r.block * step + len(r.counts) // 8] = np.frombuffer(r.counts, np.int64)
-    sample = known.orderBy(F.xxhash64("word"), "word").limit(WEIGHT_WORDS).select(
-        F.substring("word", 1, WEIGHT_BYTES).alias("word")
-    )
-    model = learn(counts.reshape(-1, 2), [bytes(r.word) for r in sample.collect()])
+    model = learn_from(counts.reshape(-1, 2), known.select("word"))
     shared = spark.sparkContext.broadcast(model)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,3 +189,46 @@ def test_documents_are_scored_alike_however_many_at_a_time(monkeypatch):
     assert once == 1 and pieces == 6
     assert parts == whole
     assert [r["scored"]["n_tokens"] for r in whole] == sizes
+
+
+def test_weights_are_learned_from_every_whole_word(spark, monkeypatch):
+    # A sample of words, and the first bytes of each, decided before.
+    looked_at = []
+    docs = make_docs(spark, [" ".join(f"w{i:05d}x{'y' * 70}{i % 7}" for i in range(a, a + 700)) for a in range(0, 21_000, 700)])
+    learn = scoring.learn_from
+
+    def watched(counts, words):
+        looked_at.append(words)
+        model = learn(counts, words)
+        told = scoring.learn(counts, [bytes(r.word) for r in words.collect()])
+        assert np.allclose(model.weights, told.weights, atol=1e-4)
+        return model
+
+    monkeypatch.setattr(scoring, "learn_from", watched)
+    scoring.score_texts(docs, F.lit(False))
+    (words,) = looked_at
+    assert words.count() == 21_001
+    assert words.agg(F.max(F.octet_length("word"))).first()[0] == 78
+
+
+def test_derivatives_add_up_and_point_uphill():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 103, rng.integers(1, 9)).tolist()) for _ in range(200)]
+    counts = np.zeros((scoring._offsets()[-1], 2))
+    slots, bits, _ = scoring.word_bits(words)
+    np.add.at(counts, (slots, bits[:, :, None]), 1)
+    weights = np.full((8 * (len(scoring.TABLES) + 1), len(scoring.TABLES)), 0.2)
+    whole = scoring.slopes(counts, weights, words)
+    assert np.allclose(whole, scoring.slopes(counts, weights, words[:70]) + scoring.slopes(counts, weights, words[70:]))
+
+    def fit(w):
+        one = (bits == 1)[:, :, None]
+        both = counts[slots]
+        known = scoring.odds(np.maximum(both[..., 0] - ~one, 0), np.maximum(both[..., 1] - one, 0)).astype(float)
+        z = (known * w[scoring._gates(known)]).sum(axis=2)
+        return -np.logaddexp(0, np.where(bits == 1, -z, z)).sum()
+
+    for g, i in ((5, 0), (40, 3), (47, 4)):
+        step = np.zeros_like(weights)
+        step[g, i] = 1e-4
+        assert (fit(weights + step) - fit(weights - step)) / 2e-4 == pytest.approx(whole[g, i, 0], rel=1e-3, abs=1e-3)
