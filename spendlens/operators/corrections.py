@@ -7,11 +7,11 @@ built:
 1. Large enough lines are summarised per *cell* = keys, day, sign and size
    bucket as wide as the tolerance, keeping the smallest and the largest size.
    Map-side aggregation makes a hot cell one row per task.
-2. Each cell announces itself to the cells in reach: same or neighbouring
-   bucket, opposite sign, earlier days of the window. In the same bucket any
-   partner is near enough; from the bucket below only its largest size and
-   from the bucket above only its smallest can be the nearest. Cells that hear
-   nothing near are dropped.
+2. Each cell is copied to its own and the neighbouring buckets, where a window
+   over the days in reach tells what cells of the opposite sign hold. In the
+   same bucket any partner is near enough; from the bucket below only its
+   largest size and from the bucket above only its smallest can be the nearest.
+   Cells that hear nothing near are dropped.
 3. A line looks up the one row of its own cell.
 
 The work is linear in the lines. After step 2 few cells are left, and Spark
@@ -26,6 +26,7 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..spec import AMOUNT_TYPE, LedgerSpec
 
@@ -96,43 +97,41 @@ def matched_cells(
         F.min(F.when(is_partner, size)).alias("_lo"),
         F.max(F.when(is_partner, size)).alias("_hi"),
     )
-    silent = F.lit(None).cast("bigint")
-    low, high = F.col("_lo"), F.col("_hi")
+    # Each cell stands in its own bucket and in both neighbouring ones, whatever the days.
+    low, high, silent = F.col("_lo"), F.col("_hi"), F.lit(None).cast("bigint")
 
-    def message(up, step=0, shift=0, least=silent, most=silent, here=F.lit(False),
-                below=silent, above=silent) -> Column:
+    def copy(step: int, least: Column, most: Column, here: Column, below: Column, above: Column) -> Column:
         return F.struct(
-            up.alias("_up"),
-            (F.col("_bucket") + F.lit(step)).alias("_bucket"),
-            F.lit(shift).alias("_shift"),
+            (F.col("_bucket") + F.lit(step)).alias("_bucket"), F.lit(step == 0).alias("_own"),
             least.alias("_least"), most.alias("_most"),
-            here.alias("_here"), below.alias("_below"), above.alias("_above"),
+            here.alias("_at"), below.alias("_under"), above.alias("_over"),
         )
 
-    up = F.col("_up")
-    messages = [message(up, least=F.col("_least"), most=F.col("_most"))]
-    for shift in offsets if day else (0,):
-        messages += [
-            message(~up, 0, shift, here=low.isNotNull()),
-            message(~up, 1, shift, below=high),
-            message(~up, -1, shift, above=low),
-        ]
-    heard = cells.select(
-        *keys, *([F.col(day).alias("_day")] if day else []), F.inline(F.array(*messages))
+    copies = F.array(
+        copy(0, F.col("_least"), F.col("_most"), low.isNotNull(), silent, silent),
+        copy(1, silent, silent, F.lit(False), high, silent),
+        copy(-1, silent, silent, F.lit(False), silent, low),
     )
+    near = Window.partitionBy(*keys, "_bucket")
     if day:
-        heard = heard.withColumn(day, F.date_add("_day", F.col("_shift")))
+        # A partner on day d is heard on d + offset, so the days d - offset are heard on d.
+        near = near.orderBy(F.unix_date(day)).rangeBetween(-max(offsets), -min(offsets))
+
+    def opposite(what, column: str) -> Column:
+        up, value = F.col("_up"), F.col(column)
+        told = [what(F.when(side, value)).over(near) for side in (~up, up)]
+        return F.when(up, told[0]).otherwise(told[1])
+
     return (
-        heard.groupBy(*cell)
-        .agg(
-            F.min("_least").alias("_least"),
-            F.max("_most").alias("_most"),
-            F.bool_or("_here").alias("_here"),
-            F.max("_below").alias("_below"),
-            F.min("_above").alias("_above"),
-        )
-        .filter(F.col("_least").isNotNull() & _near(F.col("_least"), F.col("_most"), tolerance))
-        .drop("_least", "_most")
+        cells.select(*keys, *([day] if day else []), "_up", F.inline(copies))
+        .withColumns({
+            "_here": F.coalesce(opposite(F.max, "_at"), F.lit(False)),
+            "_below": opposite(F.max, "_under"),
+            "_above": opposite(F.min, "_over"),
+        })
+        .filter(F.col("_own") & F.col("_least").isNotNull())
+        .filter(_near(F.col("_least"), F.col("_most"), tolerance))
+        .select(*cell, "_here", "_below", "_above")
     )
 
 
@@ -243,6 +242,20 @@ CITY_KEYS = (
 )
 
 
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys as 128 bits of hash (``_key1``, ``_key2``), where NULL equals NULL alone.
+
+    Cells and lookups then move two numbers instead of a dozen names.
+    """
+    gaps = F.lit(0)
+    for place, k in enumerate(keys):
+        gaps = gaps + F.when(F.col(k).isNull(), 1 << place).otherwise(0)
+    return df.withColumns({
+        "_key1": F.xxhash64(gaps, *keys),
+        "_key2": F.xxhash64(F.lit("other"), *keys, gaps),
+    })
+
+
 def match_city_lines(
     df: DataFrame,
     spec: LedgerSpec,
@@ -258,13 +271,14 @@ def match_city_lines(
     possible = possible_lines(
         df.select(spec.year, spec.amount, *keys), spec, threshold, tolerance
     ).filter((amount != 0) & year.isNotNull())
-    cells = matched_cells(
-        with_cell(possible, spec, tolerance), [spec.year, *keys], None, (), large, F.lit(True), tolerance
-    )
+    named = (spec.year, *keys)
+    key = ("_key1", "_key2")
+    narrow = with_cell(with_key(possible, named).select(*key, spec.amount), spec, tolerance)
+    cells = matched_cells(narrow, key, None, (), large, F.lit(True), tolerance)
     probes = with_cell(df.filter(larger_than(amount, threshold)), spec, tolerance).withColumns(
         {"_least": F.col("_size"), "_most": F.col("_size")}
     )
-    return with_partner(probes, cells, (spec.year,), keys, None, tolerance, how)
+    return with_partner(with_key(probes, named), cells, key, (), None, tolerance, how)
 
 
 def corrected_lines(df: DataFrame, spec: LedgerSpec, **options) -> DataFrame:
