@@ -71,6 +71,8 @@ def compare_again(spark: SparkSession, base: str, years: Iterable[int], spec: Le
     yearly = (
         spark.read.parquet(f"{base}/totals")
         .filter(year.isin(sorted({*stale, *(y - 1 for y in stale)})))
+        # Dealt once for the sums and for the comparison; a group has few parts a year.
+        .repartition(*spec.grain)
         .groupBy(*spec.grain, spec.year)
         .agg(
             F.sum(spec.amount).cast(YOY_AMOUNT_TYPE).alias("actual_real"),
