@@ -13,6 +13,10 @@ A document then refines this as it is read: the coded word, the word's share of
 all training words and its share of the document so far are mixed by weights
 that follow, block after block, what predicted the document best.
 
+Tasks get words in order. Bytes that a word shares with the beginning of the one
+before it have the same contexts, so their bits are looked at once, for the counts,
+the weights and the coding of words alike.
+
 What is gathered grows with the corpus: one row for every distinct word. The
 tables of bits have a fixed size (``TABLES``), so they are broadcast; words
 themselves are counted and their counts brought to the documents by shuffles.
@@ -76,39 +80,67 @@ def _offsets() -> list[int]:
     return np.concatenate([[0], np.cumsum([1 << bits for _, bits in TABLES])]).tolist()
 
 
+class _Bytes:
+    """The bytes of words, a space after each, and where a beginning of a word is met first.
+
+    A word's bytes up to where it parts from the word before it have that one's contexts
+    and bits, so they need no second look: of words in order, most bytes are shared.
+    """
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join([w + b" " for w in words]), np.uint8)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.word = np.repeat(np.arange(len(words)), self.sizes)
+        self.place = np.arange(len(self.flat)) - self.first[self.word]
+
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, order, start): the byte that ends each beginning where it is met first, all bytes
+        in order of their beginnings, and where in this order each beginning starts."""
+        before = np.concatenate([[0], self.sizes[:-1]])[self.word]
+        same = self.place < before
+        same[same] = self.flat[same] == self.flat[np.flatnonzero(same) - before[same]]
+        parted = np.minimum.reduceat(np.where(same, len(self.flat), self.place), self.first)
+        # Of all bytes of one place, those of a beginning follow each other.
+        place = self.place.astype(np.uint16) if self.sizes.max() <= 1 << 16 else self.place
+        order = np.argsort(place, kind="stable")
+        start = np.flatnonzero((self.place >= parted[self.word])[order])
+        return order[start], order, start
+
+    def bits(self, at: np.ndarray) -> np.ndarray:
+        """(byte, bit): the bits of the bytes ``at``."""
+        return (self.flat[at].astype(np.int64)[:, None] >> (7 - np.arange(8))) & 1
+
+    def slots(self, at: np.ndarray) -> Iterator[np.ndarray]:
+        """(byte, bit): each predictor's slots for the bytes ``at``."""
+        value = self.flat.astype(np.uint64) + np.uint64(1)
+        # Sums of bytes times powers, less the sum before the word, tell a word's beginnings apart.
+        power = np.cumprod(np.full(int(self.sizes.max(initial=0)) + 1, _M2, np.uint64))
+        run = np.concatenate([[np.uint64(0)], np.cumsum(value * power[self.place], dtype=np.uint64)])[:-1]
+        begun = (run - run[self.first][self.word])[at]
+        shift = np.arange(8)
+        node = ((1 << shift) | (self.flat[at].astype(np.int64)[:, None] >> (8 - shift))).astype(np.uint64) * _M3
+        place = self.place[at]
+        before = np.zeros(len(at), np.uint64)
+        back, offset = 0, _offsets()
+        for k, (reach, size) in enumerate(TABLES):
+            while back < reach:
+                back += 1
+                before = before * np.uint64(257) + np.where(place >= back, value[np.maximum(at - back, 0)], np.uint64(0))
+            context = before if reach else begun
+            mixed = ((context * _M1 + np.uint64(k + 1)) * _M2)[:, None] ^ node
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= _M1
+            mixed >>= np.uint64(64 - size)
+            yield mixed.view(np.int64) + offset[k]
+
+
 def word_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots, bits, word): for each byte of each word and the space after it, the slots of
     all predictors (byte, bit, predictor), its bits (byte, bit) and whose it is."""
-    flat = np.frombuffer(b"".join([w + b" " for w in words]), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - first[word]
-    value = flat.astype(np.uint64) + np.uint64(1)
-    # Sums of bytes times powers, less the sum before the word, tell a word's beginnings apart.
-    power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, _M2, np.uint64))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(value * power[place], dtype=np.uint64)])[:-1]
-    begun = run - run[first][word]
-    shift = np.arange(8)
-    byte = flat[:, None].astype(np.int64)
-    bits = (byte >> (7 - shift)) & 1
-    node = ((1 << shift) | (byte >> (8 - shift))).astype(np.uint64) * _M3
-    slots = np.empty((len(flat), 8, len(TABLES)), np.int32)
-    before = np.zeros(len(flat), np.uint64)
-    back, offset = 0, _offsets()
-    for k, (reach, size) in enumerate(TABLES):
-        while back < reach:
-            back += 1
-            earlier = np.zeros(len(flat), np.uint64)
-            earlier[back:] = value[:-back]
-            earlier[place < back] = 0
-            before = before * np.uint64(257) + earlier
-        context = before if reach else begun
-        mixed = (context[:, None] * _M1 + np.uint64(k + 1)) * _M2 ^ node
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _M1
-        slots[:, :, k] = (mixed >> np.uint64(64 - size)).astype(np.int64) + offset[k]
-    return slots, bits, word
+    told = _Bytes(words)
+    every = np.arange(len(told.flat))
+    return np.stack(list(told.slots(every)), axis=2), told.bits(every), told.word
 
 
 def _portions(words: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -130,10 +162,12 @@ def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = batch.column("word").to_pylist()
         n = batch.column("c").to_numpy()
         for start, end in _portions(words):
-            slots, bits, word = word_bits(words[start:end])
-            index = 2 * slots.astype(np.int64) + bits[:, :, None]
-            weight = np.repeat(n[start:end][word], index[0].size)
-            np.add.at(counts, index.ravel(), weight)
+            told = _Bytes(words[start:end])
+            at, order, begin = told.beginnings()
+            weight = np.repeat(np.add.reduceat(n[start:end][told.word[order]], begin), 8)
+            bits = told.bits(at)
+            for slots in told.slots(at):
+                np.add.at(counts, (2 * slots + bits).ravel(), weight)
     yield from _blocks(counts)
 
 
@@ -174,6 +208,12 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + SMALL) / (zeros + SMALL)).astype(np.float32)
 
 
+def without_one(counts: np.ndarray) -> np.ndarray:
+    """(slot, bit): odds where a word with this bit is not there to predict it."""
+    zeros, ones = counts[:, 0], counts[:, 1]
+    return np.stack([odds(np.maximum(zeros - 1, 0), ones), odds(zeros, np.maximum(ones - 1, 0))], axis=1)
+
+
 def _gates(known: np.ndarray) -> np.ndarray:
     """Number of the weights to use, of (byte, bit, predictor) odds."""
     return np.arange(8)[None, :] * (len(TABLES) + 1) + (known != 0).sum(axis=2)
@@ -190,12 +230,16 @@ class Model:
         """Natural logarithm of each word's probability as coded."""
         out = np.zeros(len(words))
         for start, end in _portions(words):
-            slots, bits, word = word_bits(words[start:end])
-            known = self.odds[slots]
-            z = (known * self.weights[_gates(known)]).sum(axis=2)
+            told = _Bytes(words[start:end])
+            at, order, begin = told.beginnings()
+            bits = told.bits(at)
+            known = np.stack([self.odds[slots] for slots in told.slots(at)])
+            gate = _gates(np.moveaxis(known, 0, 2))
+            z = sum(x * w[gate] for x, w in zip(known, self.weights.T))
             # log p of a 1 is -log(1 + exp(-z)), of a 0 -log(1 + exp(z)).
             cost = np.logaddexp(0, np.clip(np.where(bits == 1, -z, z), -30, 30)).sum(axis=1)
-            out[start:end] = -np.bincount(word, weights=cost, minlength=end - start)
+            each = np.repeat(cost, np.diff(begin, append=len(order)))
+            out[start:end] = -np.bincount(told.word[order], weights=each, minlength=end - start)
         return out
 
 
@@ -205,24 +249,31 @@ def slopes(counts: np.ndarray, weights: np.ndarray, words: list[bytes]) -> np.nd
     (gate, predictor, 1 + predictors): a column of the slope of the log probability, then
     its curvature, negated.
     """
+    return _slopes(without_one(counts), weights, words)
+
+
+def _slopes(left: np.ndarray, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """``slopes``, given the odds ``without_one`` of all slots."""
     gates, n = weights.shape
     out = np.zeros((gates, n, 1 + n))
+    left = left.ravel()
     for start, end in _portions(words):
-        slots, bits, _ = word_bits(words[start:end])
-        one = (bits == 1)[:, :, None]
-        # The word itself is not there to predict it.
-        known = odds(np.maximum(counts[:, 0][slots] - ~one, 0), np.maximum(counts[:, 1][slots] - one, 0))
-        gate, y = _gates(known).ravel(), bits.ravel()
-        x = known.reshape(-1, n).astype(np.float64)
-        p = 1 / (1 + np.exp(-np.clip((x * weights[gate]).sum(axis=1), -30, 30)))
-        rest, spread = y - p, p * (1 - p)
-        for i in range(n):
-            out[:, i, 0] += np.bincount(gate, weights=rest * x[:, i], minlength=gates)
-            part = spread * x[:, i]
-            for j in range(i, n):
-                out[:, i, 1 + j] += np.bincount(gate, weights=part * x[:, j], minlength=gates)
-    for i in range(n):
-        out[:, i + 1 :, 1 + i] = out[:, i, 2 + i :]
+        told = _Bytes(words[start:end])
+        at, order, begin = told.beginnings()
+        bits = told.bits(at)
+        known = np.stack([left[2 * slots + bits] for slots in told.slots(at)])
+        gate = _gates(np.moveaxis(known, 0, 2)).astype(np.uint8).ravel()
+        often = np.repeat(np.diff(begin, append=len(order)), 8)
+        # Bits of one gate side by side, so that each gate's sums are products of matrices.
+        side = np.argsort(gate, kind="stable")
+        known, y, often = known.reshape(n, -1)[:, side], bits.ravel()[side], often[side]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
+        for g in np.flatnonzero(np.diff(bounds)):
+            of = slice(bounds[g], bounds[g + 1])
+            x = known[:, of].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(weights[g] @ x, -30, 30)))
+            out[g, :, 0] += x @ (often[of] * (y[of] - p))
+            out[g, :, 1:] += (x * (often[of] * p * (1 - p))) @ x.T
     return out
 
 
@@ -239,15 +290,15 @@ def _moved(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def learn(counts: np.ndarray, words: list[bytes]) -> Model:
     """The model of bit counts (slot, bit), with weights learned from ``words``."""
-    weights = _equal()
+    weights, left = _equal(), without_one(counts)
     for _ in range(PASSES):
-        weights = _moved(weights, slopes(counts, weights, words))
+        weights = _moved(weights, _slopes(left, weights, words))
     return Model(odds(counts[:, 0], counts[:, 1]), weights.astype(np.float32))
 
 
 def learn_from(counts: np.ndarray, words: DataFrame) -> Model:
     """``learn`` over a table of words: tasks sum the derivatives, the driver gets the sums."""
-    known = words.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+    left = words.sparkSession.sparkContext.broadcast(without_one(counts.astype(np.float32)))
     weights = _equal()
     shape = (*weights.shape, 1 + len(TABLES))
     for _ in range(PASSES):
@@ -255,7 +306,7 @@ def learn_from(counts: np.ndarray, words: DataFrame) -> Model:
         def sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape)
             for batch in batches:
-                total += slopes(known.value, weights, batch.column("word").to_pylist())
+                total += _slopes(left.value, weights, batch.column("word").to_pylist())
             place = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict(
                 {"place": pa.array(place, pa.int32()), "part": pa.array(total.ravel()[place], pa.float64())}
@@ -265,7 +316,7 @@ def learn_from(counts: np.ndarray, words: DataFrame) -> Model:
         for r in words.mapInArrow(sums, "place int, part double").groupBy("place").agg(F.sum("part").alias("s")).collect():
             total[r.place] = r.s
         weights = _moved(weights, total.reshape(shape))
-    known.destroy()
+    left.destroy()
     return Model(odds(counts[:, 0], counts[:, 1]), weights.astype(np.float32))
 
 
@@ -351,9 +402,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def earlier(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each token came before in its document."""
-    order = np.lexsort((np.arange(len(codes)), codes, doc))
-    c, d = codes[order], doc[order]
+    """How often each token came before in its document; ``doc`` goes up."""
+    # Word number and place in one number each, whose order is that of both.
+    low = max(len(codes) - 1, 0).bit_length()
+    both = np.sort(codes.astype(np.int64) << low | np.arange(len(codes)))
+    order = both & ((1 << low) - 1)
+    c, d = both >> low, doc[order]
     new = np.ones(len(codes), bool)
     new[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
@@ -480,7 +534,8 @@ def score_texts(
     row = rows.schema["row"].dataType
     slices = keep(rows.mapInArrow(_slices, _slice_type(row)), "word-slices")
     seen = slices.select("slice", F.posexplode("words").alias("pos", "w")).select("slice", "pos", "w.*")
-    words = keep(seen.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    # In order, words lie next to those they share their first bytes with.
+    words = keep(seen.groupBy("word").agg(F.sum("n").alias("c")).sortWithinPartitions("word"), "words")
     known = words.filter("c > 0")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     blocks = (

@@ -232,3 +232,61 @@ def test_derivatives_add_up_and_point_uphill():
         step = np.zeros_like(weights)
         step[g, i] = 1e-4
         assert (fit(weights + step) - fit(weights - step)) / 2e-4 == pytest.approx(whole[g, i, 0], rel=1e-3, abs=1e-3)
+
+
+def _shared_words():
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 100, rng.integers(0, 9)).tolist()) for _ in range(300)]
+    words += [b"abab" * 90 + bytes([97 + i % 9, 0xFF - i]) for i in range(40)]
+    return words + [b"", "ünïcode".encode(), "ünïform".encode(), b"x" * 70_000, b"x" * 70_001]
+
+
+def _beginnings(words):
+    return {(w + b" ")[: i + 1] for w in words for i in range(len(w) + 1)}
+
+
+def test_beginnings_of_words_in_order_are_looked_at_once():
+    words = sorted(_shared_words())
+    told = scoring._Bytes(words)
+    at, order, start = told.beginnings()
+    whole = [words[told.word[i]] + b" " for i in at]
+    met = Counter(w[: told.place[i] + 1] for w, i in zip(whole, at) if len(w) < 1000)
+    short = [w for w in words if len(w) < 1000]
+    assert set(met) == _beginnings(short) and max(met.values()) == 1
+    often = Counter((w + b" ")[: i + 1] for w in short for i in range(len(w) + 1))
+    for i, w, n in zip(at, whole, np.diff(start, append=len(order))):
+        assert len(w) > 1000 or n == often[w[: told.place[i] + 1]]
+    assert sorted(order) == list(range(len(told.flat)))
+
+
+def test_shared_beginnings_change_no_result():
+    words = [w for w in _shared_words() if len(w) < 1000]
+    counts, model = _model(words)
+    weights = model.weights.astype(float)
+    logs = [model.word_logs([w])[0] for w in words]
+    left = scoring.without_one(counts)
+    sums = sum(scoring._slopes(left, weights, [w]) for w in words)
+    slots, bits, _ = scoring.word_bits(words)
+    plain = np.zeros_like(counts)
+    np.add.at(plain, (slots, bits[:, :, None]), 2)
+    assert np.array_equal(plain, counts)
+    for some in (sorted(words), words, words[::-1]):
+        assert np.array_equal(_model(some)[0], counts)
+        by_word = dict(zip(some, model.word_logs(some)))
+        assert [by_word[w] for w in words] == pytest.approx(logs, rel=1e-6)
+        assert np.allclose(scoring._slopes(left, weights, some), sums)
+
+
+def test_words_come_in_order(spark, monkeypatch):
+    listed = []
+    learn = scoring.learn_from
+
+    def watched(counts, words):
+        listed.append([r.word for r in words.coalesce(1).collect()])
+        return learn(counts, words)
+
+    monkeypatch.setattr(scoring, "learn_from", watched)
+    scoring.score_texts(make_docs(spark, [" ".join(f"w{i * 7919 % 5000}" for i in range(5000))]).coalesce(1), F.lit(False))
+    (words,) = listed
+    falls = sum(bytes(a) > bytes(b) for a, b in zip(words, words[1:]))
+    assert len(words) == 5001 and falls < 50
