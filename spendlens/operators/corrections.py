@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored_once
 from ..spec import AMOUNT_TYPE, LedgerSpec
 
 THRESHOLD = 1e9
@@ -180,14 +181,20 @@ def corrected_invoices(
     """Invoices with a line that a later line cancels within the window.
 
     Keys and date must be known. By default only the earlier line counts (on
-    one day both do); ``symmetric`` adds invoices of the later one.
+    one day both do); ``symmetric`` adds invoices of the later one. Then the
+    possible lines are read four times, so a narrow copy of them is stored,
+    with the keys as hashes, and the invoices of the earlier lines as well.
     """
     day = spec.date
     known = F.col(day).isNotNull()
     for k in keys:
         known &= F.col(k).isNotNull()
     lines = df.filter(known).select(*keys, F.col(day).cast("date").alias(day), spec.amount, invoice)
-    lines = with_cell(possible_lines(lines, spec, threshold, tolerance), spec, tolerance)
+    lines = possible_lines(lines, spec, threshold, tolerance)
+    if symmetric:
+        narrow = with_key(lines, keys).select("_key1", "_key2", day, spec.amount, invoice)
+        lines, keys = stored_once(narrow, "possible-lines"), ("_key1", "_key2")
+    lines = with_cell(lines, spec, tolerance)
     large = F.col("_size") > F.lit(_cents(threshold))
 
     def hits(probe: Column, partner: Column, offsets: Sequence[int]) -> DataFrame:
@@ -202,6 +209,7 @@ def corrected_invoices(
     ahead = range(window_days + 1)
     found = hits(large, F.lit(True), [-d for d in ahead])
     if symmetric:
+        found = stored_once(found.distinct(), "earlier-invoices")
         found = found.union(hits(F.lit(True), large, list(ahead)))
     return found.distinct()
 

@@ -41,16 +41,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
-    """Order lines with the wanted dimension columns.
+#: Suppliers up to which their nations, two numbers each, are broadcast.
+_BROADCAST_SUPPLIERS = 500_000
 
-    Orders get their customer before they meet the lines: the large table is
-    then shuffled once, on the order key. The small tables come one by one at
-    the end of each chain, where Spark sees their true size and broadcasts
-    them; a join of two of them would be estimated as their product.
+
+def _lines(spark: SparkSession, sf_dir: str, wanted: set[str], own: dict[str, Column]) -> DataFrame:
+    """Order lines with columns of their ``own`` and the wanted dimension columns.
+
+    The lines are shuffled once for each large dimension, so they take up their
+    own columns before, and the widest dimension last: parts, then orders, which
+    get their customer before. The small tables come one by one at the end of
+    each chain, where Spark sees their true size and broadcasts them; a join of
+    two of them would be estimated as their product.
     """
-    df = _table(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    df = _table(spark, sf_dir, "lineitem").select(*keys, *(c.alias(n) for n, c in own.items()))
     nation = _table(spark, sf_dir, "nation")
+    if wanted & _SELLER:
+        supplier = _table(spark, sf_dir, "supplier").select(
+            "s_suppkey", F.col("s_nationkey").alias("_seller_key")
+        )
+        if supplier.limit(_BROADCAST_SUPPLIERS + 1).count() <= _BROADCAST_SUPPLIERS:
+            supplier = F.broadcast(supplier)
+        df = df.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    if wanted & _PART:
+        part = _table(spark, sf_dir, "part").select(
+            "p_partkey",
+            F.col("p_type").alias("_type"),
+            F.col("p_size").alias("_size"),
+            F.col("p_brand").alias("_brand"),
+            F.col("p_name").alias("_part"),
+        )
+        df = df.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     if wanted & _BUYER:
         customer = _table(spark, sf_dir, "customer").select(
             "c_custkey",
@@ -74,23 +96,9 @@ def _lines(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
             )
             orders = orders.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if wanted & _SELLER:
-        supplier = _table(spark, sf_dir, "supplier").select(
-            "s_suppkey", F.col("s_nationkey").alias("_seller_key")
-        )
-        df = df.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     if "_seller" in wanted:
         seat = nation.select(F.col("n_nationkey").alias("_seat"), F.col("n_name").alias("_seller"))
         df = df.join(seat, F.col("_seller_key") == F.col("_seat"), "left")
-    if wanted & _PART:
-        part = _table(spark, sf_dir, "part").select(
-            "p_partkey",
-            F.col("p_type").alias("_type"),
-            F.col("p_size").alias("_size"),
-            F.col("p_brand").alias("_brand"),
-            F.col("p_name").alias("_part"),
-        )
-        df = df.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return df
 
 
@@ -114,7 +122,10 @@ def _project(
 ) -> DataFrame:
     names = list(recipe) if columns is None else [c for c in recipe if c in set(columns)]
     wanted = set().union(*(recipe[c][0] for c in names))
-    return _lines(spark, sf_dir, wanted).select(*(recipe[c][1].alias(c) for c in names))
+    # A copy of a key as text would be the widest column of a shuffle.
+    own = {c: recipe[c][1] for c in names if not recipe[c][0] and c != "invoice"}
+    lines = _lines(spark, sf_dir, wanted, own)
+    return lines.select(*(F.col(c) if c in own else recipe[c][1].alias(c) for c in names))
 
 
 def state_ledger(

@@ -6,6 +6,8 @@ import io
 from pyspark.sql import functions as F
 
 from spendlens.operators import corrections as C
+from spendlens.session import SHUFFLE_CLEANUP, shuffles_removed, stored_once
+from spendlens.sources import star
 from spendlens.spec import CITY, STATE
 from spendlens.streaming import upkeep
 
@@ -44,3 +46,35 @@ def test_totals_are_dealt_once_for_sums_and_comparison(spark, tmp_path, monkeypa
     row = {"year": 2020, "amount": 9, "org0": "o", "is_correction": False}
     upkeep.update_comparison(city(spark, [row, row | {"year": 2021}]), str(tmp_path), CITY)
     assert plan(written[0]).count("Exchange hashpartitioning(") == 1
+
+
+def test_symmetric_pairs_read_their_lines_once(spark):
+    # correction_pairs_symmetric: the ledger was joined four times in one plan, with three names a row.
+    first = ("A", "s", "t", 9000, "2020-01-01", "1", None)
+    lines = state(spark, [first, ("A", "s", "t", -9000, "2020-01-02", "2", None), ("A", "s", None, -9000, "2020-01-02", "3", None)])
+    found = C.corrected_invoices(lines, STATE, threshold=5000, tolerance=1000, symmetric=True)
+    text = plan(found)
+    assert "_key1" in text and "buyer" not in text and "earlier-invoices" in text
+    assert rows(found) == [("1",), ("2",)]
+
+
+def test_shuffled_rows_go_when_a_job_ends(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    with shuffles_removed(spark):
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+    kept = stored_once(spark.range(9).repartition(3, "id"), "nine")
+    assert rows(kept) == [(i,) for i in range(9)] and spark.conf.get(SHUFFLE_CLEANUP) == before
+
+
+def test_lines_meet_the_widest_dimension_last(spark, small):
+    # Lines were shuffled for suppliers and parts with the names of their orders.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(star.city_ledger(spark, small, ["year", "amount", "org3", "type2", "vat_no"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in text.split("\n") if "Exchange" in x]
+    assert any("BroadcastExchange" in x for x in dealt)
+    assert [k for x in dealt for k in ("l_partkey", "l_orderkey", "l_suppkey") if k in x] == ["l_orderkey", "l_partkey"]
+    assert text.index("Exchange hashpartitioning(l_orderkey") < text.index("Exchange hashpartitioning(l_partkey")
