@@ -2,14 +2,16 @@
 
 The dialect is standard: quotes inside quotes are doubled, a quoted field may
 hold separators and line breaks, a backslash is a plain character. Such files
-are not split, so keep them at a modest size.
+are not split, so keep them at a modest size. They may be compressed
+(``.csv.gz``, ``.csv.bz2``).
 
 Files may differ in columns and their order, and most of their columns may be
 unknown. One pass over the records' texts finds the header of every file (its
 first record with two known names), the few distinct layouts and the most cells
 of a record; a second one reads as many cells of all records and takes each
-column from where the layout of the file has it. Paths of single files do not
-pass the driver.
+column from where the layout of the file has it. The headers are stored, with
+the paths of their files, and broadcast up to ``BROADCAST_FILES``: lines are not
+shuffled to meet them.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored_once
 from ..spec import LedgerSpec
 
 #: Columns a landed file may have. Records with more are counted as too wide.
 WIDTH = 128
+#: Files up to which their headers are broadcast.
+BROADCAST_FILES = 100_000
 
 
 def _csv(spark: SparkSession, paths: list[str], sep: str, names: list[str]) -> DataFrame:
@@ -31,7 +36,7 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, names: list[str]) -> D
     return (
         spark.read.schema(", ".join(f"{n} string" for n in [*names, "_more"]))
         .options(sep=sep, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_more")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
+        .options(recursiveFileLookup=True, pathGlobFilter="*.csv{,.gz,.bz2}")
         .csv(paths)
         .withColumns({
             "file": F.col("_metadata.file_path"),
@@ -95,7 +100,7 @@ def _known_names(cells: Column, known: set[str]) -> Column:
 class Landed:
     """The records below some paths, and the layouts of their files.
 
-    Making one runs a job; the driver gets one row per distinct header.
+    Making one runs jobs; the driver gets one row per distinct header.
     """
 
     def __init__(
@@ -109,18 +114,19 @@ class Landed:
     ) -> None:
         known = {n.lower() for n in (*spec.file_names, *spec.schema.names, *more)}
         self.spec = spec
-        found = texts(spark, paths, sep)
         seen = Observation()
-        watched = found.observe(seen, F.max("width").alias("width"))
-        layouts = [r[0] for r in _headers(watched, sep, known).select("cells").distinct().collect()]
+        watched = texts(spark, paths, sep).observe(seen, F.max("width").alias("width"))
+        heads = stored_once(_headers(watched, sep, known), "headers")
+        layouts = heads.groupBy("cells").count().collect()
         width = seen.get.get("width") or 1
         self.records = records(spark, paths, sep, width)
-        self.layouts = [cells[:width] for cells in layouts]
-        heads = _headers(found, sep, known).select("file", F.slice("cells", 1, width).alias("cells"))
+        self.layouts = [cells[:width] for cells, _ in layouts]
+        heads = heads.select("file", F.slice("cells", 1, width).alias("cells"))
         number = F.lit(None).cast("int")
         for k, cells in enumerate(self.layouts):
             number = F.when(F.to_json("cells") == F.to_json(F.array(*map(F.lit, cells))), k).otherwise(number)
-        self.files = heads.select("file", number.alias("layout"), F.col("cells").alias("head"))
+        files = heads.select("file", number.alias("layout"), F.col("cells").alias("head"))
+        self.files = F.broadcast(files) if sum(n for _, n in layouts) <= BROADCAST_FILES else files
         self.columns: dict[str, Column] = {}
         for k, cells in enumerate(self.layouts):
             own: dict[str, Column] = {}

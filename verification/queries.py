@@ -41,7 +41,7 @@ from spendlens.operators import (
 )
 from spendlens.operators.filters import AnomalySelection, Selection, keep_lines, match_all
 from spendlens.plans import analysis_view
-from spendlens.session import scratch_path
+from spendlens.session import scratch_path, shuffles_removed
 from spendlens.sources import calendar, catalog, chunks, csv, ledger, sinks
 from spendlens.sources.star import city_ledger, state_ledger
 from spendlens.spec import CITY, STATE, LedgerSpec
@@ -233,12 +233,14 @@ def _land_city_csv(
     local = F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))
     lines = lines.withColumn("org1", F.concat("org1", F.lit(HARD.format(";"))))
     named = _file_names(lines.withColumn("amount", local), CITY).withColumn("annual", F.col("ar"))
-    even = F.col("annual") % 2 == 0
-    parts = [named.filter(~even), named.filter(even).drop(*drop)] if even_years_only else [named.drop(*drop)]
+    even = F.coalesce(F.col("annual") % 2 == 0, F.lit(False))
+    # The join of the tables is shuffled for half the years at a time.
+    parts = [named.filter(~even).drop(*(() if even_years_only else drop)), named.filter(even).drop(*drop)]
     for part in parts:
-        part.hint("rebalance", F.col("annual")).write.mode("append").partitionBy("annual").options(
-            header=True, sep=";", escape='"'
-        ).csv(landed)
+        with shuffles_removed(spark):
+            part.write.mode("append").partitionBy("annual").options(
+                header=True, sep=";", escape='"', compression="gzip"
+            ).csv(landed)
     found = [r[0] for r in city_ledger(spark, sf_dir, ["year"]).distinct().collect()]
     return [f"{landed}/annual={y}" for y in sorted(found)]
 
