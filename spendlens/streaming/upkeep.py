@@ -16,13 +16,14 @@ was stored for it. ``read_comparison`` leaves such rows out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import keep_lines
 from ..operators.yoy import against_year_before
+from ..session import shuffles_removed
 from ..sources.ledger import open_yoy
 from ..sources.sinks import write_yoy
 from ..spec import MEASURES, YOY_AMOUNT_TYPE, LedgerSpec
@@ -30,6 +31,8 @@ from .deliveries import UNDATED, read_refreshed
 
 PART = "part"
 COUNT = "n"
+#: Years summed or compared in one job.
+YEARS_AT_ONCE = 2
 
 
 def part_of(spec: LedgerSpec) -> Column:
@@ -44,44 +47,52 @@ def replace_totals(lines: DataFrame, base: str, spec: LedgerSpec) -> list[int]:
     without a year are in no comparison and in no total.
     """
     kept = keep_lines(spec)
-    totals = (
-        lines.filter(F.col(spec.year).isNotNull())
-        .groupBy(spec.year, part_of(spec).alias(PART), *spec.grain)
-        .agg(
-            F.sum(F.when(kept, F.col(spec.amount))).alias(spec.amount),
-            F.count_if(kept).alias(COUNT),
+    years = sorted(r[0] for r in lines.select(spec.year).distinct().collect() if r[0] is not None)
+    for some in _few(years):
+        totals = (
+            lines.filter(F.col(spec.year).isin(some))
+            .groupBy(spec.year, part_of(spec).alias(PART), *spec.grain)
+            .agg(
+                F.sum(F.when(kept, F.col(spec.amount))).alias(spec.amount),
+                F.count_if(kept).alias(COUNT),
+            )
         )
-    )
-    (
-        totals.hint("rebalance", F.col(spec.year), F.col(PART))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(spec.year, PART)
-        .parquet(f"{base}/totals")
-    )
-    return sorted(r[0] for r in lines.select(spec.year).distinct().collect() if r[0] is not None)
-
-
-def compare_again(spark: SparkSession, base: str, years: Iterable[int], spec: LedgerSpec) -> None:
+        if spec.date:
+            # Many months: each task holds some. Of years there are few, and each task writes a file of every one.
+            totals = totals.hint("rebalance", F.col(spec.year), F.col(PART))
+        with shuffles_removed(lines.sparkSession):
+            (
+                totals.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(spec.year, PART)
+                .parquet(f"{base}/totals")
+            )
+    return years
+
+
+def _few(years: list[int]) -> list[list[int]]:
+    return [years[i : i + YEARS_AT_ONCE] for i in range(0, len(years), YEARS_AT_ONCE)]
+
+
+def compare_again(spark: SparkSession, base: str, years: Collection[int], spec: LedgerSpec) -> None:
     """Compare these years and the ones after them anew, from the totals."""
-    stale = sorted({y + step for y in years for step in (0, 1)})
-    if not stale:
-        return
+    stored = spark.read.parquet(f"{base}/totals") if years else None
     year = F.col(spec.year)
-    yearly = (
-        spark.read.parquet(f"{base}/totals")
-        .filter(year.isin(sorted({*stale, *(y - 1 for y in stale)})))
-        # Dealt once for the sums and for the comparison; a group has few parts a year.
-        .repartition(*spec.grain)
-        .groupBy(*spec.grain, spec.year)
-        .agg(
-            F.sum(spec.amount).cast(YOY_AMOUNT_TYPE).alias("actual_real"),
-            F.sum(COUNT).alias(COUNT),
+    for stale in _few(sorted({y + step for y in years for step in (0, 1)})):
+        yearly = (
+            stored.filter(year.isin(sorted({*stale, *(y - 1 for y in stale)})))
+            # Dealt once for the sums and for the comparison; a group has few parts a year.
+            .repartition(*spec.grain)
+            .groupBy(*spec.grain, spec.year)
+            .agg(
+                F.sum(spec.amount).cast(YOY_AMOUNT_TYPE).alias("actual_real"),
+                F.sum(COUNT).alias(COUNT),
+            )
         )
-    )
-    compared = against_year_before(yearly, spec).filter(year.isin(stale))
-    columns = (spec.year, *spec.grain, *MEASURES, COUNT)
-    write_yoy(compared.select(*columns), f"{base}/comparison", spec, replace_all=False)
+        compared = against_year_before(yearly, spec).filter(year.isin(stale))
+        columns = (spec.year, *spec.grain, *MEASURES, COUNT)
+        with shuffles_removed(spark):
+            write_yoy(compared.select(*columns), f"{base}/comparison", spec, replace_all=False)
 
 
 def update_comparison(lines: DataFrame, base: str, spec: LedgerSpec) -> None:

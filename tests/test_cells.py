@@ -78,3 +78,13 @@ def test_lines_meet_the_widest_dimension_last(spark, small):
     assert any("BroadcastExchange" in x for x in dealt)
     assert [k for x in dealt for k in ("l_partkey", "l_orderkey", "l_suppkey") if k in x] == ["l_orderkey", "l_partkey"]
     assert text.index("Exchange hashpartitioning(l_orderkey") < text.index("Exchange hashpartitioning(l_partkey")
+
+
+def test_few_years_are_summed_and_compared_at_once(spark, tmp_path, monkeypatch):
+    # incremental_yoy_city: totals of all years were shuffled three times, and the files stayed.
+    written = []
+    monkeypatch.setattr(upkeep, "write_yoy", lambda df, *a, **b: written.append((plan(df), spark.conf.get(SHUFFLE_CLEANUP))))
+    row = {"amount": 9, "org0": "o", "is_correction": False}
+    upkeep.update_comparison(city(spark, [row | {"year": y} for y in range(2015, 2020)]), str(tmp_path), CITY)
+    assert len(written) == 3 and {kept for _, kept in written} == {"true"}
+    assert spark.read.parquet(f"{tmp_path}/totals").count() == 5
